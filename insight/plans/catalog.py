@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from insight.plans import customers  # noqa: F401
+from insight.plans import cleaning, customers, operations  # noqa: F401
 from insight.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "rfm_segment_summary"

@@ -71,13 +71,18 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int = 42,
     return majority.unionByName(drawn.select(*df.columns, copy_col))
 
 
-def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """``class_weight='balanced'``: n / (classes * n_class) per row (M7).
+def balanced_weight_table(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """``(label, n / (classes * n_class))``: one row per class (M7)."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    totals = counts.select(F.struct(F.sum("_nc").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
+    return counts.select(label, (totals["n"].cast("double") / (totals["k"] * F.col("_nc"))).alias(out))
+
 
-    Class counts are a tiny grouped frame (one row per class) joined back
-    behind a size check.
+def balanced_weights(df: DataFrame, label: str, out: str = "weight", fit_on: DataFrame | None = None) -> DataFrame:
+    """``class_weight='balanced'`` per row (M7), counted on ``fit_on`` (default ``df``).
+
+    The class table has one row per class and is joined back behind a size
+    check.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    totals = counts.select(F.struct(F.sum("_nc").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
-    w = counts.select(label, (totals["n"].cast("double") / (totals["k"] * F.col("_nc"))).alias(out))
+    w = balanced_weight_table(fit_on if fit_on is not None else df, label, out)
     return df.join(broadcast_if_small(w), on=label, how="left")

@@ -68,7 +68,8 @@ def fit_linear(train: DataFrame, features: Sequence[str], label: str) -> Pipelin
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str,
-                 weight: str | None = None, max_iter: int = 500, c: float = 1.0) -> PipelineModel:
+                 weight: str | None = None, max_iter: int = 500, c: float = 1.0,
+                 tol: float = 1e-8) -> PipelineModel:
     """L2 logistic regression equal to scikit-learn's ``C`` objective (M5, M6).
 
     scikit-learn minimises ``0.5|w|^2 + C sum(w_i loss_i)``; Spark minimises
@@ -78,7 +79,7 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str,
     wsum = train.select(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).first()[0] or 1
     lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter,
                             regParam=1.0 / (c * float(wsum)), elasticNetParam=0.0,
-                            standardization=False, tol=1e-10)
+                            standardization=False, tol=tol)
     if weight:
         lr = lr.setWeightCol(weight)
     return Pipeline(stages=[_assembler(features), lr]).fit(train)

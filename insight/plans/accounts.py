@@ -15,7 +15,7 @@ from insight.functions.expr import interval_bins, money, round_half_even, rule_s
 from insight.functions.timeparts import whole_days_between
 from insight.operators.ranking import label_top_share, rank_bins
 from insight.operators.rfm import snapshot_after_last
-from insight.operators.summarise import lift, mean_rate, pivot_agg
+from insight.operators.summarise import lift, mean_rate, pivot_agg, with_group_mean
 from insight.plans.registry import query
 from insight.sources.tables import read_table
 
@@ -161,3 +161,19 @@ def rule_score_query(spark: SparkSession, sf: str) -> DataFrame:
     s = a.select(F.col("c_custkey").alias("customer_id"),
                  round_half_even(rule_score(RULE_WEIGHTS, RULE_BIAS, RULE_SCALE), 6).alias("risk_score"))
     return s.withColumn("risk_tier", interval_bins("risk_score", RISK_EDGES, RISK_LABELS))
+
+
+@query("lapse_by_segment", f"""
+WITH {HIST_SQL},
+r AS (SELECT c_mktsegment, count(*) AS customers,
+             CAST(sum(lapsed) AS DOUBLE) / count(lapsed) * 100.0 AS lapsed_rate_pct
+      FROM acc GROUP BY c_mktsegment)
+SELECT *, round_even(avg(lapsed_rate_pct) OVER () * 1e6, 0) / 1e6 AS mean_rate,
+       lapsed_rate_pct > avg(lapsed_rate_pct) OVER () AS above_mean
+FROM r ORDER BY lapsed_rate_pct DESC, c_mktsegment
+""")
+def lapse_by_segment(spark: SparkSession, sf: str) -> DataFrame:
+    """Lapse rate per segment, highest first, against the mean of the rates."""
+    r = mean_rate(accounts(spark, sf), ["c_mktsegment"], "lapsed", out="lapsed_rate_pct",
+                  count_col="customers")
+    return with_group_mean(r, "lapsed_rate_pct").orderBy(F.col("lapsed_rate_pct").desc(), "c_mktsegment")

@@ -20,6 +20,7 @@ from insight.operators import sampling as D
 from insight.plans.documents import FEATURES, SEED, TIER_EDGES, TIER_LABELS, labelled_docs
 from insight.plans.operations import zone_hour_table
 from insight.plans.registry import query
+from insight.session import materialize
 
 FORECAST_FEATURES = ["hour_f", "weekend_f", "avg_value", "avg_del_time"]
 # Model settings of the reference's attrition models.
@@ -36,7 +37,7 @@ def forecast_linear(spark: SparkSession, sf: str) -> DataFrame:
     f = f.withColumn("hour_f", F.col("hour").cast("double")).withColumn(
         "weekend_f", F.col("is_weekend").cast("double")).withColumn(
         "order_count_f", F.col("order_count").cast("double"))
-    f = D.split(f, "cell", 0.2, SEED).where(F.col("avg_del_time").isNotNull())
+    f = materialize(D.split(f, "cell", 0.2, SEED).where(F.col("avg_del_time").isNotNull()))
     model = ML.fit_linear(f.where(~F.col("is_test")), FORECAST_FEATURES, "order_count_f")
     return ML.score(model, f).select("zone", "hour", "is_weekend", "order_count", "is_test",
                                      "prediction")
@@ -50,7 +51,7 @@ def risk_frame(spark: SparkSession, sf: str) -> DataFrame:
     d = D.split(d, "doc_id", 0.2, SEED, stratify="quality")
     d = D.balanced_weights(d, "quality", fit_on=d.where(~F.col("is_test")))
     d = ML.standardise(d, FEATURES, fit_on=~F.col("is_test"))
-    return d.withColumn("label", F.col("quality").cast("double"))
+    return materialize(d.withColumn("label", F.col("quality").cast("double")))
 
 
 Z_FEATURES = ["z_" + c for c in FEATURES]
@@ -125,3 +126,49 @@ def risk_scores(spark: SparkSession, sf: str) -> DataFrame:
     s = ML.risk_tiers(s, "probability_1", TIER_EDGES, TIER_LABELS)
     return s.select("doc_id", "lang", F.col("quality").alias("label"),
                     F.col("probability_1").alias("risk_score"), "risk_tier", "is_train")
+
+
+# Model settings of the reference's dropout models.
+OVERSAMPLED_TREES, OVERSAMPLED_DEPTH, PLAIN_LOGISTIC_MAX_ITER = 150, 10, 500
+
+
+def oversampled_comparison(spark: SparkSession, sf: str, balance_first: bool = False) -> DataFrame:
+    """Dropout-style pipeline: bootstrap the minority, forest (150, depth 10) and plain LR.
+
+    By default the split comes first and only training rows are up-sampled,
+    so no copy of a row sits on both sides (F10).  ``balance_first=True``
+    reproduces the reference's order (up-sample, then split).
+    """
+    d = risk_frame(spark, sf).drop("weight", *Z_FEATURES, "is_test")
+    if balance_first:
+        d = D.oversample(d, "quality", "doc_id", SEED)
+        d = d.withColumn("row_key", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("copy_id").cast("string")))
+        d = D.split(d, "row_key", 0.2, SEED, stratify="quality")
+        train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    else:
+        d = D.split(d, "doc_id", 0.2, SEED, stratify="quality")
+        train = D.oversample(d.where(~F.col("is_test")), "quality", "doc_id", SEED)
+        test = d.where(F.col("is_test"))
+    stats_from = F.col("_fit")
+    both = train.withColumn("_fit", F.lit(True)).unionByName(test.withColumn("_fit", F.lit(False)), allowMissingColumns=True)
+    both = materialize(ML.standardise(both, FEATURES, fit_on=stats_from))
+    train, test = both.where(F.col("_fit")), both.where(~F.col("_fit"))
+    models = [
+        ("Random Forest", ML.fit_forest(train, FEATURES, "label", num_trees=OVERSAMPLED_TREES,
+                                        max_depth=OVERSAMPLED_DEPTH, seed=SEED)),
+        ("Logistic Regression", ML.fit_logistic(train, Z_FEATURES, "label", max_iter=PLAIN_LOGISTIC_MAX_ITER)),
+    ]
+    rows = []
+    for name, model in models:
+        s = ML.score(model, test)
+        auc = M.auc_exact(s, "quality", "probability_1").select("auc").scalar()
+        rows.append(s.agg(F.lit(name).alias("model"), round_half_even(
+            M.accuracy(F.col("quality").cast("int"), F.col("prediction")), 6).alias("accuracy"))
+            .withColumn("auc", round_half_even(auc, 6)))
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("risk_models_oversampled")
+def risk_models_oversampled(spark: SparkSession, sf: str) -> DataFrame:
+    """Forest and plain logistic model on split-then-up-sampled training rows."""
+    return oversampled_comparison(spark, sf)

@@ -52,3 +52,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="insight-ckpt-")
     sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    Used before iterative work (model fits make many passes) so each pass
+    reads stored rows instead of recomputing joins and subqueries; a lost
+    executor re-reads the checkpoint instead of replaying the plan.  Never a
+    local checkpoint: those do not survive executor loss.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from insight.functions.expr import round_half_even
 from insight.operators.joins import join_group_stat
-from insight.operators.ranking import quantile_values
+from insight.operators.ranking import quantile_values, quantile_values_multi
 
 _FLOATING = (T.FloatType, T.DoubleType)
 
@@ -84,22 +84,26 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
     """``df.describe().round(digits)`` in long form, one row per column.
 
     count, mean, sample std, min, exact 25/50/75% (interpolated, like pandas)
-    and max.  Quartiles come from ranked order statistics, not ``summary()``
-    (whose quartiles are approximate).
+    and max.  All columns share one aggregate pass and one fused ranking
+    pass for the quartiles (not ``summary()``, whose quartiles are
+    approximate); the wide result is unpivoted with ``inline``.
     """
-    parts = []
-    for c in cols:
+    aggs = []
+    for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        one = df.agg(F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
-                     F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-        one = one.withColumn("_q", quantile_values(df, c, [0.25, 0.5, 0.75]))
-        parts.append(one.select(
-            F.lit(c).alias("column_name"), "count",
-            round_half_even("mean", digits).alias("mean"),
-            round_half_even("std", digits).alias("std"),
-            round_half_even("min", digits).alias("min"),
-            round_half_even(F.element_at("_q", 1), digits).alias("p25"),
-            round_half_even(F.element_at("_q", 2), digits).alias("p50"),
-            round_half_even(F.element_at("_q", 3), digits).alias("p75"),
-            round_half_even("max", digits).alias("max")))
-    return reduce(DataFrame.unionByName, parts)
+        aggs += [F.count(x).cast("double").alias(f"_n{i}"), F.avg(x).alias(f"_a{i}"),
+                 F.stddev_samp(x).alias(f"_s{i}"), F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
+    one = df.agg(*aggs).withColumn("_q", quantile_values_multi(df, cols, [0.25, 0.5, 0.75]))
+
+    def r(e):
+        return round_half_even(e, digits)
+
+    rows = []
+    for i, c in enumerate(cols):
+        q = F.try_element_at(F.col("_q"), F.lit(i))
+        rows.append(F.struct(
+            F.lit(c).alias("column_name"), F.col(f"_n{i}").alias("count"), r(F.col(f"_a{i}")).alias("mean"),
+            r(F.col(f"_s{i}")).alias("std"), r(F.col(f"_lo{i}")).alias("min"),
+            r(F.element_at(q, 1)).alias("p25"), r(F.element_at(q, 2)).alias("p50"),
+            r(F.element_at(q, 3)).alias("p75"), r(F.col(f"_hi{i}")).alias("max")))
+    return one.select(F.inline(F.array(*rows)))

@@ -184,29 +184,34 @@ def rank_bins(df: DataFrame, value: str, q: int, tie: str, ascending: bool = Tru
     return df.withColumn("_bounds", lookup).withColumn(out, binc).drop("_bounds")
 
 
-def quantile_values(df: DataFrame, col: str | Column, probs: Sequence[float],
-                    num_partitions: int | None = None) -> Column:
-    """Exact linear-interpolated quantiles as an ``array<double>`` scalar subquery.
-
-    Same definition as ``percentile`` / ``quantile_cont`` / numpy 'linear':
-    position p*(n-1) between the order statistics around it.  The values are
-    ranked by a range shuffle (memory per task bounded, unlike the
-    ``percentile`` aggregate whose final buffer holds every distinct value).
-    Ties are spread over ranges by a row hash so one hot value cannot pile
-    into a single task.  Nulls and NaN are ignored; an empty input gives nulls.
+def quantile_values_multi(df: DataFrame, cols: Sequence[str | Column], probs: Sequence[float],
+                          num_partitions: int | None = None) -> Column:
+    """Exact linear-interpolated quantiles of several columns in ONE ranking pass.
+
+    Returns a scalar-subquery ``map<int, array<double>>``: column index ->
+    quantiles in ``probs`` order.  Same definition as ``percentile`` /
+    ``quantile_cont`` / numpy 'linear': position p*(n-1) between the order
+    statistics around it.  The values are unpivoted to ``(column, value)``
+    and ranked per column by one range shuffle (memory per task bounded,
+    unlike the ``percentile`` aggregate whose final buffer holds every
+    distinct value).  A row hash spreads ties over ranges so one hot value
+    cannot pile into a single task.  Nulls and NaN are ignored; a column
+    without values has no entry.
     """
-    x = F.col(col) if isinstance(col, str) else col
-    narrow = df.select(x.cast("double").alias("_v"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h"))
-    narrow = narrow.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    rk = rank_rows(narrow, [("_v", True), ("_h", True)], num_partitions=num_partitions)
+    h = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h")
+    entries = [F.struct(F.lit(i).alias("_m"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("_v"))
+               for i, c in enumerate(cols)]
+    narrow = (df.select(h, F.explode(F.array(*entries)).alias("_p"))
+              .select("_h", "_p._m", "_p._v").where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    rk = rank_rows(narrow, [("_v", True), ("_h", True)], by=["_m"], num_partitions=num_partitions)
     n1 = (F.col("_n") - F.lit(1)).cast("double")
     wanted = []
     for p in probs:
         pos = n1 * F.lit(float(p))
         wanted += [F.floor(pos) + F.lit(1), F.ceil(pos) + F.lit(1)]
     picks = rk.where(F.array_contains(F.array(*wanted), F.col("_rank")))
-    stats = picks.agg(F.array_sort(F.collect_list(F.struct("_rank", "_v"))).alias("s"),
-                      F.max("_n").alias("n"))
+    stats = picks.groupBy("_m").agg(F.array_sort(F.collect_list(F.struct("_rank", "_v"))).alias("s"),
+                                    F.max("_n").alias("n"))
     vals = []
     for p in probs:
         pos = (F.col("n") - F.lit(1)).cast("double") * F.lit(float(p))
@@ -215,7 +220,14 @@ def quantile_values(df: DataFrame, col: str | Column, probs: Sequence[float],
         hi = F.try_element_at(F.filter("s", lambda e: e["_rank"] == hi_r), F.lit(1))["_v"]
         d = pos - F.floor(pos)
         vals.append(F.when(lo_r == hi_r, lo).otherwise(lo + (hi - lo) * d))
-    return stats.select(F.array(*vals)).scalar()
+    per_col = stats.select(F.struct(F.col("_m"), F.array(*vals)).alias("e"))
+    return per_col.select(F.map_from_entries(F.collect_list("e"))).scalar()
+
+
+def quantile_values(df: DataFrame, col: str | Column, probs: Sequence[float],
+                    num_partitions: int | None = None) -> Column:
+    """Exact quantiles of one column as an ``array<double>`` (see ``quantile_values_multi``)."""
+    return F.try_element_at(quantile_values_multi(df, [col], probs, num_partitions), F.lit(0))
 
 
 def quantile_tiers(df: DataFrame, col: str, q: int | None = None,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,8 +82,11 @@ def segment_summary(rfm_df: DataFrame, segment: str = "segment", customer: str =
         F.count(customer).alias("customers"),
         F.sum(money(revenue)).alias("_rev"),
     )
-    tot_rev = rfm_df.select(F.sum(money(revenue))).scalar()
-    tot_cust = rfm_df.select(F.count(customer)).scalar()
+    # totals over the grouped frame (one row per segment, bounded by the
+    # label list): no second pass over the customer table
+    whole = Window.partitionBy()
+    tot_rev = F.sum("_rev").over(whole)
+    tot_cust = F.sum("customers").over(whole)
     g = g.select(
         segment, "customers",
         F.col("_rev").cast("double").alias("total_revenue"),
@@ -120,6 +123,7 @@ def churn_by_channel(rfm_df: DataFrame, channels: DataFrame, key: str = "custome
         F.count_if(F.col(segment) == churned).alias("churned"),
         pct_true(F.col(segment) == churned).alias("churn_rate_pct"),
     )
-    mean_rate = rates.select(F.avg("churn_rate_pct")).scalar()
+    # one row per channel: the mean over the grouped frame needs no second pass
+    mean_rate = F.avg("churn_rate_pct").over(Window.partitionBy())
     return rates.withColumn("mean_rate_pct", round_half_even(mean_rate, 6)).withColumn(
         "above_mean", F.col("churn_rate_pct") > mean_rate)

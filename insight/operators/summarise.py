@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from insight.functions.expr import comes_after, guarded_ratio, pct_true, round_half_even
@@ -58,8 +58,13 @@ def subset_share(df: DataFrame, value: str, pred: Column) -> Column:
 
 def with_group_mean(df: DataFrame, col: str, out: str = "mean_rate", flag: str | None = "above_mean",
                     digits: int | None = 6) -> DataFrame:
-    """Unweighted mean of group rates, and an above-mean flag."""
-    m = df.select(F.avg(col)).scalar()
+    """Unweighted mean of group rates, and an above-mean flag.
+
+    ``df`` is a grouped result (one row per group, e.g. per department), so
+    the mean is a window over that small frame rather than a subquery that
+    would recompute the grouping.
+    """
+    m = F.avg(col).over(Window.partitionBy())
     res = df.withColumn(out, round_half_even(m, digits) if digits is not None else m)
     return res.withColumn(flag, F.col(col) > m) if flag else res
 

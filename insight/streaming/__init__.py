@@ -1,0 +1,9 @@
+"""Streaming: nothing to build.
+
+The reference makes one eager batch pass per analysis; it has no watermark,
+window, state or late-data handling.  The batch operators here are plain
+DataFrame transformations, so those built only from projections, filters and
+grouped aggregates (e.g. hourly demand, rates by group) can be applied to a
+``readStream`` DataFrame unchanged; rank- and quantile-based operators need a
+complete table and stay batch-only.
+"""

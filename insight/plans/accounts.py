@@ -104,7 +104,7 @@ COHORT = "(c_mktsegment = 'BUILDING') AND (c_acctbal <= 2500.0) AND (frequency <
 
 @query("cohort_lift", f"""
 WITH {HIST_SQL}
-SELECT count_if({COHORT}) AS cohort_size, count(lapsed) AS population,
+SELECT CAST(count_if({COHORT}) AS BIGINT) AS cohort_size, count(lapsed) AS population,
        CASE WHEN count_if({COHORT}) > 0
             THEN CAST(sum(CASE WHEN {COHORT} THEN lapsed END) AS DOUBLE) / count_if({COHORT}) * 100.0 END AS cohort_rate_pct,
        CAST(sum(lapsed) AS DOUBLE) / count(lapsed) * 100.0 AS baseline_rate_pct,

@@ -93,7 +93,7 @@ WITH {RFM_SQL},
 ch AS (SELECT o_custkey AS customer_id, arg_min(o_orderpriority, o_orderkey) AS channel
        FROM orders GROUP BY o_custkey),
 rates AS (
-  SELECT channel, count(*) AS customers, count_if(segment = 'Churned') AS churned,
+  SELECT channel, count(*) AS customers, CAST(count_if(segment = 'Churned') AS BIGINT) AS churned,
          CAST(count_if(segment = 'Churned') AS DOUBLE) / count(*) * 100.0 AS churn_rate_pct
   FROM rfm JOIN ch USING (customer_id) GROUP BY channel)
 SELECT *, round_even(avg(churn_rate_pct) OVER () * 1e6, 0) / 1e6 AS mean_rate_pct,

@@ -64,8 +64,9 @@ def score_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tier_matrix", f"""
 WITH {DOCS_SQL}, t AS (SELECT lang, {TIER_SQL} AS risk_tier FROM ld)
-SELECT lang, count_if(risk_tier = 'Low Risk') AS low_risk, count_if(risk_tier = 'Medium Risk') AS medium_risk,
-       count_if(risk_tier = 'High Risk') AS high_risk
+SELECT lang, CAST(count_if(risk_tier = 'Low Risk') AS BIGINT) AS low_risk,
+       CAST(count_if(risk_tier = 'Medium Risk') AS BIGINT) AS medium_risk,
+       CAST(count_if(risk_tier = 'High Risk') AS BIGINT) AS high_risk
 FROM t WHERE risk_tier IS NOT NULL GROUP BY lang
 """)
 def tier_matrix(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,7 +202,8 @@ def standardise_query(spark: SparkSession, sf: str) -> DataFrame:
 @query("auc_exact", f"""
 WITH {DOCS_SQL},
 r AS (SELECT quality, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ar FROM ld),
-s AS (SELECT sum(CASE WHEN quality = 1 THEN ar END) AS rp, count_if(quality = 1) AS p, count_if(quality <> 1) AS n FROM r)
+s AS (SELECT sum(CASE WHEN quality = 1 THEN ar END) AS rp, CAST(count_if(quality = 1) AS BIGINT) AS p,
+             CAST(count_if(quality <> 1) AS BIGINT) AS n FROM r)
 SELECT CASE WHEN p > 0 AND n > 0 THEN (2 * rp - p * (p + 1)) / (2.0 * p * n) END AS auc,
        p AS positives, n AS negatives FROM s
 """)
@@ -231,7 +233,8 @@ PRED_SQL = "CASE WHEN score >= 0.5 THEN 1 ELSE 0 END"
 
 @query("confusion", f"""
 WITH {DOCS_SQL}
-SELECT quality AS label, count_if({PRED_SQL} = 0) AS pred_0, count_if({PRED_SQL} = 1) AS pred_1
+SELECT quality AS label, CAST(count_if({PRED_SQL} = 0) AS BIGINT) AS pred_0,
+       CAST(count_if({PRED_SQL} = 1) AS BIGINT) AS pred_1
 FROM ld GROUP BY quality
 """)
 def confusion(spark: SparkSession, sf: str) -> DataFrame:

@@ -45,7 +45,7 @@ def delivery_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("weekend_ratio", """
 WITH c AS (SELECT count_if(isodow(ts) >= 6) AS w, count_if(isodow(ts) < 6) AS d FROM events)
-SELECT w AS weekend_events, d AS weekday_events,
+SELECT CAST(w AS BIGINT) AS weekend_events, CAST(d AS BIGINT) AS weekday_events,
        CASE WHEN d > 0 THEN CAST(w AS DOUBLE) / d * 7.0 / 5.0 END AS ratio_reference,
        CASE WHEN d > 0 THEN CAST(w AS DOUBLE) / d * 5.0 / 2.0 END AS ratio_per_day
 FROM c
@@ -65,7 +65,7 @@ def weekend_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 HOURLY_SQL = """
-SELECT hour(ts) AS hour, count(*) AS events,
+SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS events,
        CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_value,
        hour(ts) BETWEEN 19 AND 22 AS is_peak
 FROM events GROUP BY hour(ts)
@@ -94,7 +94,7 @@ def peak_hour(spark: SparkSession, sf: str) -> DataFrame:
 
 ZONE_SQL = """
 dl AS (
-  SELECT e.*, n.n_name AS zone, hour(e.ts) AS hour, isodow(e.ts) >= 6 AS is_weekend,
+  SELECT e.*, n.n_name AS zone, CAST(hour(e.ts) AS INTEGER) AS hour, isodow(e.ts) >= 6 AS is_weekend,
          CASE WHEN e.event_type = 'error' THEN NULL
               ELSE least(greatest(CAST(json_extract_string(e.props, '$.k') AS INTEGER), 10), 90) END AS delivery_min,
          CAST(1 + e.event_id % 5 AS INTEGER) AS rating
@@ -103,7 +103,7 @@ dl AS (
 
 
 @query("zone_hour_matrix", f"WITH {ZONE_SQL} SELECT zone, " + ", ".join(
-    f"count_if(hour = {h}) AS {n}" for h, n in zip(HOURS, HOUR_NAMES)) + " FROM dl GROUP BY zone")
+    f"CAST(count_if(hour = {h}) AS BIGINT) AS {n}" for h, n in zip(HOURS, HOUR_NAMES)) + " FROM dl GROUP BY zone")
 def zone_hour_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Zone x hour event counts, missing cells 0."""
     d = delivery_events(spark, sf)
@@ -112,7 +112,7 @@ def zone_hour_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 ERROR_SQL = f"""
 WITH {ZONE_SQL}
-SELECT zone, count(*) AS events, count_if(event_type = 'error') AS errors,
+SELECT zone, count(*) AS events, CAST(count_if(event_type = 'error') AS BIGINT) AS errors,
        CAST(count_if(event_type = 'error') AS DOUBLE) / count(*) * 100.0 AS error_rate_pct
 FROM dl GROUP BY zone
 """

@@ -30,6 +30,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from insight.functions.expr import comes_after
 
@@ -108,6 +109,71 @@ def qcut_rank_bin(rank: Column, n: Column, q: int) -> Column:
     return F.when(n <= 1, F.lit(1)).otherwise(F.greatest(F.lit(1), quotient.cast("int")))
 
 
+SKETCH_ACCURACY = 10_000
+# half-width of the sketch window around each target fraction; the sketch's
+# rank error is at most 1/accuracy, and every window is verified exactly
+_WINDOW = 3.0 / SKETCH_ACCURACY
+
+
+def order_statistics(narrow: DataFrame, ties: Sequence[str], targets: Sequence[tuple[float, object]],
+                     num_partitions: int | None = None, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """Rows at given ranks of the order ``(_v, *ties)`` within each group ``_g``.
+
+    ``narrow`` holds ``_g`` (group key, few groups), ``_v`` (double sort key,
+    no null/NaN) and the tie columns (ascending, non-null).  ``targets`` is a
+    list of ``(approximate fraction, rank function of the group size n)``.
+    Returns ``_g, _j, _t`` (target index and 1-based rank), ``_v`` and ties
+    for every target inside ``1..n``.
+
+    Exact, and only a sliver of the data is sorted:
+    1. one aggregate: n and a ``percentile_approx`` sketch per group give a
+       value window ``[lo, hi]`` around each target fraction;
+    2. one aggregate counts rows below and inside each window; a window
+       that does not contain the target rank (sketch error) is widened to
+       the whole group, so the result never depends on the sketch;
+    3. only rows inside windows are range-partitioned and ranked
+       (``rank_rows``), and the target rank is ``below + local rank``.
+    """
+    nt = len(targets)
+    fracs = []
+    for f, _ in targets:
+        fracs += [max(0.0, float(f) - _WINDOW), min(1.0, float(f) + _WINDOW)]
+    sk = narrow.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"),
+                                  F.percentile_approx("_v", fracs, accuracy).alias("_ap"))
+    sk_map = sk.select(F.map_from_entries(F.collect_list(
+        F.struct(F.col("_g"), F.struct("_n", "_ap"))))).scalar()
+    v = F.col("_v")
+    s = F.col("_s")
+    counted = narrow.withColumn("_s", F.try_element_at(sk_map, F.col("_g"))).groupBy("_g").agg(
+        *[F.count_if(v < s["_ap"][2 * j]).alias(f"_b{j}") for j in range(nt)],
+        *[F.count_if((v >= s["_ap"][2 * j]) & (v <= s["_ap"][2 * j + 1])).alias(f"_i{j}") for j in range(nt)])
+    checked = counted.join(sk, "_g", "inner")
+    n = F.col("_n")
+    los, his, belows, ranks = [], [], [], []
+    for j, (_, rank_fn) in enumerate(targets):
+        t = rank_fn(n).cast("long")
+        b, i = F.col(f"_b{j}"), F.col(f"_i{j}")
+        ok = (b < t) & (t <= b + i)
+        los.append(F.when(ok, F.col("_ap")[2 * j]).otherwise(F.lit(float("-inf"))))
+        his.append(F.when(ok, F.col("_ap")[2 * j + 1]).otherwise(F.lit(float("inf"))))
+        belows.append(F.when(ok, b).otherwise(F.lit(0)).cast("long"))
+        ranks.append(t)
+    window = F.struct(F.array(*los).alias("lo"), F.array(*his).alias("hi"),
+                      F.array(*belows).alias("below"), F.array(*ranks).alias("t"), n.alias("n"))
+    win_map = checked.select(F.map_from_entries(F.collect_list(F.struct(F.col("_g"), window)))).scalar()
+    w = F.col("_w")
+    rows = narrow.withColumn("_w", F.try_element_at(win_map, F.col("_g")))
+    hits = F.array(*[F.when((v >= w["lo"][j]) & (v <= w["hi"][j]), F.lit(j)) for j in range(nt)])
+    rows = rows.select("_g", "_v", *ties, F.explode(hits).alias("_j")).where(F.col("_j").isNotNull())
+    rk = rank_rows(rows, [("_v", True)] + [(c, True) for c in ties], by=["_g", "_j"],
+                   rank_col="_lr", num_partitions=num_partitions)
+    rk = rk.withColumn("_w", F.try_element_at(win_map, F.col("_g")))
+    glob = w["below"][F.col("_j")] + F.col("_lr")
+    t = w["t"][F.col("_j")]
+    picked = rk.where((glob == t) & (t >= 1) & (t <= w["n"]))
+    return picked.select("_g", "_j", t.alias("_t"), "_v", *ties)
+
+
 def _sortable(x: Column, ascending: bool) -> Column:
     """Numeric sort key as double; descending keys are negated (0.0 - x keeps +0.0)."""
     d = x.cast("double")
@@ -117,36 +183,42 @@ def _sortable(x: Column, ascending: bool) -> Column:
 def rank_bins_multi(df: DataFrame, specs: Sequence[tuple[str, bool, str]], q: int, tie: str,
                     labels: Sequence[str] | None = None,
                     num_partitions: int | None = None) -> DataFrame:
-    """Several rank-quantile columns from ONE ranking pass (B2 x m).
-
-    ``specs`` holds ``(numeric value column, ascending, output column)``.
-    The m value columns are unpivoted into ``(metric, key, tie)`` rows and
-    ranked per metric together: one range shuffle and one scalar subquery of
-    at most m*q boundary rows, instead of m separate pipelines.
+    """Several rank-quantile columns, exact, from one pass of order statistics (B2 x m).
+
+    ``specs`` holds ``(numeric value column, ascending, output column)``;
+    ties take ``tie`` ascending in both directions.  The m value columns
+    are unpivoted into ``(metric, key, tie)`` rows; only the q-1 boundary rows
+    per metric (the last row of each bin, rank ``floor(b(n-1)/q) + 1``) are
+    located (``order_statistics``) and returned as one scalar subquery.  A
+    row's bin is 1 + the number of boundaries it sorts after; null -> bin 1.
     """
     if labels is not None and len(labels) != q:
         raise ValueError("need q labels")
-    entries = [F.struct(F.lit(i).alias("_m"), _sortable(F.col(v), asc).alias("_x"))
+    entries = [F.struct(F.lit(i).alias("_g"), _sortable(F.col(v), asc).alias("_v"))
                for i, (v, asc, _) in enumerate(specs)]
     narrow = (df.select(F.col(tie), F.explode(F.array(*entries)).alias("_p"))
-              .select(tie, "_p._m", "_p._x").where(F.col("_x").isNotNull() & ~F.isnan("_x")))
-    rk = rank_rows(narrow, [("_x", True), (tie, True)], by=["_m"], num_partitions=num_partitions)
-    rk = rk.withColumn("_bin", qcut_rank_bin(F.col("_rank"), F.col("_n"), q))
-    bounds = rk.groupBy("_m", "_bin").agg(
-        F.max_by(F.struct(F.col("_x").alias("x"), F.col(tie).alias("t")), F.col("_rank")).alias("b"))
+              .select("_p._g", "_p._v", tie).where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+
+    def edge(b):
+        def rank_fn(n):
+            x = (n - F.lit(1)) * F.lit(b)
+            return (x - x % F.lit(q)) / F.lit(q) + F.lit(1)  # floor(b(n-1)/q) + 1, exact
+        return rank_fn
+
+    bounds = order_statistics(narrow, [tie], [(b / q, edge(b)) for b in range(1, q)],
+                              num_partitions=num_partitions)
     lookup = bounds.select(F.map_from_entries(F.collect_list(F.struct(
-        (F.col("_m").cast("long") * F.lit(1_000_000) + F.col("_bin")).alias("k"), F.col("b"))))).scalar()
+        (F.col("_g").cast("long") * F.lit(1_000_000) + F.col("_j")).alias("k"),
+        F.struct(F.col("_v").alias("x"), F.col(tie).alias("t")))))).scalar()
     out = df.withColumn("_bounds", lookup)
     for i, (v, asc, name) in enumerate(specs):
         key = _sortable(F.col(v), asc)
-        binc = None
-        # a row takes the bin of the first boundary at or after it; a missing
-        # bin (n < q) gives a null boundary and falls through
-        for b in range(1, q + 1):
-            e = F.try_element_at(F.col("_bounds"), F.lit(i * 1_000_000 + b))
-            cond = ~comes_after([key, F.col(tie)], [e["x"], e["t"]], [True, True])
-            binc = F.when(cond, F.lit(b)) if binc is None else binc.when(cond, F.lit(b))
-        binc = F.when(key.isNull() | F.isnan(key), F.lit(1)).otherwise(binc.otherwise(F.lit(1)))
+        binc = F.lit(1)
+        for j in range(q - 1):
+            e = F.try_element_at(F.col("_bounds"), F.lit(i * 1_000_000 + j))
+            after = comes_after([key, F.col(tie)], [e["x"], e["t"]], [True, True])
+            binc = binc + F.when(after, 1).otherwise(0)
+        binc = F.when(key.isNull() | F.isnan(key), F.lit(1)).otherwise(binc)
         if labels is not None:
             binc = F.element_at(F.array(*[F.lit(x) for x in labels]), binc)
         out = out.withColumn(name, binc)
@@ -162,6 +234,9 @@ def rank_bins(df: DataFrame, value: str, q: int, tie: str, ascending: bool = Tru
     scalar subquery and every row of ``df`` is binned by comparison.  Works
     for any orderable value type (numeric values may use ``rank_bins_multi``).
     """
+    if isinstance(df.schema[value].dataType, T.NumericType):
+        return rank_bins_multi(df, [(value, ascending, out)], q, tie, labels=labels,
+                               num_partitions=num_partitions)
     order = [(value, ascending), (tie, True)]
     narrow = df.select(value, tie).where(F.col(value).isNotNull())
     rk = rank_rows(narrow, order, num_partitions=num_partitions)
@@ -186,41 +261,38 @@ def rank_bins(df: DataFrame, value: str, q: int, tie: str, ascending: bool = Tru
 
 def quantile_values_multi(df: DataFrame, cols: Sequence[str | Column], probs: Sequence[float],
                           num_partitions: int | None = None) -> Column:
-    """Exact linear-interpolated quantiles of several columns in ONE ranking pass.
+    """Exact linear-interpolated quantiles of several columns in one pass.
 
     Returns a scalar-subquery ``map<int, array<double>>``: column index ->
     quantiles in ``probs`` order.  Same definition as ``percentile`` /
-    ``quantile_cont`` / numpy 'linear': position p*(n-1) between the order
-    statistics around it.  The values are unpivoted to ``(column, value)``
-    and ranked per column by one range shuffle (memory per task bounded,
-    unlike the ``percentile`` aggregate whose final buffer holds every
-    distinct value).  A row hash spreads ties over ranges so one hot value
-    cannot pile into a single task.  Nulls and NaN are ignored; a column
-    without values has no entry.
+    ``quantile_cont`` / numpy 'linear': position p*(n-1) between the two
+    order statistics around it.  The order statistics come from
+    ``order_statistics`` (sketch window, exact count, rank only the window),
+    so no task holds all values and only a sliver is sorted.  A row hash
+    breaks ties so a hot value still spreads over ranges.  Nulls and NaN
+    are ignored; a column without values has no entry.
     """
     h = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h")
-    entries = [F.struct(F.lit(i).alias("_m"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("_v"))
+    entries = [F.struct(F.lit(i).alias("_g"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("_v"))
                for i, c in enumerate(cols)]
     narrow = (df.select(h, F.explode(F.array(*entries)).alias("_p"))
-              .select("_h", "_p._m", "_p._v").where(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    rk = rank_rows(narrow, [("_v", True), ("_h", True)], by=["_m"], num_partitions=num_partitions)
-    n1 = (F.col("_n") - F.lit(1)).cast("double")
-    wanted = []
+              .select("_p._g", "_p._v", "_h").where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    targets = []
     for p in probs:
-        pos = n1 * F.lit(float(p))
-        wanted += [F.floor(pos) + F.lit(1), F.ceil(pos) + F.lit(1)]
-    picks = rk.where(F.array_contains(F.array(*wanted), F.col("_rank")))
-    stats = picks.groupBy("_m").agg(F.array_sort(F.collect_list(F.struct("_rank", "_v"))).alias("s"),
-                                    F.max("_n").alias("n"))
+        targets.append((p, lambda n, p=p: F.floor((n - F.lit(1)).cast("double") * F.lit(float(p))) + F.lit(1)))
+        targets.append((p, lambda n, p=p: F.ceil((n - F.lit(1)).cast("double") * F.lit(float(p))) + F.lit(1)))
+    stats = order_statistics(narrow, ["_h"], targets, num_partitions=num_partitions)
+    per = stats.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_j", "_v"))).alias("m"))
+    sizes = narrow.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    per = per.join(sizes, "_g", "inner")
     vals = []
-    for p in probs:
+    for k, p in enumerate(probs):
         pos = (F.col("n") - F.lit(1)).cast("double") * F.lit(float(p))
-        lo_r, hi_r = F.floor(pos) + F.lit(1), F.ceil(pos) + F.lit(1)
-        lo = F.try_element_at(F.filter("s", lambda e: e["_rank"] == lo_r), F.lit(1))["_v"]
-        hi = F.try_element_at(F.filter("s", lambda e: e["_rank"] == hi_r), F.lit(1))["_v"]
+        lo = F.try_element_at(F.col("m"), F.lit(2 * k))
+        hi = F.try_element_at(F.col("m"), F.lit(2 * k + 1))
         d = pos - F.floor(pos)
-        vals.append(F.when(lo_r == hi_r, lo).otherwise(lo + (hi - lo) * d))
-    per_col = stats.select(F.struct(F.col("_m"), F.array(*vals)).alias("e"))
+        vals.append(F.when(F.floor(pos) == F.ceil(pos), lo).otherwise(lo + (hi - lo) * d))
+    per_col = per.select(F.struct(F.col("_g"), F.array(*vals)).alias("e"))
     return per_col.select(F.map_from_entries(F.collect_list("e"))).scalar()
 
 
@@ -262,23 +334,36 @@ def label_top_share(df: DataFrame, col: str, pct: float, out: str = "label",
 
 
 def split_point_flags(df: DataFrame, order: Order, fraction: float, out: str = "is_test",
-                      by: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+                      by: Sequence[str] = (), num_partitions: int | None = None,
+                      lead: Column | None = None) -> DataFrame:
     """Flag the first ``ceil(fraction * n)`` rows in ``order`` (per ``by`` group).
 
-    Used by the deterministic splits: the rows up to the boundary order
-    statistic are flagged; no per-row rank is shuffled back.
+    ``lead`` is an optional double that is monotone in ``order``'s first
+    column (e.g. the leading hex digits of an md5 key); with it the boundary
+    row is found by ``order_statistics`` (only a sliver sorted), otherwise
+    by ranking every row of the narrow key.  Only the boundary key per
+    group travels back (scalar subquery); rows are flagged by comparison.
     """
     by = list(by)
     cols = [c for c, _ in order]
-    narrow = df.select(*by, *cols)
-    rk = rank_rows(narrow, order, by=by, num_partitions=num_partitions)
-    cut = F.ceil(F.col("_n").cast("double") * F.lit(float(fraction)))
-    bounds = rk.where(F.col("_rank") == cut)
-    for b in by:  # map keys cannot be null; a null stratum is never flagged
-        bounds = bounds.where(F.col(b).isNotNull())
     key = F.struct(*[F.col(b).alias(f"g{i}") for i, b in enumerate(by)]) if by else F.lit(0)
+    if lead is not None and all(a for _, a in order):
+        narrow = df.select(key.alias("_g"), lead.cast("double").alias("_v"), *cols)
+        for b in by:  # map keys cannot be null; a null stratum is never flagged
+            narrow = narrow.where(F.col("_g")[f"g{by.index(b)}"].isNotNull())
+        bounds = order_statistics(narrow, cols, [(fraction, lambda n: F.ceil(n.cast("double") * F.lit(float(fraction))))],
+                                  num_partitions=num_partitions)
+        bounds = bounds.select(F.col("_g").alias("_grp_key"), *cols)
+    else:
+        narrow = df.select(*by, *cols)
+        rk = rank_rows(narrow, order, by=by, num_partitions=num_partitions)
+        cut = F.ceil(F.col("_n").cast("double") * F.lit(float(fraction)))
+        bounds = rk.where(F.col("_rank") == cut)
+        for b in by:
+            bounds = bounds.where(F.col(b).isNotNull())
+        bounds = bounds.select(key.alias("_grp_key"), *cols)
     value = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(cols)])
-    lookup = bounds.select(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
+    lookup = bounds.select(F.map_from_entries(F.collect_list(F.struct(F.col("_grp_key"), value)))).scalar()
     mine = F.col("_bound")
     after = comes_after([F.col(c) for c in cols], [mine[f"o{i}"] for i in range(len(cols))],
                         [a for _, a in order])

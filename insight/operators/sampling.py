@@ -35,7 +35,10 @@ def split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: int = 42,
     """
     keyed = df.withColumn("_key", hash_key(id_col, seed))
     by = [stratify] if stratify else []
-    flagged = split_point_flags(keyed, [("_key", True), (id_col, True)], test_size, out=out, by=by)
+    # the first 13 hex digits (52 bits, exact in a double) order like the key
+    lead = F.conv(F.substring("_key", 1, 13), 16, 10).cast("double")
+    flagged = split_point_flags(keyed, [("_key", True), (id_col, True)], test_size, out=out, by=by,
+                                lead=lead)
     return flagged.drop("_key")
 
 

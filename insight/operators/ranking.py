@@ -115,8 +115,25 @@ SKETCH_ACCURACY = 10_000
 _WINDOW = 3.0 / SKETCH_ACCURACY
 
 
+# Inputs estimated (by Catalyst's plan statistics) below this size are ranked
+# whole in one pass; larger inputs rank only sketch windows.  Override with
+# the session conf ``insight.orderStatistics.sketchMinBytes``.
+SKETCH_MIN_BYTES = 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (no job runs); the broadcast rule uses the same."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
+
+
+def _sketch_min_bytes(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("insight.orderStatistics.sketchMinBytes", str(SKETCH_MIN_BYTES)))
+
+
 def order_statistics(narrow: DataFrame, ties: Sequence[str], targets: Sequence[tuple[float, object]],
-                     num_partitions: int | None = None, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+                     num_partitions: int | None = None, accuracy: int = SKETCH_ACCURACY,
+                     method: str = "auto") -> DataFrame:
     """Rows at given ranks of the order ``(_v, *ties)`` within each group ``_g``.
 
     ``narrow`` holds ``_g`` (group key, few groups), ``_v`` (double sort key,
@@ -133,8 +150,22 @@ def order_statistics(narrow: DataFrame, ties: Sequence[str], targets: Sequence[t
        the whole group, so the result never depends on the sketch;
     3. only rows inside windows are range-partitioned and ranked
        (``rank_rows``), and the target rank is ``below + local rank``.
+
+    ``method="sort"`` ranks every row instead (one range shuffle, fewer
+    jobs); ``"auto"`` picks it when the plan's size estimate is below
+    ``SKETCH_MIN_BYTES``, where job count, not data volume, dominates.
     """
     nt = len(targets)
+    if method == "auto":
+        method = "sort" if estimated_bytes(narrow) < _sketch_min_bytes(narrow) else "sketch"
+    if method == "sort":
+        rk = rank_rows(narrow, [("_v", True)] + [(c, True) for c in ties], by=["_g"],
+                       rank_col="_r", num_partitions=num_partitions)
+        n = F.col("_n")
+        hit = F.array(*[F.when(F.col("_r") == rank_fn(n).cast("long"), F.lit(j))
+                        for j, (_, rank_fn) in enumerate(targets)])
+        picked = rk.select("_g", "_v", *ties, "_r", F.explode(hit).alias("_j")).where(F.col("_j").isNotNull())
+        return picked.select("_g", "_j", F.col("_r").alias("_t"), "_v", *ties)
     fracs = []
     for f, _ in targets:
         fracs += [max(0.0, float(f) - _WINDOW), min(1.0, float(f) + _WINDOW)]

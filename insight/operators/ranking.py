@@ -121,12 +121,22 @@ _WINDOW = 3.0 / SKETCH_ACCURACY
 SKETCH_MIN_BYTES = 256 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (no job runs); the broadcast rule uses the same."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+def _as_int(size) -> int:
     return int(size if isinstance(size, int) else size.toString())
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Size estimate of a plan from Catalyst's statistics (no job runs).
+
+    Bounded by the bytes of the plan's leaf scans: without cost-based
+    optimisation Catalyst estimates a join as the product of its inputs.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    scanned = sum(_as_int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return min(_as_int(plan.stats().sizeInBytes()), scanned)
+
+
 def _sketch_min_bytes(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("insight.orderStatistics.sketchMinBytes", str(SKETCH_MIN_BYTES)))
 
@@ -139,8 +149,8 @@ def order_statistics(narrow: DataFrame, ties: Sequence[str], targets: Sequence[t
     ``narrow`` holds ``_g`` (group key, few groups), ``_v`` (double sort key,
     no null/NaN) and the tie columns (ascending, non-null).  ``targets`` is a
     list of ``(approximate fraction, rank function of the group size n)``.
-    Returns ``_g, _j, _t`` (target index and 1-based rank), ``_v`` and ties
-    for every target inside ``1..n``.
+    Returns ``_g, _j, _t`` (target index and 1-based rank), ``_n`` (group
+    size), ``_v`` and ties for every target inside ``1..n``.
 
     Exact, and only a sliver of the data is sorted:
     1. one aggregate: n and a ``percentile_approx`` sketch per group give a
@@ -164,8 +174,8 @@ def order_statistics(narrow: DataFrame, ties: Sequence[str], targets: Sequence[t
         n = F.col("_n")
         hit = F.array(*[F.when(F.col("_r") == rank_fn(n).cast("long"), F.lit(j))
                         for j, (_, rank_fn) in enumerate(targets)])
-        picked = rk.select("_g", "_v", *ties, "_r", F.explode(hit).alias("_j")).where(F.col("_j").isNotNull())
-        return picked.select("_g", "_j", F.col("_r").alias("_t"), "_v", *ties)
+        picked = rk.select("_g", "_v", *ties, "_r", "_n", F.explode(hit).alias("_j")).where(F.col("_j").isNotNull())
+        return picked.select("_g", "_j", F.col("_r").alias("_t"), "_n", "_v", *ties)
     fracs = []
     for f, _ in targets:
         fracs += [max(0.0, float(f) - _WINDOW), min(1.0, float(f) + _WINDOW)]
@@ -202,7 +212,7 @@ def order_statistics(narrow: DataFrame, ties: Sequence[str], targets: Sequence[t
     glob = w["below"][F.col("_j")] + F.col("_lr")
     t = w["t"][F.col("_j")]
     picked = rk.where((glob == t) & (t >= 1) & (t <= w["n"]))
-    return picked.select("_g", "_j", t.alias("_t"), "_v", *ties)
+    return picked.select("_g", "_j", t.alias("_t"), w["n"].alias("_n"), "_v", *ties)
 
 
 def _sortable(x: Column, ascending: bool) -> Column:
@@ -313,9 +323,8 @@ def quantile_values_multi(df: DataFrame, cols: Sequence[str | Column], probs: Se
         targets.append((p, lambda n, p=p: F.floor((n - F.lit(1)).cast("double") * F.lit(float(p))) + F.lit(1)))
         targets.append((p, lambda n, p=p: F.ceil((n - F.lit(1)).cast("double") * F.lit(float(p))) + F.lit(1)))
     stats = order_statistics(narrow, ["_h"], targets, num_partitions=num_partitions)
-    per = stats.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_j", "_v"))).alias("m"))
-    sizes = narrow.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
-    per = per.join(sizes, "_g", "inner")
+    per = stats.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_j", "_v"))).alias("m"),
+                                  F.max("_n").alias("n"))
     vals = []
     for k, p in enumerate(probs):
         pos = (F.col("n") - F.lit(1)).cast("double") * F.lit(float(p))

@@ -94,7 +94,7 @@ def segment_summary(rfm_df: DataFrame, segment: str = "segment", customer: str =
         round_half_even(F.col("_rev").cast("double") / tot_rev.cast("double") * F.lit(100.0), 1).alias("revenue_pct"),
         round_half_even(F.col("customers").cast("double") / tot_cust * F.lit(100.0), 1).alias("customer_pct"),
     )
-    return align_to(g, segment, labels, ordinal="segment_order")
+    return align_to(g, segment, labels, ordinal="segment_order").orderBy("segment_order")
 
 
 def first_touch(df: DataFrame, key: str, attr: str, order_by: str, out_key: str | None = None,

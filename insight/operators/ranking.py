@@ -336,6 +336,38 @@ def quantile_values_multi(df: DataFrame, cols: Sequence[str | Column], probs: Se
     return per_col.select(F.map_from_entries(F.collect_list("e"))).scalar()
 
 
+def grouped_quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequence[float],
+                      out: str = "_q", num_partitions: int | None = None) -> DataFrame:
+    """Exact quantiles of ``col`` per group: one row per group with ``out`` = array.
+
+    Built on ``order_statistics`` (a hot group is split over ranges by a row
+    hash and only its window rows are sorted).  The intermediate window maps
+    hold one entry per group and target, so callers keep the group count
+    bounded (``impute_median`` checks it).  Null keys and values are skipped.
+    """
+    by = list(by)
+    key = F.struct(*[F.col(b).alias(f"g{i}") for i, b in enumerate(by)])
+    valid = F.col(col).isNotNull() & ~F.isnan(col)
+    for b in by:
+        valid = valid & F.col(b).isNotNull()
+    narrow = df.where(valid).select(key.alias("_g"), F.col(col).cast("double").alias("_v"),
+                                    F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h"))
+    targets = []
+    for p in probs:
+        targets.append((p, lambda n, p=p: F.floor((n - F.lit(1)).cast("double") * F.lit(float(p))) + F.lit(1)))
+        targets.append((p, lambda n, p=p: F.ceil((n - F.lit(1)).cast("double") * F.lit(float(p))) + F.lit(1)))
+    stats = order_statistics(narrow, ["_h"], targets, num_partitions=num_partitions)
+    per = stats.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_j", "_v"))).alias("m"),
+                                  F.max("_n").alias("n"))
+    vals = []
+    for k, p in enumerate(probs):
+        pos = (F.col("n") - F.lit(1)).cast("double") * F.lit(float(p))
+        lo = F.try_element_at(F.col("m"), F.lit(2 * k))
+        hi = F.try_element_at(F.col("m"), F.lit(2 * k + 1))
+        vals.append(F.when(F.floor(pos) == F.ceil(pos), lo).otherwise(lo + (hi - lo) * (pos - F.floor(pos))))
+    return per.select(*[F.col("_g")[f"g{i}"].alias(b) for i, b in enumerate(by)], F.array(*vals).alias(out))
+
+
 def quantile_values(df: DataFrame, col: str | Column, probs: Sequence[float],
                     num_partitions: int | None = None) -> Column:
     """Exact quantiles of one column as an ``array<double>`` (see ``quantile_values_multi``)."""

@@ -20,7 +20,15 @@ def test_profile_counts(spark):
     assert (r["stage"], r["rows"], r["columns"], r["null_cells"], r["duplicate_keys"]) == ("raw", 3, 3, 2, 1)
 
 
-def test_impute_median_global_and_grouped(spark):
+import pytest
+
+
+@pytest.mark.parametrize("max_groups", [10_000, 0])
+def test_impute_median_global_and_grouped(spark, max_groups, monkeypatch):
+    import insight.operators.clean as C
+
+    monkeypatch.setattr(C, "EXACT_MEDIAN_MAX_GROUPS", max_groups)  # both strategies
+    spark.conf.set("insight.orderStatistics.sketchMinBytes", "0")  # treat the input as large
     rows = [("a", 1.0), ("a", None), ("a", 3.0), ("a", 4.0), ("b", None), ("b", None), (None, None), ("c", 10.0)]
     df = spark.createDataFrame(rows, "g string, x double")
     pdf = pd.DataFrame(rows, columns=["g", "x"])
@@ -29,6 +37,7 @@ def test_impute_median_global_and_grouped(spark):
     grp = impute_median(df, "x", by=["g"], out="y").toPandas().sort_values(["g", "x"], na_position="last")
     exp = pdf.assign(y=pdf["x"].fillna(pdf.groupby("g")["x"].transform("median"))).sort_values(["g", "x"], na_position="last")
     assert [None if pd.isna(v) else v for v in grp["y"]] == [None if pd.isna(v) else v for v in exp["y"]]
+    spark.conf.unset("insight.orderStatistics.sketchMinBytes")
 
 
 def test_describe_like_pandas(spark):

@@ -4,7 +4,6 @@ import datetime as dt
 import math
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from insight.functions import (band, clip, day_index, day_name, guarded_ratio, interval_bins,
                                is_weekend, month_label, month_start, round_half_even,

@@ -64,8 +64,12 @@ def guarded_ratio(num: Column | str, den: Column | str, default: float | None =
 
 
 def pct_true(pred: Column) -> Column:
-    """``(pred).mean() * 100`` as an aggregate: exact counts, one division."""
-    return F.count_if(pred).cast("double") / F.count(F.lit(1)) * F.lit(100.0)
+    """``(pred).mean() * 100`` as an aggregate: exact counts, one division.
+
+    Null over zero rows (ANSI mode would otherwise raise on the division).
+    """
+    n = F.count(F.lit(1))
+    return F.when(n > 0, F.count_if(pred).cast("double") / n * F.lit(100.0))
 
 
 def band(col: Column | str, thresholds: Sequence[tuple[float, str]], default: str) -> Column:

@@ -209,3 +209,34 @@ def clip_order_value(spark: SparkSession, sf: str) -> DataFrame:
     v = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
     return o.select(F.col("o_orderkey").alias("order_id"), v.alias("order_value")).withColumn(
         "order_value_clipped", clip("order_value", 50000.0, 400000.0))
+
+
+@query("channel_churn_ratio", f"""
+WITH {RFM_SQL},
+ch AS (SELECT o_custkey AS customer_id, arg_min(o_orderpriority, o_orderkey) AS channel
+       FROM orders GROUP BY o_custkey),
+r AS (SELECT CAST(count_if(channel = '1-URGENT' AND segment = 'Churned') AS DOUBLE)
+               / count_if(channel = '1-URGENT') * 100.0 AS a,
+             CAST(count_if(channel = '5-LOW' AND segment = 'Churned') AS DOUBLE)
+               / count_if(channel = '5-LOW') * 100.0 AS b
+      FROM rfm JOIN ch USING (customer_id))
+SELECT a AS urgent_churn_pct, b AS low_churn_pct, CASE WHEN b > 0 THEN a / b ELSE 0.0 END AS multiplier FROM r
+""")
+def channel_churn_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Churn rate of one channel over another's, guarded (A11 two-group ratio, X11)."""
+    from insight.functions.expr import guarded_ratio
+
+    o = _orders(spark, sf)
+    rfm_df = R.rfm(o, "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    ch = R.first_touch(o, "o_custkey", "o_orderpriority", "o_orderkey", out_key="customer_id",
+                       out_attr="channel")
+    j = rfm_df.select("customer_id", "segment").join(ch, "customer_id", "inner")
+    churned = F.col("segment") == R.SEGMENT_DEFAULT
+
+    def rate(name):
+        inch = F.col("channel") == name
+        n = F.count_if(inch)
+        return F.when(n > 0, F.count_if(inch & churned).cast("double") / n * F.lit(100.0))
+
+    one = j.agg(rate("1-URGENT").alias("urgent_churn_pct"), rate("5-LOW").alias("low_churn_pct"))
+    return one.withColumn("multiplier", guarded_ratio("urgent_churn_pct", "low_churn_pct", 0.0))

@@ -225,3 +225,43 @@ def forecast_metrics(spark: SparkSession, sf: str) -> DataFrame:
     zone_mean = f.groupBy("zone").agg(F.avg("order_count").alias("prediction"))
     p = f.join(zone_mean, "zone", "inner")
     return regression_metrics(p, "order_count", "prediction")
+
+
+@query("delivery_kpis", f"""
+WITH {ZONE_SQL},
+k AS (
+  SELECT CAST(count(*) AS DOUBLE) AS total_orders,
+         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue,
+         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_order_value,
+         avg(delivery_min) AS avg_delivery_min,
+         avg(rating) AS avg_rating,
+         CAST(count_if(event_type = 'error') AS DOUBLE) / count(*) * 100.0 AS cancelled_pct,
+         CAST(count(DISTINCT zone) AS DOUBLE) AS zones,
+         CAST(count(DISTINCT user_id) AS DOUBLE) AS entities
+  FROM dl)
+SELECT 'volume' AS section, 'total_orders' AS metric, total_orders AS value FROM k
+UNION ALL SELECT 'revenue', 'total_revenue', total_revenue FROM k
+UNION ALL SELECT 'revenue', 'avg_order_value', avg_order_value FROM k
+UNION ALL SELECT 'service', 'avg_delivery_min', avg_delivery_min FROM k
+UNION ALL SELECT 'service', 'avg_rating', avg_rating FROM k
+UNION ALL SELECT 'service', 'cancelled_pct', cancelled_pct FROM k
+UNION ALL SELECT 'coverage', 'zones', zones FROM k
+UNION ALL SELECT 'coverage', 'entities', entities FROM k
+""")
+def delivery_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    """Delivery report numbers as one aggregate pass, long form."""
+    from insight.functions.expr import pct_true
+    from insight.sources.sinks import kpi_table
+
+    d = delivery_events(spark, sf)
+    rev = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
+    return kpi_table(d, [
+        ("volume", "total_orders", F.count(F.lit(1))),
+        ("revenue", "total_revenue", rev),
+        ("revenue", "avg_order_value", rev / F.count(F.lit(1))),
+        ("service", "avg_delivery_min", F.avg("delivery_min")),
+        ("service", "avg_rating", F.avg("rating")),
+        ("service", "cancelled_pct", pct_true(F.col("event_type") == "error")),
+        ("coverage", "zones", F.count_distinct("zone")),
+        ("coverage", "entities", F.count_distinct("user_id")),
+    ])

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from insight.functions import (band, clip, day_index, day_name, guarded_ratio, interval_bins,
                                is_weekend, month_label, month_start, round_half_even,
@@ -66,3 +67,10 @@ def test_no_python_udf_in_plans(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
     assert not math.isnan(df.first()[0])
+
+
+def test_rates_over_empty_input_are_null(spark):
+    from insight.functions.expr import pct_true
+
+    empty = spark.createDataFrame([], "x double")
+    assert empty.agg(pct_true(F.col("x") > 0).alias("r")).first()["r"] is None

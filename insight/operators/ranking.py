@@ -174,7 +174,7 @@ def order_statistics(narrow: DataFrame, ties: Sequence[str], targets: Sequence[t
         n = F.col("_n")
         hit = F.array(*[F.when(F.col("_r") == rank_fn(n).cast("long"), F.lit(j))
                         for j, (_, rank_fn) in enumerate(targets)])
-        picked = rk.select("_g", "_v", *ties, "_r", "_n", F.explode(hit).alias("_j")).where(F.col("_j").isNotNull())
+        picked = rk.select("_g", "_v", *ties, "_r", "_n", F.explode(F.array_compact(hit)).alias("_j"))
         return picked.select("_g", "_j", F.col("_r").alias("_t"), "_n", "_v", *ties)
     fracs = []
     for f, _ in targets:
@@ -205,7 +205,7 @@ def order_statistics(narrow: DataFrame, ties: Sequence[str], targets: Sequence[t
     w = F.col("_w")
     rows = narrow.withColumn("_w", F.try_element_at(win_map, F.col("_g")))
     hits = F.array(*[F.when((v >= w["lo"][j]) & (v <= w["hi"][j]), F.lit(j)) for j in range(nt)])
-    rows = rows.select("_g", "_v", *ties, F.explode(hits).alias("_j")).where(F.col("_j").isNotNull())
+    rows = rows.select("_g", "_v", *ties, F.explode(F.array_compact(hits)).alias("_j"))
     rk = rank_rows(rows, [("_v", True)] + [(c, True) for c in ties], by=["_g", "_j"],
                    rank_col="_lr", num_partitions=num_partitions)
     rk = rk.withColumn("_w", F.try_element_at(win_map, F.col("_g")))

@@ -40,9 +40,21 @@ Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
 
 def _partitions(df: DataFrame, k: int | None) -> int:
+    """Range count: given, else enough ranges of Spark's advisory size, at least
+    ``spark.sql.shuffle.partitions``."""
     if k:
         return int(k)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = df.sparkSession.conf
+    base = int(conf.get("spark.sql.shuffle.partitions"))
+    target = conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    target_bytes = _size_to_bytes(target)
+    return max(base, -(-estimated_bytes(df) // max(target_bytes, 1)))
+
+
+def _size_to_bytes(text: str) -> int:
+    t = str(text).strip().lower().rstrip("b")
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    return int(float(t[:-1]) * mult[t[-1]]) if t and t[-1] in mult else int(float(t))
 
 
 def _sort_keys(order: Order) -> list[Column]:

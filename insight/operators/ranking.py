@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from insight.functions.expr import comes_after
 
 _POS_MASK = (1 << 33) - 1
+_UNKNOWN_SIZE = 1 << 62
+MAX_RANGES = 100_000
 
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
@@ -48,7 +50,10 @@ def _partitions(df: DataFrame, k: int | None) -> int:
     base = int(conf.get("spark.sql.shuffle.partitions"))
     target = conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
     target_bytes = _size_to_bytes(target)
-    return max(base, -(-estimated_bytes(df) // max(target_bytes, 1)))
+    est = estimated_bytes(df)
+    if est >= _UNKNOWN_SIZE:  # Catalyst's "unknown" default size
+        return base
+    return int(min(MAX_RANGES, max(base, -(-est // max(target_bytes, 1)))))
 
 
 def _size_to_bytes(text: str) -> int:

@@ -172,3 +172,32 @@ def oversampled_comparison(spark: SparkSession, sf: str, balance_first: bool = F
 def risk_models_oversampled(spark: SparkSession, sf: str) -> DataFrame:
     """Forest and plain logistic model on split-then-up-sampled training rows."""
     return oversampled_comparison(spark, sf)
+
+
+def _scored_test(d: DataFrame, kind: str) -> DataFrame:
+    return ML.score(_fit(kind, d.where(~F.col("is_test"))), d.where(F.col("is_test")))
+
+
+@query("model_roc")
+def model_roc(spark: SparkSession, sf: str) -> DataFrame:
+    """ROC points of each model's test-row probabilities, one long frame (M13, chart frame)."""
+    d = risk_frame(spark, sf)
+    parts = []
+    for kind, name in (("logistic", "Logistic Regression"), ("tree", "Decision Tree"),
+                       ("forest", "Random Forest")):
+        pts = M.roc_points(_scored_test(d, kind), "quality", "probability_1")
+        parts.append(pts.select(F.lit(name).alias("model"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("forest_confusion")
+def forest_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Confusion matrix of the forest's test predictions."""
+    return M.confusion(_scored_test(risk_frame(spark, sf), "forest"), "quality", "prediction")
+
+
+@query("forest_report")
+def forest_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Classification report of the forest's test predictions."""
+    s = _scored_test(risk_frame(spark, sf), "forest").withColumn("quality", F.col("quality").cast("int"))
+    return M.classification_report(s, "quality", "prediction")

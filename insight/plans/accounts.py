@@ -19,11 +19,17 @@ from insight.operators.summarise import lift, mean_rate, pivot_agg, with_group_m
 from insight.plans.registry import query
 from insight.sources.tables import read_table
 
+# Fixed values that must equal the reference: income quartile names and
+# band names (both from 4 rank bins), the attrition-style risk tier edges
+# (right-closed, first bin open at 0) and tier names, and the 84th percentile
+# that defines the positive label.
 QUARTILE_LABELS = ["Q1 (Low)", "Q2", "Q3", "Q4 (High)"]
 BAND_LABELS = ["Low", "Mid-Low", "Mid-High", "High"]
-BAND_COLUMNS = ["low", "mid_low", "mid_high", "high"]
 RISK_EDGES = [0.0, 0.30, 0.60, 1.0]
 RISK_LABELS = ["Low Risk", "Medium Risk", "High Risk"]
+LABEL_PERCENTILE = 84
+# pivot column names for the bands
+BAND_COLUMNS = ["low", "mid_low", "mid_high", "high"]
 
 
 def order_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +44,7 @@ def order_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lapsed(spark: SparkSession, sf: str) -> DataFrame:
-    return label_top_share(order_history(spark, sf), "recency", 84, out="lapsed")
+    return label_top_share(order_history(spark, sf), "recency", LABEL_PERCENTILE, out="lapsed")
 
 
 def accounts(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,6 +17,12 @@ from insight.plans.registry import query
 from insight.sources.tables import read_table
 
 
+# Fixed values that must equal the reference: the days emphasised in the
+# weekday demand frame (Friday to Sunday, although the weekend is Saturday
+# and Sunday).
+EMPHASIS_DAYS = ["Friday", "Saturday", "Sunday"]
+
+
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "orders")
 
@@ -195,7 +201,7 @@ def weekday_demand(spark: SparkSession, sf: str) -> DataFrame:
     g = o.groupBy(day_name("o_orderdate").alias("day_of_week"),
                   day_index("o_orderdate").alias("day_index"),
                   is_weekend("o_orderdate").alias("is_weekend")).agg(F.count(F.lit(1)).alias("orders"))
-    return ordered_flag(g, "day_of_week", ["Friday", "Saturday", "Sunday"], "highlight").orderBy("day_index")
+    return ordered_flag(g, "day_of_week", EMPHASIS_DAYS, "highlight").orderBy("day_index")
 
 
 @query("clip_order_value", """

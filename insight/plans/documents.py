@@ -21,6 +21,8 @@ from insight.operators.summarise import label_correlation, pivot_agg
 from insight.plans.registry import query
 from insight.sources.tables import read_table
 
+# Fixed values that must equal the reference: dropout-style risk tier edges
+# (right-closed, first bin open at 0) and tier names.
 TIER_EDGES = [0.0, 0.33, 0.66, 1.0]
 TIER_LABELS = ["Low Risk", "Medium Risk", "High Risk"]
 TIER_COLUMNS = ["low_risk", "medium_risk", "high_risk"]

@@ -22,6 +22,13 @@ from insight.sources.tables import read_table
 HOURS = list(range(24))
 HOUR_NAMES = [f"h{h:02d}" for h in HOURS]
 
+# Fixed values that must equal the reference: the peak window is hours 19 to
+# 22 inclusive; the weekend/weekday ratio is scaled by 7/5 as published, and
+# by 5/2 for the per-day reading.
+PEAK_FIRST_HOUR, PEAK_LAST_HOUR = 19, 22
+RATIO_REFERENCE = (7.0, 5.0)
+RATIO_PER_DAY = (5.0, 2.0)
+
 
 def delivery_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events with zone, hour, weekend flag, delivery minutes and rating.
@@ -60,8 +67,8 @@ def weekend_ratio(spark: SparkSession, sf: str) -> DataFrame:
     c = e.agg(F.count_if(is_weekend("ts")).alias("weekend_events"),
               F.count_if(~is_weekend("ts")).alias("weekday_events"))
     r = guarded_ratio("weekend_events", "weekday_events", None)
-    return c.select("*", (r * F.lit(7.0) / F.lit(5.0)).alias("ratio_reference"),
-                    (r * F.lit(5.0) / F.lit(2.0)).alias("ratio_per_day"))
+    return c.select("*", (r * F.lit(RATIO_REFERENCE[0]) / F.lit(RATIO_REFERENCE[1])).alias("ratio_reference"),
+                    (r * F.lit(RATIO_PER_DAY[0]) / F.lit(RATIO_PER_DAY[1])).alias("ratio_per_day"))
 
 
 HOURLY_SQL = """
@@ -77,7 +84,7 @@ def _hourly(spark: SparkSession, sf: str) -> DataFrame:
     g = e.groupBy(hour_of_day("ts").alias("hour")).agg(
         F.count(F.lit(1)).alias("events"), money_sum("value").alias("_rev"))
     return g.select("hour", "events", (F.col("_rev") / F.col("events")).alias("avg_value"),
-                    in_hour_window("hour", 19, 22).alias("is_peak"))
+                    in_hour_window("hour", PEAK_FIRST_HOUR, PEAK_LAST_HOUR).alias("is_peak"))
 
 
 @query("hourly_demand", HOURLY_SQL + " ORDER BY hour")

@@ -24,6 +24,26 @@ from insight.operators.joins import broadcast_if_small
 from insight.operators.ranking import rank_rows
 
 
+def label_encode_many(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``LabelEncoder`` on several columns with one ranking pass (M1).
+
+    The distinct ``(column, level)`` pairs are numbered per column by the
+    distributed exact rank, checked for size once, and joined back per
+    column.  Nulls stay null.
+    """
+    entries = [F.struct(F.lit(i).alias("_c"), F.col(c).cast("string").alias("_l"))
+               for i, (c, _) in enumerate(pairs)]
+    levels = (df.select(F.explode(F.array(*entries)).alias("_e")).select("_e._c", "_e._l")
+              .where(F.col("_l").isNotNull()).distinct())
+    codes = broadcast_if_small(rank_rows(levels, [("_l", True)], by=["_c"], rank_col="_r").select(
+        "_c", "_l", (F.col("_r") - 1).cast("int").alias("_code")))
+    out = df
+    for i, (c, name) in enumerate(pairs):
+        mine = codes.where(F.col("_c") == i).select(F.col("_l").alias("_lv"), F.col("_code").alias(name))
+        out = out.join(mine, out[c].cast("string") == mine["_lv"], "left").drop("_lv")
+    return out
+
+
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
     """``LabelEncoder``: codes 0..k-1 in alphabetical order of the values (M1).
 

@@ -33,11 +33,14 @@ SEED = 42
 
 
 def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents")
-    lines = F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + F.lit(1)
-    d = d.select("doc_id", "lang", "source", "n_chars", lines.cast("long").alias("n_lines"))
+    """Labelled documents with numeric features; the whole text of each
+    labelled document is scanned once for its line count (after the join, so
+    unlabelled texts are not processed)."""
+    d = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     lab = read_table(spark, sf, "labels")
-    return d.join(lab, "doc_id", "inner")
+    lines = F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + F.lit(1)
+    return d.join(lab, "doc_id", "inner").select(
+        "doc_id", "lang", "source", "n_chars", lines.cast("long").alias("n_lines"), "quality", "toxic")
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,8 +125,7 @@ FROM documents
 def encode_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Alphabetical integer codes for language and source (M1)."""
     d = read_table(spark, sf, "documents").select("doc_id", "lang", "source")
-    d = ML.label_encode(d, "lang", "lang_code")
-    d = ML.label_encode(d, "source", "source_code")
+    d = ML.label_encode_many(d, [("lang", "lang_code"), ("source", "source_code")])
     return d.select("doc_id", "lang", "lang_code", "source", "source_code")
 
 

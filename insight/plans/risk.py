@@ -45,10 +45,11 @@ def forecast_linear(spark: SparkSession, sf: str) -> DataFrame:
 
 def risk_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents with encoded categories, split flag, weights and z-scores."""
-    d = labelled_docs(spark, sf)
-    d = ML.label_encode(d, "lang", "lang_code")
-    d = ML.label_encode(d, "source", "source_code")
-    d = D.split(d, "doc_id", 0.2, SEED, stratify="quality")
+    # cut lineage once: every later pass reads the narrow features, not the texts
+    d = materialize(labelled_docs(spark, sf))
+    d = ML.label_encode_many(d, [("lang", "lang_code"), ("source", "source_code")])
+    # the split's order statistics run once; weights and scaling read the result
+    d = materialize(D.split(d, "doc_id", 0.2, SEED, stratify="quality"))
     d = D.balanced_weights(d, "quality", fit_on=d.where(~F.col("is_test")))
     d = ML.standardise(d, FEATURES, fit_on=~F.col("is_test"))
     return materialize(d.withColumn("label", F.col("quality").cast("double")))

@@ -55,9 +55,14 @@ def test_standardise_population_std(spark):
 
 
 def test_label_encode_alphabetical(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), (None,)], "s string")
+    from insight.operators.models import label_encode_many
+
+    df = spark.createDataFrame([("b", "y"), ("a", "x"), ("c", None), ("a", "z"), (None, "x")], "s string, t string")
     got = {r["s"]: r["code"] for r in label_encode(df, "s", "code").collect()}
     assert got == {"a": 0, "b": 1, "c": 2, None: None}
+    many = label_encode_many(df, [("s", "sc"), ("t", "tc")]).collect()
+    assert {(r["s"], r["sc"]) for r in many} == {("a", 0), ("b", 1), ("c", 2), (None, None)}
+    assert {(r["t"], r["tc"]) for r in many} == {("x", 0), ("y", 1), ("z", 2), (None, None)}
 
 
 def test_forest_scores_and_importances(spark):

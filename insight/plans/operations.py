@@ -272,3 +272,32 @@ def delivery_kpis(spark: SparkSession, sf: str) -> DataFrame:
         ("coverage", "zones", F.count_distinct("zone")),
         ("coverage", "entities", F.count_distinct("user_id")),
     ])
+
+
+@query("clean_deliveries", f"""
+WITH {ZONE_SQL},
+first AS (SELECT * EXCLUDE (rn) FROM (
+            SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, user_id, event_type, value) AS rn
+            FROM dl) WHERE rn = 1),
+med AS (SELECT zone, quantile_cont(delivery_min, 0.5) AS m FROM first WHERE delivery_min IS NOT NULL GROUP BY zone)
+SELECT event_id, f.zone, ts, value, coalesce(CAST(delivery_min AS DOUBLE), med.m) AS delivery_min,
+       rating, hour, dayname(ts) AS day_of_week, CAST(date_trunc('month', ts) AS DATE) AS month,
+       is_weekend, hour BETWEEN {PEAK_FIRST_HOUR} AND {PEAK_LAST_HOUR} AS is_peak
+FROM first f LEFT JOIN med ON f.zone = med.zone
+""")
+def clean_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned delivery table (C2, C4, C9, X1-X6): keep-first per event, zone-median
+    minutes, time features added in place; the table a cleaned-table sink (S2) writes."""
+    from insight.functions.timeparts import day_name, month_start
+    from insight.operators.clean import dedupe, impute_median
+
+    d = delivery_events(spark, sf).select("event_id", "zone", "ts", "user_id", "event_type", "value",
+                                          "delivery_min", "rating", "hour", "is_weekend")
+    d = dedupe(d, ["event_id"], ["ts", "user_id", "event_type", "value"])
+    d = impute_median(d, "delivery_min", by=["zone"])
+    return d.withColumns({
+        "day_of_week": day_name("ts"),
+        "month": month_start("ts"),
+        "is_peak": in_hour_window("hour", PEAK_FIRST_HOUR, PEAK_LAST_HOUR),
+    }).select("event_id", "zone", "ts", "value", "delivery_min", "rating", "hour", "day_of_week",
+              "month", "is_weekend", "is_peak")

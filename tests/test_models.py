@@ -1,6 +1,7 @@
 """Model fits against numpy solutions (no scikit-learn in the image)."""
 
 import numpy as np
+import pytest
 import pandas as pd
 
 from insight.operators.models import feature_importance, fit_forest, fit_linear, fit_logistic, label_encode, score, standardise
@@ -76,3 +77,14 @@ def test_forest_scores_and_importances(spark):
     assert s["probability_1"].between(0, 1).all() and set(s["prediction"]) <= {0, 1}
     imp = feature_importance(m, ["a", "b", "c"], spark).toPandas()
     assert abs(imp["importance"].sum() - 1) < 1e-9 and imp.iloc[0]["feature"] == "a"
+
+
+@pytest.mark.parametrize("balance_first", [False, True])
+def test_oversampled_pipeline_runs_both_orders(spark, balance_first):
+    from conftest import SF001
+    from insight.plans.risk import oversampled_comparison
+
+    rows = oversampled_comparison(spark, SF001, balance_first=balance_first).collect()
+    assert [r["model"] for r in rows] == ["Random Forest", "Logistic Regression"]
+    for r in rows:
+        assert 0.0 <= r["accuracy"] <= 1.0 and (r["auc"] is None or 0.0 <= r["auc"] <= 1.0)

@@ -16,9 +16,13 @@ The range exchange is consumed twice (counts and rows) inside one plan and
 Spark reuses it (``ReusedExchange``), so both see the same bounds.
 
 Operators that only need a few order statistics (bin edges, quantiles, a
-split point) rank a *narrow* projection, keep the handful of boundary rows
-and hand them to the main table as a scalar subquery; the wide table is then
-binned by comparison against at most q boundaries and never reshuffled.
+split point) go through ``order_statistics`` on a *narrow* projection: on
+large inputs a ``percentile_approx`` sketch brackets each target rank, one
+counting pass verifies the bracket exactly (falling back to the whole group
+when it misses), and only rows inside the brackets are ranked as above; small
+inputs are ranked whole.  The handful of boundary rows goes back to the main
+table as a scalar subquery; the wide table is binned by comparison against
+at most q boundaries and never reshuffled.
 
 Inputs whose values are recomputed (e.g. a double aggregated after a shuffle)
 must be deterministic; money sums go through decimals (``money_sum``).

@@ -4,22 +4,105 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from insight.llm import byte_bpe
+from insight.llm import byte_bpe, chat_trees, decontamination, quality_rules, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Conversation -1 of op1 says this twice: control strings inside texts must survive.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op1_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one made of control strings, formatted and read back."""
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_trees.chat_digest(said.unionByName(extra))
+
+
+OP1_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', s, 'user', s FROM (SELECT '<|im_end|><|im_start|>assistant ok' AS s)
+  UNION ALL SELECT -1, 1, 'assistant', s, 'assistant', s FROM (SELECT '<|im_end|><|im_start|>assistant ok' AS s)),
+loss AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learnt,
+         length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'))
+         + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 AS chars FROM said)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+       CAST(sum(length(learnt)) AS BIGINT) AS loss_chars,
+       sha256(string_agg(learnt, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM loss GROUP BY conv_id
+"""
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt into 40 shards of the same mixture of sources."""
+    return sharding.shard_digest(_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and decision of every document by the learned decision list."""
+    return quality_rules.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every document."""
     return byte_bpe.token_digests(_table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document (3-word shingles, two bits)."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document (windows of ten words)."""
+    return decontamination.decontamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = r"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS win, least(10, len(w)) AS k
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+spot AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc),
+found AS (
+  SELECT s.doc_id, s.i, n.k, n.item_id
+  FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win
+        FROM spot, (SELECT DISTINCT k FROM win) WHERE i + k - 1 <= len(w)) s JOIN win n ON s.win = n.win AND s.k = n.k),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY 1),
+own AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN own o ON d.doc_id = o.doc_id
+"""
+
 QUERIES = {
+    "op1_chat_trees": op1_chat_trees,
+    "op2_sharding": op2_sharding,
+    "op3_quality_rules": op3_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op9_simhash": op9_simhash,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_trees": OP1_SQL,
+    "op10_decontamination": OP10_SQL,
+}

@@ -5,16 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from insight.llm import byte_bpe
+from insight.llm import byte_bpe, decontamination, quality_rules, simhash
 from insight.llm.storage import stage_folder
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that the base rule or the learned list rejects go."""
+    rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: the document of the smallest id stays of each group."""
+    return simhash.one_of_each(docs, shingle=3, max_bits=2)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents with a benchmark window go."""
+    return decontamination.without_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE encoding and decoding: ids and digests of every document that is left."""
     return byte_bpe.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
+    ("quality_rules", quality),
+    ("simhash", near_duplicates),
+    ("decontamination", decontaminate),
     ("byte_bpe", encode),
 ]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insight.llm import byte_bpe, chat_trees, decontamination, quality_rules, sharding, simhash
+from insight.llm import byte_bpe, chat_trees, decontamination, fixity, license_scan, lm_scoring, quality_rules, repair, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,66 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged records that a Merkle audit finds in a replica of all pages' WARC files."""
+    return fixity.fixity_audit(_table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = r"""
+WITH rec AS (
+  SELECT page_id, url, strlen('WARC/1.0..WARC-Type: resource..WARC-Record-ID: <urn:page:' || page_id || '>..WARC-Target-URI: ' || coalesce(url, '')
+         || '..Content-Type: text/html..Content-Length: ' || strlen(coalesce(html, '')) || '........' || coalesce(html, '')) AS n_bytes,
+         CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM pages),
+filed AS (SELECT *, h % greatest(1, (SELECT CAST(ceil(sum(n_bytes) / 16777216.0) AS BIGINT) FROM rec)) AS file FROM rec),
+placed AS (SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY file ORDER BY page_id) AS BIGINT) - n_bytes AS "offset" FROM filed)
+SELECT page_id, file, "offset", n_bytes, CASE WHEN page_id % 211 = 11 THEN 'missing' ELSE 'corrupt' END AS status
+FROM placed WHERE page_id % 211 = 11 OR page_id % 101 = 7
+UNION ALL
+SELECT page_id, file, "offset" + 1, n_bytes, 'extra' FROM placed WHERE page_id % 307 = 19
+"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every document."""
     return byte_bpe.token_digests(_table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, with coverage and spans."""
+    return license_scan.license_spans(_table(spark, sf_dir, "documents"), license_scan.notices(spark))
+
+
+def op7_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum in the grammar-compressed token files."""
+    return repair.token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff bigram scores of every document by counts over all documents."""
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+tok AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc)),
+uni AS (SELECT b, count(*) AS n FROM tok GROUP BY b),
+bi AS (SELECT a, b, count(*) AS n FROM tok WHERE a IS NOT NULL GROUP BY a, b),
+term AS (
+  SELECT t.doc_id, CASE
+    WHEN bi.n >= 2 THEN CAST(round_even(ln(bi.n / ctx.n) * 1000000, 0) AS BIGINT)
+    ELSE CAST(round_even(ln(uni.n / (SELECT count(*) FROM tok)) * 1000000, 0) AS BIGINT)
+         + CASE WHEN t.a IS NULL THEN 0 ELSE CAST(round_even(ln(0.4) * 1000000, 0) AS BIGINT) END END AS m
+  FROM tok t JOIN uni ON t.b = uni.b LEFT JOIN bi ON t.a = bi.a AND t.b = bi.b LEFT JOIN uni ctx ON t.a = ctx.b),
+per AS (SELECT doc_id, CAST(sum(m) AS BIGINT) AS log_micro FROM term GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(log_micro, 0) AS log_micro,
+       CASE WHEN len(w) > 0 THEN log_micro / len(w) / 1000000.0::DOUBLE END AS mean_log_score
+FROM doc d LEFT JOIN per p ON d.doc_id = p.doc_id
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document (3-word shingles, two bits)."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
@@ -97,12 +151,18 @@ QUERIES = {
     "op1_chat_trees": op1_chat_trees,
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op4_fixity": op4_fixity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_license_scan": op6_license_scan,
+    "op7_repair": op7_repair,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_trees": OP1_SQL,
+    "op4_fixity": OP4_SQL,
+    "op8_lm_scoring": OP8_SQL,
     "op10_decontamination": OP10_SQL,
 }

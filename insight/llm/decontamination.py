@@ -9,8 +9,8 @@ the lists may disagree by so many words and every word must lie that near to its
 
 The index holds narrow rows for the words that windows need, so its size follows the documents; the word
 tables that are broadcast come from the benchmark and are broadcast only up to ``BROADCAST_BYTES``.  Beyond
-it, joins by word are shuffled, where Spark splits skewed partitions.  Texts are shuffled once, to meet
-their matches.  Everything is DataFrame functions.
+it, joins by word are shuffled, where Spark splits skewed partitions.  Only texts with a candidate place are
+moved to it; which these are is broadcast under the same check.  Everything is DataFrame functions.
 
 Defined results: a null, empty or wordless text has no words and no hits; a benchmark item without words
 has no window; a window of equal words in several items counts for each of them; repeated rows of documents
@@ -27,7 +27,7 @@ from insight.llm.storage import stored
 #: Bytes of benchmark words up to which their table is broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Lists that are intersected before texts are compared.
-LISTS = 3
+LISTS = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: all of ASCII but letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -43,9 +43,9 @@ def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
-def _small(df: DataFrame, word: str) -> DataFrame:
+def _small(df: DataFrame, word: str | None = None) -> DataFrame:
     """``df``, to be broadcast if its measured size allows."""
-    size = df.agg(F.sum(F.octet_length(word) + F.lit(64))).first()[0] or 0
+    size = df.agg(F.sum((F.octet_length(word) if word else F.lit(0)) + F.lit(64))).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
@@ -102,19 +102,17 @@ def matches(docs: DataFrame, windows: DataFrame, slop: int = 0) -> tuple[DataFra
     return found, index
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
-    """Every row of ``docs`` (``doc_id``, ``text`` and ``key``, the hash of both) with its verified ``matches`` (start, wid, length, exact) and counts.
-
-    ``n_hit`` counts the words inside any match; ``items`` holds the items with a match, sorted as strings.
-    """
+def verified(docs: DataFrame, benchmark: DataFrame, width: int, slop: int) -> tuple[DataFrame, DataFrame]:
+    """Texts with a match: ``key`` (hash of id and text), ``matches`` (start, wid, length, exact) and ``n_hit``, the
+    words inside any match; and the items of the windows."""
     windows, owners = benchmark_windows(benchmark, width)
     found, _ = matches(docs, windows, slop)
+    found = stored(found, "decontamination-candidates")
     spots = (found.join(windows, "wid").groupBy("key")
              .agg(F.collect_set(F.struct("start", "wid", "window")).alias("spots")))
-    told = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).join(spots, "key", "left")
-    told = told.select("doc_id", "key", "spots", raw_words(F.col("text")).alias("raw"))
-    told = told.select("doc_id", "key", "spots", F.size("raw").cast("long").alias("n_words"),
-                       F.when(F.col("spots").isNotNull(), F.transform("raw", ascii_lower)).alias("words"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    asked = keyed.join(_small(found.select("key").distinct()), "key", "left_semi").select("key", "text").join(spots, "key")
+    asked = asked.select("key", "spots", F.transform(raw_words(F.col("text")), ascii_lower).alias("words"))
 
     def exact(s: Column) -> Column:
         return (s["start"] >= 0) & (F.slice("words", F.greatest(s["start"], F.lit(0)) + 1, F.size(s["window"])) == s["window"])
@@ -125,26 +123,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
             F.greatest(F.lit(0), F.least(F.lit(2 * slop + 1), s["start"] + i + slop + 1))), w)), lambda x: x)
 
     kept = F.filter("spots", (lambda s: exact(s) | close(s)) if slop else exact)
-    told = told.select("doc_id", "key", "n_words", F.array_sort(F.transform(kept, lambda s: F.struct(
+    asked = asked.select("key", F.size("words").alias("n"), F.array_sort(F.transform(kept, lambda s: F.struct(
         s["start"].alias("start"), s["wid"].alias("wid"), F.size(s["window"]).alias("length"), exact(s).alias("exact")))).alias("matches"))
     covered = F.aggregate(
         "matches", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda acc, m: F.struct(
-            (acc["n"] + F.greatest(F.lit(0), F.least(m["start"] + m["length"], F.col("n_words").cast("int")) - F.greatest(acc["end"], m["start"]))).alias("n"),
+            (acc["n"] + F.greatest(F.lit(0), F.least(m["start"] + m["length"], F.col("n")) - F.greatest(acc["end"], m["start"]))).alias("n"),
             F.greatest(acc["end"], m["start"] + m["length"]).alias("end")),
         lambda acc: acc["n"])
-    told = stored(told.withColumn("n_hit", F.coalesce(covered, F.lit(0)).cast("long")), "decontamination-documents")
-    owned = (told.where("n_hit > 0").select("key", F.explode("matches.wid").alias("wid")).distinct()
+    told = stored(asked.select("key", "matches", covered.cast("long").alias("n_hit")), "decontamination-hits")
+    return told.where("n_hit > 0").dropDuplicates(["key"]), owners
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
+    """Every row of ``docs`` (``doc_id``, ``key``) with its words, hits, verified ``matches`` and matched ``items``,
+    sorted as strings."""
+    hits, owners = verified(docs, benchmark, width, slop)
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    owned = (hits.select("key", F.explode("matches.wid").alias("wid")).distinct()
              .join(owners, "wid").groupBy("key")
              .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
-    out = told.join(owned, "key", "left")
-    return out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    told = keyed.select("doc_id", "key", F.size(raw_words(F.col("text"))).cast("long").alias("n_words"))
+    out = told.join(hits.join(owned, "key"), "key", "left")
+    return out.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+                      F.coalesce("matches", F.array().cast(hits.schema["matches"].dataType)).alias("matches"),
+                      F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
     """The rows of ``docs`` (all columns) whose text has no match."""
-    bad = contamination(docs, benchmark, width, slop).where("n_hit > 0").select(F.col("key").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("_bad"), "left_anti")
+    bad = verified(docs, benchmark, width, slop)[0].select(F.col("key").alias("_bad"))
+    return docs.join(_small(bad), F.xxhash64("doc_id", "text") == F.col("_bad"), "left_anti")
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:

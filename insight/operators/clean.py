@@ -11,11 +11,7 @@ from pyspark.sql import types as T
 
 from insight.functions.expr import round_half_even
 from insight.operators.joins import join_group_stat
-from insight.operators.ranking import (_sketch_min_bytes, estimated_bytes, grouped_quantiles,
-                                       quantile_values, quantile_values_multi)
-
-# Group count up to which grouped medians use ranked order statistics.
-EXACT_MEDIAN_MAX_GROUPS = 10_000
+from insight.operators.ranking import grouped_quantiles, quantile_values, quantile_values_multi
 
 _FLOATING = (T.FloatType, T.DoubleType)
 
@@ -64,14 +60,10 @@ def impute_median(df: DataFrame, col: str, by: Sequence[str] | None = None,
                   out: str | None = None) -> DataFrame:
     """``fillna(median)`` globally (C3) or per group (C4, ``transform('median')``).
 
-    Global: the exact median from ranked order statistics (no task holds all
-    values).  Per group, on inputs above the order-statistics size threshold
-    with at most ``EXACT_MEDIAN_MAX_GROUPS`` groups (checked with one small
-    job): the same order statistics per group, so a hot group is split across
-    tasks; otherwise the ``median`` aggregate per group (buffer = distinct
-    values of the group, harmless on small inputs).  Either way the per-group medians are joined back behind
-    a size check.  A group that is all null stays null; a null group key is
-    not imputed (pandas drops null keys in ``groupby``).
+    Exact medians from counts per distinct value (no task holds all values;
+    any number of groups).  The per-group medians are joined back behind a
+    size check.  A group that is all null stays null; a null group key is not
+    imputed (pandas drops null keys in ``groupby``).  Runs jobs at build time.
     """
     out = out or col
     if not by:
@@ -79,15 +71,7 @@ def impute_median(df: DataFrame, col: str, by: Sequence[str] | None = None,
         return df.withColumn("_med", med).withColumn(
             out, F.coalesce(F.col(col).cast("double"), F.col("_med"))).drop("_med")
     by = list(by)
-    small = estimated_bytes(df) < _sketch_min_bytes(df)  # no task can overflow
-    groups = df.select(*by).where(F.col(by[0]).isNotNull()).distinct()
-    if not small and groups.limit(EXACT_MEDIAN_MAX_GROUPS + 1).count() <= EXACT_MEDIAN_MAX_GROUPS:
-        stats = grouped_quantiles(df, col, by, [0.5]).select(*by, F.col("_q")[0].alias("_med"))
-    else:
-        stats = df.where(F.col(col).isNotNull() & ~F.isnan(col)).groupBy(*by).agg(
-            F.median(F.col(col).cast("double")).alias("_med"))
-        for b in by:
-            stats = stats.where(F.col(b).isNotNull())
+    stats = grouped_quantiles(df, col, by, [0.5]).select(*by, F.col("_q")[0].alias("_med"))
     return join_group_stat(df, stats, by).withColumn(
         out, F.coalesce(F.col(col).cast("double"), F.col("_med"))).drop("_med")
 
@@ -96,8 +80,8 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
     """``df.describe().round(digits)`` in long form, one row per column.
 
     count, mean, sample std, min, exact 25/50/75% (interpolated, like pandas)
-    and max.  All columns share one aggregate pass and one fused ranking
-    pass for the quartiles (not ``summary()``, whose quartiles are
+    and max.  All columns share one aggregate pass and one pass of value
+    counts for the quartiles (not ``summary()``, whose quartiles are
     approximate); the wide result is unpivoted with ``inline``.
     """
     aggs = []

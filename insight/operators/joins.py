@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 
 from insight.session import checkpoint_dir
 
-# Rows above which a group-statistic frame is joined by shuffle instead of broadcast.
-BROADCAST_MAX_ROWS = 1_000_000
+# Measured bytes above which a group-statistic frame is joined by shuffle instead of broadcast.
+BROADCAST_MAX_BYTES = 32 << 20
 
 
-def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def _row_bytes(df: DataFrame):
+    """Bytes of a row: variable-length values by their text, the rest at 16."""
+    return sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + F.lit(16) for c in df.columns), F.lit(0))
+
+
+def broadcast_if_small(small: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Broadcast ``small`` only when it is proven small.
 
     The frame (an aggregate result) is written once to the cluster's
     checkpoint folder, which cuts its lineage so the aggregate is not
-    recomputed, and then counted.  Beyond ``max_rows`` it is returned
+    recomputed, and then measured.  Beyond ``max_bytes`` it is returned
     unhinted and joins by shuffle, where AQE's skew-join handling applies.
     """
     checkpoint_dir(small.sparkSession)
     small = small.checkpoint(eager=True)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    n = small.agg(F.sum(_row_bytes(small))).first()[0] or 0
+    return F.broadcast(small) if n <= (BROADCAST_MAX_BYTES if max_bytes is None else max_bytes) else small
 
 
 def join_group_stat(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left",
-                    max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                    max_bytes: int | None = None) -> DataFrame:
     """Join a per-group statistic frame back to the rows."""
-    return df.join(broadcast_if_small(stats, max_rows), on=keys, how=how)
+    return df.join(broadcast_if_small(stats, max_bytes), on=keys, how=how)

@@ -80,9 +80,12 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """Label x prediction counts with both classes always present."""
-    return df.groupBy(F.col(label).alias("label")).agg(
-        F.count_if(F.col(pred) == 0).alias("pred_0"), F.count_if(F.col(pred) == 1).alias("pred_1"))
+    """Label x prediction counts; classes 0 and 1 always have a row."""
+    y, p = F.col(label), F.col(pred)
+    one = df.agg(*[F.count_if((y == a) & (p == b)).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)])
+    kind = df.schema[label].dataType
+    return one.select(F.inline(F.array(*[F.struct(
+        F.lit(a).cast(kind).alias("label"), F.col(f"c{a}0").alias("pred_0"), F.col(f"c{a}1").alias("pred_1")) for a in (0, 1)])))
 
 
 def accuracy(label: Column, pred: Column) -> Column:

@@ -3,26 +3,24 @@
 An unpartitioned ``Window.orderBy`` moves every row into one task.  Here the
 order is computed the distributed way (the one piece of real design):
 
-1. ``repartitionByRange(k, order)`` - Spark samples bounds and splits the rows
-   into k ordered, balanced ranges.  The order ends with a unique tie column,
-   so a hot value (even a third of all rows) is split across ranges.
+1. ``repartitionByRange(order)`` - Spark samples bounds and splits the rows
+   into ordered, balanced ranges, as many as the adaptive planner sees fit.
+   The order ends with a unique tie column, so a hot value (even a third of
+   all rows) is split across ranges.
 2. ``sortWithinPartitions(order)`` + ``monotonically_increasing_id()`` - the
    id carries the range number (high bits) and the row's position inside its
    sorted range (low bits); no second shuffle.
-3. Per-range counts -> prefix sums over k rows (a frame bounded by k, not by
-   the data) -> broadcast back -> global rank = offset + position + 1.
-
-The range exchange is consumed twice (counts and rows) inside one plan and
-Spark reuses it (``ReusedExchange``), so both see the same bounds.
-
-Operators that only need a few order statistics (bin edges, quantiles, a
-split point) go through ``order_statistics`` on a *narrow* projection: on
-large inputs a ``percentile_approx`` sketch brackets each target rank, one
-counting pass verifies the bracket exactly (falling back to the whole group
-when it misses), and only rows inside the brackets are ranked as above; small
-inputs are ranked whole.  The handful of boundary rows goes back to the main
-table as a scalar subquery; the wide table is binned by comparison against
-at most q boundaries and never reshuffled.
+3. The numbered rows are stored once in the checkpoint folder.  Counts per
+   range and the rows themselves are both read from there, so they can never
+   belong to different ranges, whatever columns each of them reads.
+4. Per-range counts -> prefix sums (a frame of one row per range, not per
+   data row) -> joined back -> global rank = offset + position + 1.
+
+Rank bins and split points rank a *narrow* projection; the handful of
+boundary rows goes back to the main table as a scalar subquery, and the wide
+table is binned by comparison, never reshuffled.  Quantile values need no
+ties: the rows collapse to counts per distinct value map-side, and a prefix
+sum over the distinct values finds them.
 
 Inputs whose values are recomputed (e.g. a double aggregated after a shuffle)
 must be deterministic; money sums go through decimals (``money_sum``).
@@ -37,59 +35,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insight.functions.expr import comes_after
+from insight.session import materialize
 
 _POS_MASK = (1 << 33) - 1
-_UNKNOWN_SIZE = 1 << 62
-MAX_RANGES = 100_000
-
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
 
-def _partitions(df: DataFrame, k: int | None) -> int:
-    """Range count: given, else enough ranges of Spark's advisory size, at least
-    ``spark.sql.shuffle.partitions``."""
-    if k:
-        return int(k)
-    conf = df.sparkSession.conf
-    base = int(conf.get("spark.sql.shuffle.partitions"))
-    target = conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
-    target_bytes = _size_to_bytes(target)
-    est = estimated_bytes(df)
-    if est >= _UNKNOWN_SIZE:  # Catalyst's "unknown" default size
-        return base
-    return int(min(MAX_RANGES, max(base, -(-est // max(target_bytes, 1)))))
-
-
-def _size_to_bytes(text: str) -> int:
-    t = str(text).strip().lower().rstrip("b")
-    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    return int(float(t[:-1]) * mult[t[-1]]) if t and t[-1] in mult else int(float(t))
-
-
 def _sort_keys(order: Order) -> list[Column]:
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
 
 
+def _numbered(df: DataFrame, keys: Sequence[Column], num_partitions: int | None) -> DataFrame:
+    """Rows in range order, stored, with ``_pid`` (range) and ``_pos`` (position in the range)."""
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    kept = materialize(ranged.sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id()))
+    return kept.withColumns({"_pid": F.shiftright("_mid", 33), "_pos": F.col("_mid").bitwiseAND(F.lit(_POS_MASK))}).drop("_mid")
+
+
 def rank_rows(df: DataFrame, order: Order, by: Sequence[str] = (), rank_col: str = "_rank",
               total_col: str = "_n", num_partitions: int | None = None) -> DataFrame:
     """Attach the exact 1-based ``row_number`` over ``order`` (within ``by`` groups).
 
     ``order`` must make rows unique (end it with an id) for a deterministic
     result.  Adds ``rank_col`` and ``total_col`` (row count of the group).
-    The offsets frame has at most ``k + groups`` rows; it is broadcast, so
-    ``by`` is meant for few groups (labels, strata, column names).
+    Runs one job at build time that stores the ordered rows; the offsets
+    frame has at most one row per range and group.
     """
-    k = _partitions(df, num_partitions)
     by = list(by)
-    keys = [F.col(b).asc() for b in by] + _sort_keys(order)
-    ranged = (
-        df.repartitionByRange(k, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
-        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_POS_MASK)))
-        .drop("_mid")
-    )
+    ranged = _numbered(df, [F.col(b).asc() for b in by] + _sort_keys(order), num_partitions)
     grp = ["_pid"] + by
     counts = ranged.groupBy(*grp).agg(F.count(F.lit(1)).alias("_cnt"),
                                       F.min("_pos").alias("_first"))
@@ -100,7 +73,9 @@ def rank_rows(df: DataFrame, order: Order, by: Sequence[str] = (), rank_col: str
         F.coalesce(F.sum("_cnt").over(prior), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(whole).alias(total_col),
     )
-    joined = ranged.join(F.broadcast(offsets), on=grp, how="inner")
+    offsets = offsets.withColumnsRenamed({c: f"_of_{c}" for c in grp})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in grp]
+    joined = ranged.join(offsets, on=same, how="inner").drop(*[f"_of_{c}" for c in grp])
     return joined.withColumn(
         rank_col, F.col("_off") + (F.col("_pos") - F.col("_first")) + F.lit(1)
     ).drop("_pid", "_pos", "_first", "_off")
@@ -130,116 +105,43 @@ def qcut_rank_bin(rank: Column, n: Column, q: int) -> Column:
     return F.when(n <= 1, F.lit(1)).otherwise(F.greatest(F.lit(1), quotient.cast("int")))
 
 
-SKETCH_ACCURACY = 10_000
-# half-width of the sketch window around each target fraction; the sketch's
-# rank error is at most 1/accuracy, and every window is verified exactly
-_WINDOW = 3.0 / SKETCH_ACCURACY
-
-
-# Inputs estimated (by Catalyst's plan statistics) below this size are ranked
-# whole in one pass; larger inputs rank only sketch windows.  Override with
-# the session conf ``insight.orderStatistics.sketchMinBytes``.
-SKETCH_MIN_BYTES = 256 * 1024 * 1024
-
-
-def _as_int(size) -> int:
-    return int(size if isinstance(size, int) else size.toString())
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size estimate of a plan from Catalyst's statistics (no job runs).
+def order_statistics(narrow: DataFrame, ties: Sequence[str], targets: Sequence[object],
+                     num_partitions: int | None = None) -> DataFrame:
+    """Rows at given ranks of the order ``(_v, *ties)`` within each group ``_g``.
 
-    Bounded by the bytes of the plan's leaf scans: without cost-based
-    optimisation Catalyst estimates a join as the product of its inputs.
+    ``narrow`` holds ``_g`` (group key), ``_v`` (sort key, no null/NaN) and
+    the tie columns (ascending).  ``targets`` is a list of functions from the
+    group size to a 1-based rank.  Returns ``_g, _j, _t`` (target index and
+    rank), ``_n`` (group size), ``_v`` and ties for every target inside
+    ``1..n``.  One path for every size: a range sort of the narrow rows.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    leaves = plan.collectLeaves()
-    scanned = sum(_as_int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return min(_as_int(plan.stats().sizeInBytes()), scanned)
+    rk = rank_rows(narrow, [("_v", True)] + [(c, True) for c in ties], by=["_g"], rank_col="_r",
+                   num_partitions=num_partitions)
+    n = F.col("_n")
+    hit = F.array(*[F.when(F.col("_r") == rank_fn(n).cast("long"), F.lit(j)) for j, rank_fn in enumerate(targets)])
+    picked = rk.select("_g", "_v", *ties, "_r", "_n", F.explode(F.array_compact(hit)).alias("_j"))
+    return picked.select("_g", "_j", F.col("_r").alias("_t"), "_n", "_v", *ties)
 
 
-def _sketch_min_bytes(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("insight.orderStatistics.sketchMinBytes", str(SKETCH_MIN_BYTES)))
+def _common_key(types: Sequence[T.DataType]) -> str:
+    """The type that holds every value of the given numeric types without losing their order."""
+    if all(isinstance(t, T.IntegralType) for t in types):
+        return "bigint"
+    if all(isinstance(t, (T.IntegralType, T.DecimalType)) for t in types):
+        return f"decimal(38,{max(t.scale for t in types if isinstance(t, T.DecimalType))})"
+    return "double"
 
 
-def order_statistics(narrow: DataFrame, ties: Sequence[str], targets: Sequence[tuple[float, object]],
-                     num_partitions: int | None = None, accuracy: int = SKETCH_ACCURACY,
-                     method: str = "auto") -> DataFrame:
-    """Rows at given ranks of the order ``(_v, *ties)`` within each group ``_g``.
+def _sortable(x: Column, ascending: bool, kind: str) -> Column:
+    """Ascending sort key; descending keys are mirrored (integers bitwise, so none overflows)."""
+    k = x.cast(kind)
+    if ascending:
+        return k
+    return F.bitwise_not(k) if kind == "bigint" else F.lit(0).cast(kind) - k
 
-    ``narrow`` holds ``_g`` (group key, few groups), ``_v`` (double sort key,
-    no null/NaN) and the tie columns (ascending, non-null).  ``targets`` is a
-    list of ``(approximate fraction, rank function of the group size n)``.
-    Returns ``_g, _j, _t`` (target index and 1-based rank), ``_n`` (group
-    size), ``_v`` and ties for every target inside ``1..n``.
-
-    Exact, and only a sliver of the data is sorted:
-    1. one aggregate: n and a ``percentile_approx`` sketch per group give a
-       value window ``[lo, hi]`` around each target fraction;
-    2. one aggregate counts rows below and inside each window; a window
-       that does not contain the target rank (sketch error) is widened to
-       the whole group, so the result never depends on the sketch;
-    3. only rows inside windows are range-partitioned and ranked
-       (``rank_rows``), and the target rank is ``below + local rank``.
-
-    ``method="sort"`` ranks every row instead (one range shuffle, fewer
-    jobs); ``"auto"`` picks it when the plan's size estimate is below
-    ``SKETCH_MIN_BYTES``, where job count, not data volume, dominates.
-    """
-    nt = len(targets)
-    if method == "auto":
-        method = "sort" if estimated_bytes(narrow) < _sketch_min_bytes(narrow) else "sketch"
-    if method == "sort":
-        rk = rank_rows(narrow, [("_v", True)] + [(c, True) for c in ties], by=["_g"],
-                       rank_col="_r", num_partitions=num_partitions)
-        n = F.col("_n")
-        hit = F.array(*[F.when(F.col("_r") == rank_fn(n).cast("long"), F.lit(j))
-                        for j, (_, rank_fn) in enumerate(targets)])
-        picked = rk.select("_g", "_v", *ties, "_r", "_n", F.explode(F.array_compact(hit)).alias("_j"))
-        return picked.select("_g", "_j", F.col("_r").alias("_t"), "_n", "_v", *ties)
-    fracs = []
-    for f, _ in targets:
-        fracs += [max(0.0, float(f) - _WINDOW), min(1.0, float(f) + _WINDOW)]
-    sk = narrow.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"),
-                                  F.percentile_approx("_v", fracs, accuracy).alias("_ap"))
-    sk_map = sk.select(F.map_from_entries(F.collect_list(
-        F.struct(F.col("_g"), F.struct("_n", "_ap"))))).scalar()
-    v = F.col("_v")
-    s = F.col("_s")
-    counted = narrow.withColumn("_s", F.try_element_at(sk_map, F.col("_g"))).groupBy("_g").agg(
-        *[F.count_if(v < s["_ap"][2 * j]).alias(f"_b{j}") for j in range(nt)],
-        *[F.count_if((v >= s["_ap"][2 * j]) & (v <= s["_ap"][2 * j + 1])).alias(f"_i{j}") for j in range(nt)])
-    checked = counted.join(sk, "_g", "inner")
-    n = F.col("_n")
-    los, his, belows, ranks = [], [], [], []
-    for j, (_, rank_fn) in enumerate(targets):
-        t = rank_fn(n).cast("long")
-        b, i = F.col(f"_b{j}"), F.col(f"_i{j}")
-        ok = (b < t) & (t <= b + i)
-        los.append(F.when(ok, F.col("_ap")[2 * j]).otherwise(F.lit(float("-inf"))))
-        his.append(F.when(ok, F.col("_ap")[2 * j + 1]).otherwise(F.lit(float("inf"))))
-        belows.append(F.when(ok, b).otherwise(F.lit(0)).cast("long"))
-        ranks.append(t)
-    window = F.struct(F.array(*los).alias("lo"), F.array(*his).alias("hi"),
-                      F.array(*belows).alias("below"), F.array(*ranks).alias("t"), n.alias("n"))
-    win_map = checked.select(F.map_from_entries(F.collect_list(F.struct(F.col("_g"), window)))).scalar()
-    w = F.col("_w")
-    rows = narrow.withColumn("_w", F.try_element_at(win_map, F.col("_g")))
-    hits = F.array(*[F.when((v >= w["lo"][j]) & (v <= w["hi"][j]), F.lit(j)) for j in range(nt)])
-    rows = rows.select("_g", "_v", *ties, F.explode(F.array_compact(hits)).alias("_j"))
-    rk = rank_rows(rows, [("_v", True)] + [(c, True) for c in ties], by=["_g", "_j"],
-                   rank_col="_lr", num_partitions=num_partitions)
-    rk = rk.withColumn("_w", F.try_element_at(win_map, F.col("_g")))
-    glob = w["below"][F.col("_j")] + F.col("_lr")
-    t = w["t"][F.col("_j")]
-    picked = rk.where((glob == t) & (t >= 1) & (t <= w["n"]))
-    return picked.select("_g", "_j", t.alias("_t"), w["n"].alias("_n"), "_v", *ties)
-
-
-def _sortable(x: Column, ascending: bool) -> Column:
-    """Numeric sort key as double; descending keys are negated (0.0 - x keeps +0.0)."""
-    d = x.cast("double")
-    return d if ascending else F.lit(0.0) - d
+
+def _present(x: Column, kind: str) -> Column:
+    return x.isNotNull() & ~F.isnan(x) if kind == "double" else x.isNotNull()
 
 
 def rank_bins_multi(df: DataFrame, specs: Sequence[tuple[str, bool, str]], q: int, tie: str,
@@ -256,10 +158,11 @@ def rank_bins_multi(df: DataFrame, specs: Sequence[tuple[str, bool, str]], q: in
     """
     if labels is not None and len(labels) != q:
         raise ValueError("need q labels")
-    entries = [F.struct(F.lit(i).alias("_g"), _sortable(F.col(v), asc).alias("_v"))
+    kind = _common_key([df.schema[v].dataType for v, _, _ in specs])
+    entries = [F.struct(F.lit(i).alias("_g"), _sortable(F.col(v), asc, kind).alias("_v"))
                for i, (v, asc, _) in enumerate(specs)]
     narrow = (df.select(F.col(tie), F.explode(F.array(*entries)).alias("_p"))
-              .select("_p._g", "_p._v", tie).where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+              .select("_p._g", "_p._v", tie).where(_present(F.col("_v"), kind)))
 
     def edge(b):
         def rank_fn(n):
@@ -267,20 +170,20 @@ def rank_bins_multi(df: DataFrame, specs: Sequence[tuple[str, bool, str]], q: in
             return (x - x % F.lit(q)) / F.lit(q) + F.lit(1)  # floor(b(n-1)/q) + 1, exact
         return rank_fn
 
-    bounds = order_statistics(narrow, [tie], [(b / q, edge(b)) for b in range(1, q)],
+    bounds = order_statistics(narrow, [tie], [edge(b) for b in range(1, q)],
                               num_partitions=num_partitions)
     lookup = bounds.select(F.map_from_entries(F.collect_list(F.struct(
         (F.col("_g").cast("long") * F.lit(1_000_000) + F.col("_j")).alias("k"),
         F.struct(F.col("_v").alias("x"), F.col(tie).alias("t")))))).scalar()
     out = df.withColumn("_bounds", lookup)
     for i, (v, asc, name) in enumerate(specs):
-        key = _sortable(F.col(v), asc)
+        key = _sortable(F.col(v), asc, kind)
         binc = F.lit(1)
         for j in range(q - 1):
             e = F.try_element_at(F.col("_bounds"), F.lit(i * 1_000_000 + j))
             after = comes_after([key, F.col(tie)], [e["x"], e["t"]], [True, True])
             binc = binc + F.when(after, 1).otherwise(0)
-        binc = F.when(key.isNull() | F.isnan(key), F.lit(1)).otherwise(binc)
+        binc = F.when(~_present(key, kind), F.lit(1)).otherwise(binc)
         if labels is not None:
             binc = F.element_at(F.array(*[F.lit(x) for x in labels]), binc)
         out = out.withColumn(name, binc)
@@ -321,72 +224,62 @@ def rank_bins(df: DataFrame, value: str, q: int, tie: str, ascending: bool = Tru
     return df.withColumn("_bounds", lookup).withColumn(out, binc).drop("_bounds")
 
 
+def _count_quantiles(narrow: DataFrame, probs: Sequence[float], num_partitions: int | None) -> DataFrame:
+    """Interpolated quantiles of ``_v`` per ``_g``: ``_g``, ``_q`` (array in ``probs`` order).
+
+    Rows collapse to one per distinct value before the shuffle; running
+    counts over the distinct values find the two order statistics around each
+    position ``p * (n - 1)``.
+    """
+    counts = narrow.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = prefix_sums(counts, [("_g", True), ("_v", True)], ["_c"], num_partitions=num_partitions)
+    ends = cum.groupBy("_g").agg(F.max("_c_cum").alias("_end"), F.sum("_c").alias("_n"))
+    placed = cum.join(ends, "_g").withColumn("_upto", F.col("_c_cum") - F.col("_end") + F.col("_n"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto")), F.col("_v")))
+
+    pos = [(F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p)) for p in probs]
+    found = placed.groupBy("_g", "_n").agg(
+        *[at(F.floor(x) + F.lit(1)).alias(f"_lo{k}") for k, x in enumerate(pos)],
+        *[at(F.ceil(x) + F.lit(1)).alias(f"_hi{k}") for k, x in enumerate(pos)])
+    vals = [F.when(F.floor(x) == F.ceil(x), F.col(f"_lo{k}")).otherwise(
+        F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (x - F.floor(x))) for k, x in enumerate(pos)]
+    return found.select("_g", F.array(*vals).alias("_q"))
+
+
 def quantile_values_multi(df: DataFrame, cols: Sequence[str | Column], probs: Sequence[float],
                           num_partitions: int | None = None) -> Column:
     """Exact linear-interpolated quantiles of several columns in one pass.
 
     Returns a scalar-subquery ``map<int, array<double>>``: column index ->
     quantiles in ``probs`` order.  Same definition as ``percentile`` /
-    ``quantile_cont`` / numpy 'linear': position p*(n-1) between the two
-    order statistics around it.  The order statistics come from
-    ``order_statistics`` (sketch window, exact count, rank only the window),
-    so no task holds all values and only a sliver is sorted.  A row hash
-    breaks ties so a hot value still spreads over ranges.  Nulls and NaN
-    are ignored; a column without values has no entry.
+    ``quantile_cont`` / numpy 'linear'.  Only the columns asked for are read.
+    Nulls and NaN are ignored; a column without values has no entry.
     """
-    h = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h")
     entries = [F.struct(F.lit(i).alias("_g"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("_v"))
                for i, c in enumerate(cols)]
-    narrow = (df.select(h, F.explode(F.array(*entries)).alias("_p"))
-              .select("_p._g", "_p._v", "_h").where(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    targets = []
-    for p in probs:
-        targets.append((p, lambda n, p=p: F.floor((n - F.lit(1)).cast("double") * F.lit(float(p))) + F.lit(1)))
-        targets.append((p, lambda n, p=p: F.ceil((n - F.lit(1)).cast("double") * F.lit(float(p))) + F.lit(1)))
-    stats = order_statistics(narrow, ["_h"], targets, num_partitions=num_partitions)
-    per = stats.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_j", "_v"))).alias("m"),
-                                  F.max("_n").alias("n"))
-    vals = []
-    for k, p in enumerate(probs):
-        pos = (F.col("n") - F.lit(1)).cast("double") * F.lit(float(p))
-        lo = F.try_element_at(F.col("m"), F.lit(2 * k))
-        hi = F.try_element_at(F.col("m"), F.lit(2 * k + 1))
-        d = pos - F.floor(pos)
-        vals.append(F.when(F.floor(pos) == F.ceil(pos), lo).otherwise(lo + (hi - lo) * d))
-    per_col = per.select(F.struct(F.col("_g"), F.array(*vals)).alias("e"))
-    return per_col.select(F.map_from_entries(F.collect_list("e"))).scalar()
+    narrow = df.select(F.inline(F.array(*entries))).where(_present(F.col("_v"), "double"))
+    per = _count_quantiles(narrow, probs, num_partitions)
+    return per.select(F.map_from_entries(F.collect_list(F.struct("_g", "_q")))).scalar()
 
 
 def grouped_quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequence[float],
                       out: str = "_q", num_partitions: int | None = None) -> DataFrame:
     """Exact quantiles of ``col`` per group: one row per group with ``out`` = array.
 
-    Built on ``order_statistics`` (a hot group is split over ranges by a row
-    hash and only its window rows are sorted).  The intermediate window maps
-    hold one entry per group and target, so callers keep the group count
-    bounded (``impute_median`` checks it).  Null keys and values are skipped.
+    Any number of groups; a hot group collapses to its distinct values
+    before the shuffle, and these are split over ranges.  Null keys and
+    values are skipped.
     """
     by = list(by)
-    key = F.struct(*[F.col(b).alias(f"g{i}") for i, b in enumerate(by)])
-    valid = F.col(col).isNotNull() & ~F.isnan(col)
+    x = F.col(col).cast("double")
+    valid = _present(x, "double")
     for b in by:
         valid = valid & F.col(b).isNotNull()
-    narrow = df.where(valid).select(key.alias("_g"), F.col(col).cast("double").alias("_v"),
-                                    F.xxhash64(*[F.col(c) for c in df.columns]).alias("_h"))
-    targets = []
-    for p in probs:
-        targets.append((p, lambda n, p=p: F.floor((n - F.lit(1)).cast("double") * F.lit(float(p))) + F.lit(1)))
-        targets.append((p, lambda n, p=p: F.ceil((n - F.lit(1)).cast("double") * F.lit(float(p))) + F.lit(1)))
-    stats = order_statistics(narrow, ["_h"], targets, num_partitions=num_partitions)
-    per = stats.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_j", "_v"))).alias("m"),
-                                  F.max("_n").alias("n"))
-    vals = []
-    for k, p in enumerate(probs):
-        pos = (F.col("n") - F.lit(1)).cast("double") * F.lit(float(p))
-        lo = F.try_element_at(F.col("m"), F.lit(2 * k))
-        hi = F.try_element_at(F.col("m"), F.lit(2 * k + 1))
-        vals.append(F.when(F.floor(pos) == F.ceil(pos), lo).otherwise(lo + (hi - lo) * (pos - F.floor(pos))))
-    return per.select(*[F.col("_g")[f"g{i}"].alias(b) for i, b in enumerate(by)], F.array(*vals).alias(out))
+    key = F.struct(*[F.col(b).alias(f"g{i}") for i, b in enumerate(by)])
+    per = _count_quantiles(df.where(valid).select(key.alias("_g"), x.alias("_v")), probs, num_partitions)
+    return per.select(*[F.col("_g")[f"g{i}"].alias(b) for i, b in enumerate(by)], F.col("_q").alias(out))
 
 
 def quantile_values(df: DataFrame, col: str | Column, probs: Sequence[float],
@@ -444,7 +337,7 @@ def split_point_flags(df: DataFrame, order: Order, fraction: float, out: str = "
         narrow = df.select(key.alias("_g"), lead.cast("double").alias("_v"), *cols)
         for b in by:  # map keys cannot be null; a null stratum is never flagged
             narrow = narrow.where(F.col("_g")[f"g{by.index(b)}"].isNotNull())
-        bounds = order_statistics(narrow, cols, [(fraction, lambda n: F.ceil(n.cast("double") * F.lit(float(fraction))))],
+        bounds = order_statistics(narrow, cols, [lambda n: F.ceil(n.cast("double") * F.lit(float(fraction)))],
                                   num_partitions=num_partitions)
         bounds = bounds.select(F.col("_g").alias("_grp_key"), *cols)
     else:
@@ -473,16 +366,14 @@ def prefix_sums(df: DataFrame, order: Order, cols: Sequence[str], suffix: str =
     rows are range-partitioned, summed within each range, and each range
     adds the total of all ranges before it (a k-row frame, broadcast).
     """
-    k = _partitions(df, num_partitions)
-    keys = _sort_keys(order)
-    ranged = df.repartitionByRange(k, *keys).withColumn("_pid", F.spark_partition_id())
-    running = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = _numbered(df, _sort_keys(order), num_partitions)
+    running = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.sum(c).over(running).alias(f"_loc_{c}") for c in cols])
     totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
     prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[
         F.coalesce(F.sum(f"_tot_{c}").over(prior), F.lit(0)).alias(f"_off_{c}") for c in cols])
-    out = local.join(F.broadcast(offsets), on="_pid", how="inner")
+    out = local.join(offsets, on="_pid", how="inner")
     for c in cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_off_{c}") + F.col(f"_loc_{c}"))
-    return out.drop("_pid", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])
+    return out.drop("_pid", "_pos", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])

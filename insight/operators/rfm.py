@@ -41,6 +41,7 @@ def rfm(df: DataFrame, customer: str, order_id: str, date: str, value: str,
                ``money_scale`` is set), both ranked ascending;
     ties in every rank by customer id ascending (F6).
     """
+    df = df.where(F.col(customer).isNotNull())  # a null key is no customer, as in pandas' groupby
     snap = snapshot_after_last(df, date)
     mon = money_sum(value, money_scale) if money_scale is not None else F.sum(value)
     per = df.groupBy(F.col(customer).alias(out_customer)).agg(

@@ -21,8 +21,8 @@ def hash_key(id_col: str, seed: int) -> Column:
 
 
 def hash_int(text: Column) -> Column:
-    """First 32 bits of an md5 hex digest as a non-negative integer."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    """First 60 bits of an md5 hex digest as a non-negative integer."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: int = 42,

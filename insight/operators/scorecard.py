@@ -37,7 +37,7 @@ def scorecard(df: DataFrame, entity: str, aggs: Mapping[str, Column], score: Col
     One grouped aggregate (partial + final), a projection, then
     ``quantile_tiers`` (exact interpolated edges, right-closed bins).
     """
-    per = df.groupBy(entity).agg(*[c.alias(n) for n, c in aggs.items()])
+    per = df.where(F.col(entity).isNotNull()).groupBy(entity).agg(*[c.alias(n) for n, c in aggs.items()])
     per = per.withColumn(score_col, round_half_even(score, digits))
     return quantile_tiers(per, score_col, q=len(labels), labels=labels, out=tier_col)
 

@@ -4,7 +4,7 @@ Binding: an entity is a labelled document (``documents`` joined with
 ``labels``); the binary label is ``quality``; numeric features are the
 character count, the line count (newlines over the whole text + 1) and the
 toxic flag, plus encoded language and source; the rule score is
-``least(n_chars, 5000) / 5000``.
+``n_chars / (n_chars + 5000)`` (monotone, uncapped).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from insight.sources.tables import read_table
 TIER_EDGES = [0.0, 0.33, 0.66, 1.0]
 TIER_LABELS = ["Low Risk", "Medium Risk", "High Risk"]
 TIER_COLUMNS = ["low_risk", "medium_risk", "high_risk"]
-LENGTH_EDGES = [0, 500, 1000, 2000, 5000, 10000, 1_000_000]
+LENGTH_EDGES = [0, 500, 1000, 2000, 5000, 10000, (1 << 63) - 1]  # the last band is open
 LENGTH_LABELS = ["<500", "500-1k", "1k-2k", "2k-5k", "5k-10k", ">10k"]
 FEATURES = ["n_chars", "n_lines", "toxic", "lang_code", "source_code"]
 SEED = 42
@@ -45,14 +45,14 @@ def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     d = labelled_docs(spark, sf)
-    return d.withColumn("score", F.least(F.col("n_chars"), F.lit(5000)).cast("double") / F.lit(5000.0))
+    return d.withColumn("score", F.col("n_chars").cast("double") / (F.col("n_chars") + F.lit(5000.0)))
 
 
 DOCS_SQL = """
 ld AS (
   SELECT d.doc_id, d.lang, d.source, d.n_chars,
          CAST(length(d.text) - length(replace(d.text, chr(10), '')) + 1 AS BIGINT) AS n_lines,
-         l.quality, l.toxic, CAST(least(d.n_chars, 5000) AS DOUBLE) / 5000.0 AS score
+         l.quality, l.toxic, CAST(d.n_chars AS DOUBLE) / (d.n_chars + 5000.0) AS score
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
 """
 TIER_SQL = """CASE WHEN score > 0.0 AND score <= 0.33 THEN 'Low Risk'
@@ -158,7 +158,7 @@ mino AS (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) AS r
          FROM labels WHERE quality = (SELECT quality FROM mino_label)),
 sizes AS (SELECT (SELECT count(*) FROM mino) AS m,
                  (SELECT count(*) FROM labels WHERE quality <> (SELECT quality FROM mino_label)) AS n_maj),
-draws AS (SELECT i, 1 + (('0x' || substr(md5(CAST(i AS VARCHAR) || ':42'), 1, 8))::BIGINT % m) AS r
+draws AS (SELECT i, 1 + (('0x' || substr(md5(CAST(i AS VARCHAR) || ':42'), 1, 15))::BIGINT % m) AS r
           FROM (SELECT unnest(range(1, n_maj + 1)) AS i, m FROM sizes))
 SELECT doc_id, quality, CAST(0 AS BIGINT) AS copy_id FROM labels WHERE quality <> (SELECT quality FROM mino_label)
 UNION ALL

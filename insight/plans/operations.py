@@ -39,9 +39,9 @@ def delivery_events(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events")
     c = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     n = read_table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("zone"))
-    k = F.get_json_object("props", "$.k").cast("int")
-    j = e.join(c, e.user_id == c.c_custkey, "inner").join(
-        F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "inner")
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    j = e.join(c, e.user_id == c.c_custkey, "left").join(
+        F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")  # an unknown customer has no zone
     return j.select(
         "event_id", "ts", "user_id", "event_type", "value", "zone",
         hour_of_day("ts").alias("hour"), is_weekend("ts").alias("is_weekend"),
@@ -105,7 +105,7 @@ dl AS (
          CASE WHEN e.event_type = 'error' THEN NULL
               ELSE least(greatest(CAST(json_extract_string(e.props, '$.k') AS INTEGER), 10), 90) END AS delivery_min,
          CAST(1 + e.event_id % 5 AS INTEGER) AS rating
-  FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)
+  FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)
 """
 
 

@@ -17,8 +17,9 @@ from insight.functions.expr import round_half_even
 from insight.operators import metrics as M
 from insight.operators import models as ML
 from insight.operators import sampling as D
-from insight.plans.documents import FEATURES, SEED, TIER_EDGES, TIER_LABELS, labelled_docs
+from insight.plans.documents import FEATURES, SEED, labelled_docs
 from insight.plans.operations import zone_hour_table
+from insight.plans.accounts import RISK_EDGES, RISK_LABELS
 from insight.plans.registry import query
 from insight.session import materialize
 
@@ -124,7 +125,7 @@ def risk_scores(spark: SparkSession, sf: str) -> DataFrame:
     d = risk_frame(spark, sf)
     model = _fit("forest", d.where(~F.col("is_test")))
     s = ML.score(model, d).withColumn("is_train", ~F.col("is_test"))
-    s = ML.risk_tiers(s, "probability_1", TIER_EDGES, TIER_LABELS)
+    s = ML.risk_tiers(s, "probability_1", RISK_EDGES, RISK_LABELS)
     return s.select("doc_id", "lang", F.col("quality").alias("label"),
                     F.col("probability_1").alias("risk_score"), "risk_tier", "is_train")
 

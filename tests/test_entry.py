@@ -62,21 +62,3 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
     assert _canon(sdf.columns, [tuple(r) for r in sdf.collect()]) == _canon(dcols, res.fetchall())
-
-
-SKETCH_QUERIES = ["rfm_customers", "describe_orders", "impute_global", "impute_by_group", "entity_scorecard",
-                  "balance_quartiles", "lapsed_customer_label", "split_stratified"]
-
-
-@pytest.mark.parametrize("name", SKETCH_QUERIES)
-def test_large_input_path_matches_oracle(spark, duck, name):
-    """Force the sketch-window order statistics (taken on large inputs) and compare with the oracle."""
-    spark.conf.set("insight.orderStatistics.sketchMinBytes", "0")
-    try:
-        sdf = E.queries()[name](spark, SF001)
-        rows = [tuple(r) for r in sdf.collect()]
-    finally:
-        spark.conf.unset("insight.orderStatistics.sketchMinBytes")
-    res = duck.execute(E.oracle_sql()[name])
-    dcols = [d[0] for d in res.description]
-    assert _canon(sdf.columns, rows) == _canon(dcols, res.fetchall())

@@ -17,11 +17,10 @@ def _executed(df):
     return plan.split("== Initial Plan ==")[0]
 
 
-def test_range_exchange_is_shared_by_counts_and_rows(spark):
+def test_counts_and_rows_read_the_same_stored_ranges(spark):
     df = spark.range(0, 5000).select((F.col("id") % 37).alias("v"), F.col("id"))
     plan = _executed(rank_rows(df, [("v", True), ("id", True)], num_partitions=4))
-    assert "rangepartitioning" in plan
-    assert "ReusedExchange" in plan  # the range shuffle runs once for both consumers
+    assert "rangepartitioning" not in plan and "Scan ExistingRDD" in plan  # ranges are never drawn twice
 
 
 def test_no_single_partition_exchange_over_rows(spark):
@@ -49,20 +48,20 @@ def test_top_k_flag_with_ties(spark):
 def test_broadcast_only_under_the_limit(spark):
     small = spark.range(10)
     assert "ResolvedHint" in small.hint("broadcast")._jdf.queryExecution().analyzed().toString()
-    big = broadcast_if_small(spark.range(50), max_rows=10)
+    big = broadcast_if_small(spark.range(50), max_bytes=100)
     assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
-    ok = broadcast_if_small(spark.range(5), max_rows=10)
+    ok = broadcast_if_small(spark.range(5), max_bytes=1000)
     assert "broadcast" in ok._jdf.queryExecution().analyzed().toString().lower()
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 50), "x": rng.normal(size=50)})
     from insight.operators.clean import impute_median
     from insight.operators import joins
 
-    old = joins.BROADCAST_MAX_ROWS
+    old = joins.BROADCAST_MAX_BYTES
     try:  # the shuffle-join fallback gives the same result
         a = impute_median(spark.createDataFrame(pdf), "x", by=["g"], out="y").orderBy("g", "x").collect()
-        joins.BROADCAST_MAX_ROWS = 1
+        joins.BROADCAST_MAX_BYTES = 1
         b = impute_median(spark.createDataFrame(pdf), "x", by=["g"], out="y").orderBy("g", "x").collect()
         assert a == b
     finally:
-        joins.BROADCAST_MAX_ROWS = old
+        joins.BROADCAST_MAX_BYTES = old

@@ -6,16 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from insight.session import checkpoint_dir
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; without it, the folder set on the context (as tests do)."""
+    """``spark.checkpoint.dir``; where it is unset, the folder that ``checkpoint_dir`` sets or refuses."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return named.rstrip("/") if named else checkpoint_dir(spark)
 
 
 def stage_folder(spark: SparkSession, name: str) -> str:

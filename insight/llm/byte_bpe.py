@@ -7,7 +7,7 @@ merging their joined bytes gives back just the two of them.  Storing that last t
 appended exactly, and an edit recomputes only what follows it within the pieces it touches
 (``EncodedText.edit``).
 
-``encode_documents`` / ``decode_documents`` apply this to a column with Arrow-batched UDFs: rows are
+``encode_documents`` / ``decode_documents`` apply this to a column with Arrow batches: rows are
 independent, so there is no shuffle and a lost executor only repeats its own tasks.  Each Python worker
 keeps a bounded memo of chunks it has met; the memo never changes a result.
 
@@ -20,19 +20,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of a worker's memo before it starts anew (about 250 bytes each).
-MEMO_ENTRIES = 400_000
+#: Entries of one generation of a worker's memo (about 250 bytes each), and the characters of its longest key.
+MEMO_ENTRIES, LONGEST_IN_MEMO = 150_000, 64
+#: Rows that a worker encodes at once.
+ROWS = 256
 NEVER = 1 << 62
 
 
@@ -57,7 +59,8 @@ class PrefixBpe:
         self.split = self.pattern.findall
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
-        self._memo: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _merge(self, piece: bytes) -> list[int]:
         """Plain merging, used only on the bytes of a single vocabulary entry."""
@@ -144,23 +147,28 @@ class PrefixBpe:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.walk_back(self.last_tokens(piece))
 
-    def encode_chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk as little-endian unsigned 32-bit integers."""
-        ids = [i for piece in self.split(chunk) for i in self.encode_piece(piece.encode())]
+    def _packed(self, chunk: str) -> bytes:
+        """Ids of a chunk or piece that the memo lacks; a chunk's pieces are looked up one by one."""
+        pieces = self.split(chunk)
+        if len(pieces) > 1:
+            return b"".join([self._remembered(p) for p in pieces])
+        ids = [i for piece in pieces for i in self.encode_piece(piece.encode())]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _remembered(self, chunk: str) -> bytes:
+        """Look ``chunk`` up; of two generations the elder goes when the younger is full, so what is met often stays."""
+        ids = self._young.get(chunk)
+        if ids is None:
+            ids = self._old.get(chunk) or self._packed(chunk)
+            if len(chunk) <= LONGEST_IN_MEMO:
+                if len(self._young) >= MEMO_ENTRIES:
+                    self._old, self._young = self._young, {}
+                self._young[chunk] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
-        memo, out = self._memo, []
-        for chunk in chunks(text):
-            ids = memo.get(chunk)
-            if ids is None:
-                ids = self.encode_chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join([self._young.get(c) or self._remembered(c) for c in chunks(text)])
 
     def decode(self, ids: bytes) -> bytes:
         text = self.token_bytes
@@ -246,33 +254,43 @@ def _encoder(rank_file: bytes, pattern: str) -> PrefixBpe:
     return _ENCODERS[key]
 
 
-def encode_documents(df: DataFrame, rank_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add ``out``: the ids of ``text`` as packed little-endian unsigned 32-bit integers (binary)."""
+def _with_column(df: DataFrame, column: str, rank_path: str, pattern: str, new: dict[str, Callable]) -> DataFrame:
+    """``df`` with the binary columns ``new``, each made by a function of the encoder and the columns so far.
+
+    One Python stage for all of them, so that a task has one worker; rows pass in small batches.
+    """
     rank_file = read_ranks(rank_path)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(rank_file, pattern)
-        for texts in batches:
-            yield pd.Series([bpe.encode(t) if t else b"" for t in texts], dtype=object)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                values = {column: rows.column(column).to_pylist()}
+                for name, make in new.items():
+                    values[name] = make(bpe, values)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(values[n], pa.binary()) for n in new]],
+                                                 names=[*rows.schema.names, *new])
 
-    return df.withColumn(out, F.pandas_udf(run, T.BinaryType())(F.col(text)))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, T.BinaryType()) for n in new]]))
 
 
-def decode_documents(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add ``out``: the bytes that the packed ids stand for."""
-    rank_file = read_ranks(rank_path)
+def encode_documents(df: DataFrame, rank_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """Add ``out``: the ids of ``text`` as packed little-endian unsigned 32-bit integers (binary)."""
+    return _with_column(df, text, rank_path, pattern, {
+        out: lambda bpe, v: [bpe.encode(t) if t else b"" for t in v[text]]})
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _encoder(rank_file, pattern)
-        for packed in batches:
-            yield pd.Series([bpe.decode(p) if p else b"" for p in packed], dtype=object)
 
-    return df.withColumn(out, F.pandas_udf(run, T.BinaryType())(F.col(ids)))
+def decode_documents(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Add ``out``: the bytes that the packed ids stand for."""
+    return _with_column(df, ids, rank_path, pattern, {
+        out: lambda bpe, v: [bpe.decode(p) if p else b"" for p in v[ids]]})
 
 
 def token_digests(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """``doc_id``, token count and digests of ids and decoded bytes of every document."""
-    packed = encode_documents(df.select("doc_id", "text"), rank_path, pattern).select("doc_id", "ids")
-    both = decode_documents(packed, rank_path, pattern)
+    both = _with_column(df.select("doc_id", "text"), "text", rank_path, pattern, {
+        "ids": lambda bpe, v: [bpe.encode(t) if t else b"" for t in v["text"]],
+        "decoded": lambda bpe, v: [bpe.decode(p) if p else b"" for p in v["ids"]]})
     return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -21,17 +21,18 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from insight.llm.byte_bpe import LONGEST_IN_MEMO, MEMO_ENTRIES, chunks
+from insight.llm.byte_bpe import LONGEST_IN_MEMO, chunks
 from insight.llm.storage import stage_folder
 
 #: Ids of a shard before it is closed, and bytes of text of one part.
 SHARD_TOKENS, PART_BYTES = 1 << 19, 32 << 20
+#: Entries of one generation of a worker's memo, and rows encoded at once.
+MEMO_ENTRIES, ROWS = 60_000, 128
 #: First symbol that is a rule; rounds; least uses of a pair; pairs replaced in one round.
 FIRST_RULE, ROUNDS, LEAST_USES, PAIRS = 1 << 16, 8, 8, 4096
 
@@ -139,19 +140,24 @@ _TOKENIZERS: dict[int, _Words] = {}
 
 
 def encode_ids(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "text") -> DataFrame:
-    """Adds ``ids``: 16-bit ids of the text by the tokenizers library and the end id."""
+    """``ids`` in place of ``text``: 16-bit ids by the tokenizers library (its default settings) and the end id."""
     content = Path(tokenizer_path).read_bytes()
     key, end = zlib.crc32(content), np.array([end_id], dtype="<u2").tobytes()
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = _Words(content)
         words = _TOKENIZERS[key]
-        for texts in batches:
-            rows = texts.tolist()
-            yield pd.Series([ids for at in range(0, len(rows), 256) for ids in words.encode(rows[at:at + 256], end)], dtype=object)
-
-    return df.withColumn("ids", F.pandas_udf(run, T.BinaryType())(F.col(text)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                ids = words.encode(rows.column(text).to_pylist(), end)
+                kept = [n for n in rows.schema.names if n != text]
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in kept], pa.array(ids, pa.binary())], names=[*kept, "ids"])
+        _TOKENIZERS.clear()  # the worker goes on with other stages
+
+    kept = [f for f in df.schema.fields if f.name != text]
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField("ids", T.BinaryType())]))
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

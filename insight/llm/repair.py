@@ -18,21 +18,25 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from insight.llm.byte_bpe import LONGEST_IN_MEMO, chunks
 from insight.llm.storage import stage_folder
 
 #: Ids of a shard before it is closed, and bytes of text of one part.
 SHARD_TOKENS, PART_BYTES = 1 << 19, 32 << 20
-#: Entries of one generation of a worker's memo, and rows encoded at once.
-MEMO_ENTRIES, ROWS = 60_000, 128
+#: Entries of one generation of a worker's memo (about 250 bytes each), and the characters of its longest key.
+MEMO_ENTRIES, LONGEST_IN_MEMO = 150_000, 64
+#: Bytes of text encoded at once, and chunks in one call of the library.
+BLOCK, LINES = 2 << 20, 2048
 #: First symbol that is a rule; rounds; least uses of a pair; pairs replaced in one round.
 FIRST_RULE, ROUNDS, LEAST_USES, PAIRS = 1 << 16, 8, 8, 4096
 
@@ -103,6 +107,28 @@ def decode_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start:
     return expand(seq[first:last + 1], rules)[start - before:start - before + count]
 
 
+def cut(text: str) -> list[str]:
+    """Cut ``text`` at places that no match of the tokenizer's split pattern reaches over.
+
+    These are before a single white-space character between two others, and after a single newline there.
+    """
+    if "\0" not in text and text.split() == text.replace("\n", " ").split(" "):
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return _SEAM.split(text)
+
+
+_SEAM = regex.compile(r"(?<=\S)(?=\s\S)|(?<=\S\n)(?=\S)")
+
+
+def blocks(text: str, size: int) -> Iterator[str]:
+    """Cut a long text into blocks of ``size`` characters or a little more, at such places only."""
+    at = 0
+    while len(text) - at > size and (seam := _SEAM.search(text, at + size)):
+        yield text[at:seam.start()]
+        at = seam.start()
+    yield text[at:]
+
+
 class _Words:
     """The tokenizers library with a two-generation memo of chunks."""
 
@@ -110,29 +136,38 @@ class _Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.encode_batch = Tokenizer.from_buffer(tokenizer_json).encode_batch_fast
+        newline = self._ids(["\n"])[0]
+        self.newline = int(newline[0]) if len(newline) == 1 else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Packed 16- or 32-bit ids of each text and the end id."""
-        young, old, cut = self.young, self.old, [chunks(t) if t else [] for t in texts]
-        new = list({c for cs in cut for c in cs if c not in young and c not in old})
-        fresh = {c: np.array(e.ids, dtype="<u2").tobytes() for c, e in zip(new, self.encode_batch(new, add_special_tokens=False))}
-        out = []
-        for cs in cut:
-            got = []
-            for c in cs:
-                ids = young.get(c)
-                if ids is None:
-                    ids = fresh.get(c)
-                    if ids is None:
-                        ids = old[c]
-                    if len(c) <= LONGEST_IN_MEMO:
-                        young[c] = ids
-                got.append(ids)
-            out.append(b"".join([*got, end]))
-        if len(young) >= MEMO_ENTRIES:
-            self.old, self.young = young, {}
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u2") for e in self.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode chunks into the memo; single words go to the library as lines of one text, cut again at the newline's id."""
+        lines = [c for c in new if self.newline is not None and c.split() == [c.removeprefix(" ")]]
+        for at in range(0, len(lines), LINES):
+            some = lines[at:at + LINES]
+            ids = self._ids(["\n".join(some)])[0]
+            ends, packed = 2 * np.flatnonzero(ids == self.newline), ids.tobytes()
+            self.young.update(zip(some, map(packed.__getitem__, map(slice, [0, *(ends + 2).tolist()], [*ends.tolist(), len(packed)])), strict=True))
+        rest = list(set(new).difference(lines))
+        self.young.update(zip(rest, (i.tobytes() for i in self._ids(rest))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed 16-bit ids of each text."""
+        chunks = [cut(t) if t else [] for t in texts]
+        lack = set(chain.from_iterable(chunks)).difference(self.young)
+        known = lack.intersection(self.old)
+        self.young.update([(c, self.old[c]) for c in known])
+        self._learn(list(lack - known))
+        out = [b"".join(map(self.young.__getitem__, cs)) for cs in chunks]
+        for c in lack:
+            if len(c) > LONGEST_IN_MEMO:
+                del self.young[c]
+        if len(self.young) >= MEMO_ENTRIES:
+            self.old, self.young = self.young, {}
         return out
 
 
@@ -147,14 +182,22 @@ def encode_ids(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = _Words(content)
-        words = _TOKENIZERS[key]
+        encode = _TOKENIZERS[key].encode
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(at, ROWS)
-                ids = words.encode(rows.column(text).to_pylist(), end)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                before = int(sizes[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, before + BLOCK, "right")))
+                rows = batch.slice(at, to - at)
+                texts = rows.column(text).to_pylist()
+                if len(texts) == 1 and texts[0] and len(texts[0]) > BLOCK:
+                    ids = [b"".join([encode([block])[0] for block in blocks(texts[0], BLOCK)])]
+                else:
+                    ids = encode(texts)
                 kept = [n for n in rows.schema.names if n != text]
-                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in kept], pa.array(ids, pa.binary())], names=[*kept, "ids"])
-        _TOKENIZERS.clear()  # the worker goes on with other stages
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in kept], pa.array([i + end for i in ids], pa.binary())], names=[*kept, "ids"])
+                at = to
 
     kept = [f for f in df.schema.fields if f.name != text]
     return df.mapInArrow(run, T.StructType([*kept, T.StructField("ids", T.BinaryType())]))

@@ -5,12 +5,12 @@ frequent pairs of neighbouring symbols are replaced by new symbols, round by rou
 frequent; the rules, the symbols' expansion lengths and the last sequence make the shard's record.  With
 the lengths, any range of ids is found by a search and only the symbols that cover it are expanded.
 
-A document's part is a function of its id: boundaries are order statistics of the ids, and one shuffle by part
-brings the rows together, sorted, in streams that hold one shard at a time.  Shards are rows of a Parquet
-folder, so that Spark's writers commit them and a repeated task leaves nothing behind.
+Parts are ranges of ids: one shuffle by range brings their rows together, sorted, in streams that are encoded and
+compressed with one shard held at a time.  Shards are rows of a Parquet folder, so that Spark's writers commit
+them and a repeated task leaves nothing behind.
 
-Defined results: a null text has the end id alone; null ids come first; rows of equal ids are ordered by their
-ids' bytes; an empty table gives no shard.
+Defined results: a null text has the end id alone; null ids come first; rows of equal ids are ordered by a hash
+of their texts; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 from pathlib import Path
 
@@ -174,40 +175,37 @@ class _Words:
 _TOKENIZERS: dict[int, _Words] = {}
 
 
-def encode_ids(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "text") -> DataFrame:
-    """``ids`` in place of ``text``: 16-bit ids by the tokenizers library (its default settings) and the end id."""
-    content = Path(tokenizer_path).read_bytes()
-    key, end = zlib.crc32(content), np.array([end_id], dtype="<u2").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _TOKENIZERS:
-            _TOKENIZERS[key] = _Words(content)
-        encode = _TOKENIZERS[key].encode
-        for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < batch.num_rows:
-                before = int(sizes[at - 1]) if at else 0
-                to = max(at + 1, int(np.searchsorted(sizes, before + BLOCK, "right")))
-                rows = batch.slice(at, to - at)
-                texts = rows.column(text).to_pylist()
-                if len(texts) == 1 and texts[0] and len(texts[0]) > BLOCK:
-                    ids = [b"".join([encode([block])[0] for block in blocks(texts[0], BLOCK)])]
-                else:
-                    ids = encode(texts)
-                kept = [n for n in rows.schema.names if n != text]
-                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in kept], pa.array([i + end for i in ids], pa.binary())], names=[*kept, "ids"])
-                at = to
-
-    kept = [f for f in df.schema.fields if f.name != text]
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField("ids", T.BinaryType())]))
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part and id -> shards."""
-    part, number, docs, packed, held = None, 0, [], [], 0
-
-    def close() -> pa.RecordBatch:
+def _tokenizer(content: bytes) -> _Words:
+    """One tokenizer and memo per Python worker and vocabulary."""
+    key = zlib.crc32(content)
+    if key not in _TOKENIZERS:
+        _TOKENIZERS[key] = _Words(content)
+    return _TOKENIZERS[key]
+
+
+def _encoded(batch: pa.RecordBatch, content: bytes, text: str, end: bytes) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of ``batch`` of about ``BLOCK`` bytes of text with the packed ids of their texts, each with ``end``."""
+    encode = _tokenizer(content).encode
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + BLOCK, "right")))
+        rows = batch.slice(at, to - at)
+        texts = rows.column(text).to_pylist()
+        if len(texts) == 1 and texts[0] and len(texts[0]) > BLOCK:
+            ids = [b"".join([encode([block])[0] for block in blocks(texts[0], BLOCK)])]
+        else:
+            ids = encode(texts)
+        yield rows, [i + end for i in ids]
+        at = to
+
+
+def _shards(content: bytes, end: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one part (``part``, ``doc_id``, ``text``), sorted -> its shards, one at a time."""
+    number, docs, packed, held = 0, [], [], 0
+
+    def close(part: int) -> pa.RecordBatch:
         ids = np.frombuffer(b"".join(packed), dtype="<u2")
         seq, rules, lengths = compress(ids)
         return pa.RecordBatch.from_pylist([{
@@ -215,19 +213,19 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(),
             "sequence": seq.astype("<u4").tobytes()}], schema=_ARROW)
 
+    part = 0
     for batch in batches:
-        for p, doc, ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-            if docs and (p != part or held >= SHARD_TOKENS):
-                yield close()
-                number, docs, packed, held = (number + 1 if p == part else 0), [], [], 0
-            elif p != part:
-                number = 0
-            part = p
-            docs.append(doc)
-            packed.append(ids)
-            held += len(ids) // 2
+        for rows, encoded in _encoded(batch, content, "text", end):
+            part = rows.column("part")[0].as_py()
+            for doc, ids in zip(rows.column("doc_id").to_pylist(), encoded):
+                if held >= SHARD_TOKENS:
+                    yield close(part)
+                    number, docs, packed, held = number + 1, [], [], 0
+                docs.append(doc)
+                packed.append(ids)
+                held += len(ids) // 2
     if docs:
-        yield close()
+        yield close(part)
 
 
 _ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())),
@@ -235,17 +233,18 @@ _ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_ids", pa.
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None) -> str:
-    """Encode ``docs`` (``doc_id``, ``text``) and write its shards; returns their folder (in the shared folder)."""
+    """Encode ``docs`` (``doc_id``, ``text``; default settings of the library) and write their shards; returns the folder.
+
+    Parts are ranges of (id, hash of the text), so that an id with many rows is split as well; one shuffle moves the
+    texts, and one Python stage encodes, compresses and writes a part.
+    """
     path = path or stage_folder(docs.sparkSession, "repair-shards")
+    content, end = Path(tokenizer_path).read_bytes(), np.array([end_id], dtype="<u2").tobytes()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] if parts > 1 else []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<long>")
-    part = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0)).cast("int")
-    encoded = encode_ids(docs.select("doc_id", "text"), tokenizer_path, end_id).select(
-        F.when(F.col("doc_id").isNull(), 0).otherwise(part).alias("part"), "doc_id", "ids")
-    rows = encoded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
-    rows.mapInArrow(_shards, SHARD).write.parquet(path)
+    order = ["doc_id", F.xxhash64("text")]
+    rows = docs.select("doc_id", "text").repartitionByRange(max(1, -(-size // PART_BYTES)), *order).sortWithinPartitions(*order, "text")
+    rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    rows.mapInArrow(partial(_shards, content, end), SHARD).write.parquet(path)
     return path
 
 

@@ -92,6 +92,28 @@ def test_grammar_replaces_frequent_pairs():
     assert len(seq) < 40 and len(rules) >= 2 and lengths.max() >= 4
 
 
+WORDS = repair._Words(open(P.path("byte_bpe_50k.json"), "rb").read())
+HF = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "Zeß", "'s", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\0", "é日", "12", "...", "\x85", "\xa0", "\u3000",
+                                          "\x1c", "x" * 70, "<|endoftext|>"]), max_size=25).map("".join), max_size=5))
+def test_memo_encoding_equals_library(texts):
+    want = [np.array(HF.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+    assert WORDS.encode(texts) == want
+    for text, ids in zip(texts, want):
+        parts = list(repair.blocks(text, 7))
+        assert "".join(parts) == text and b"".join(WORDS.encode(parts)) == ids
+
+
+def test_memo_turns_over(monkeypatch):
+    monkeypatch.setattr(repair, "MEMO_ENTRIES", 3)
+    for text in ("one two three four", "one two five six\nseven", "one " + "y" * 90, "two five"):
+        assert WORDS.encode([text]) == [np.array(HF.encode(text).ids, dtype="<u2").tobytes()]
+        assert len(WORDS.young) <= 3 and not any(len(c) > repair.LONGEST_IN_MEMO for c in WORDS.young)
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_token_files(shared, documents, small, monkeypatch):
     if small:

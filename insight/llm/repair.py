@@ -15,8 +15,11 @@ of their texts; an empty table gives no shard.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain
@@ -35,11 +38,13 @@ from insight.llm.storage import stage_folder
 #: Ids of a shard before it is closed, and bytes of text of one part.
 SHARD_TOKENS, PART_BYTES = 1 << 19, 32 << 20
 #: Entries of one generation of a worker's memo (about 250 bytes each), and the characters of its longest key.
-MEMO_ENTRIES, LONGEST_IN_MEMO = 100_000, 64
-#: Bytes of text encoded at once, and chunks in one call of the library.
-BLOCK, LINES = 1 << 20, 2048
+MEMO_ENTRIES, LONGEST_IN_MEMO = 150_000, 64
+#: Bytes of text encoded at once.
+BLOCK = 1 << 20
 #: First symbol that is a rule; rounds; least uses of a pair; pairs replaced in one round.
 FIRST_RULE, ROUNDS, LEAST_USES, PAIRS = 1 << 16, 8, 8, 4096
+#: Buckets (as a power of two) in which pairs are counted first.
+BUCKET_BITS = 19
 
 SHARD = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()),
@@ -48,42 +53,50 @@ SHARD = T.StructType([
     T.StructField("lengths", T.BinaryType()), T.StructField("sequence", T.BinaryType())])
 
 
+def frequent_pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs to be replaced now (sorted, both symbols in 64 bits), and the places of all their uses with their numbers.
+
+    Counts of hash buckets tell first which pairs may reach ``LEAST_USES``; only those are counted one by one.
+    """
+    bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKET_BITS)
+    at = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) >= LEAST_USES)[bucket])
+    pairs = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+    found, uses = np.unique(pairs, return_counts=True)
+    most = int(uses.max(initial=0))
+    least = max(LEAST_USES, most // 64, int(np.partition(uses, -PAIRS)[-PAIRS]) if len(uses) > PAIRS else 0)
+    frequent = found[uses >= least]
+    chosen = np.zeros(1 << BUCKET_BITS, dtype=bool)
+    chosen[((frequent >> np.uint64(32)).astype(np.uint32) * np.uint32(0x9E3779B1)
+            + frequent.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKET_BITS)] = True
+    maybe = chosen[bucket[at]]
+    at, pairs = at[maybe], pairs[maybe]
+    rank = np.minimum(np.searchsorted(frequent, pairs), max(0, len(frequent) - 1))
+    same = frequent[rank] == pairs
+    return frequent, at[same], rank[same]
+
+
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequence, rules (two symbols each) and expansion lengths of the rules."""
-    seq, rules = ids.astype(np.uint32), np.empty((0, 2), dtype=np.uint32)
+    seq, rules, lengths = ids.astype(np.uint32), np.empty((0, 2), dtype=np.uint32), np.ones(FIRST_RULE, dtype=np.int64)
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        found, uses = np.unique(pairs, return_counts=True)
-        if uses.max() < LEAST_USES:
+        frequent, at, rank = frequent_pairs(seq)
+        if not len(frequent):
             break
-        least = max(LEAST_USES, int(uses.max()) // 64, int(np.partition(uses, -PAIRS)[-PAIRS]) if len(uses) > PAIRS else 0)
-        frequent = found[uses >= least]
-        rank = np.minimum(np.searchsorted(frequent, pairs), len(frequent) - 1)
-        at = np.flatnonzero(frequent[rank] == pairs)
         # of overlapping places every second one counts, from the left
         begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        place = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))
-        at = at[place % 2 == 0]
-        used = np.bincount(rank[at], minlength=len(frequent)) > 1
-        at = at[used[rank[at]]]
-        number = np.cumsum(used) - 1 + FIRST_RULE + len(rules)
-        seq[at] = number[rank[at]]
+        odd = (np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))) % 2 == 0
+        at, rank = at[odd], rank[odd]
+        used = np.bincount(rank, minlength=len(frequent)) > 1
+        at, rank = at[used[rank]], rank[used[rank]]
+        seq[at] = (np.cumsum(used) - 1 + FIRST_RULE + len(rules))[rank]
         left = np.ones(len(seq), dtype=bool)
         left[at + 1] = False
         seq = seq[left]
-        chosen = frequent[used]
-        rules = np.concatenate([rules, np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
-    return seq, rules, rule_lengths(rules)
-
-
-def rule_lengths(rules: np.ndarray) -> np.ndarray:
-    """Ids that each rule stands for; a rule refers to earlier ones only."""
-    lengths = np.ones(len(rules), dtype=np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[i] = (lengths[a - FIRST_RULE] if a >= FIRST_RULE else 1) + (lengths[b - FIRST_RULE] if b >= FIRST_RULE else 1)
-    return lengths
+        new = np.stack([frequent[used] >> np.uint64(32), frequent[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, lengths[new].sum(axis=1)])
+    return seq, rules, lengths[FIRST_RULE:]
 
 
 def expand(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
@@ -108,14 +121,20 @@ def decode_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start:
     return expand(seq[first:last + 1], rules)[start - before:start - before + count]
 
 
+#: Letters, numbers and white space among the characters up to U+024F (fixed values).
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_BEYOND = re.compile("[^\0-ɏ]").search
+_LATIN = re.compile(f" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+"
+                    f"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+
+
 def cut(text: str) -> list[str]:
     """Cut ``text`` at places that no match of the tokenizer's split pattern reaches over.
 
-    These are before a single white-space character between two others, and after a single newline there.
+    A text of Latin letters is cut into the matches themselves.  Another is cut before a single white-space
+    character between two others, and after a single newline there.
     """
-    if "\0" not in text and text.split() == text.replace("\n", " ").split(" "):
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-    return _SEAM.split(text)
+    return _LATIN.findall(text) if _BEYOND(text) is None else _SEAM.split(text)
 
 
 _SEAM = regex.compile(r"(?<=\S)(?=\s\S)|(?<=\S\n)(?=\S)")
@@ -130,40 +149,60 @@ def blocks(text: str, size: int) -> Iterator[str]:
     yield text[at:]
 
 
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    hidden = sorted(set(range(256)).difference(shown))
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
 class _Words:
-    """The tokenizers library with a two-generation memo of chunks."""
+    """The tokenizers library with a two-generation memo of chunks.
+
+    A chunk that is one match of the split pattern goes to the library's BPE model at once; any other, and a text with
+    an added token in it, passes the whole tokenizer.
+    """
 
     def __init__(self, tokenizer_json: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.encode_batch = Tokenizer.from_buffer(tokenizer_json).encode_batch_fast
-        newline = self._ids(["\n"])[0]
-        self.newline = int(newline[0]) if len(newline) == 1 else None
+        told = json.loads(tokenizer_json)
+        splits = told.get("pre_tokenizer") or {}
+        if told.get("normalizer") or splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex", True):
+            raise ValueError("a byte-level BPE tokenizer with its own split pattern is needed")
+        self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = byte_letters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u2") for e in self.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _mapped(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.letters)
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode chunks into the memo; single words go to the library as lines of one text, cut again at the newline's id."""
-        lines = [c for c in new if self.newline is not None and c.split() == [c.removeprefix(" ")]]
-        for at in range(0, len(lines), LINES):
-            some = lines[at:at + LINES]
-            ids = self._ids(["\n".join(some)])[0]
-            ends, packed = 2 * np.flatnonzero(ids == self.newline), ids.tobytes()
-            self.young.update(zip(some, map(packed.__getitem__, map(slice, [0, *(ends + 2).tolist()], [*ends.tolist(), len(packed)])), strict=True))
-        rest = list(set(new).difference(lines))
-        self.young.update(zip(rest, (i.tobytes() for i in self._ids(rest))))
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of new chunks into the memo."""
+        pieces = list(filter(_LATIN.fullmatch, new))
+        lines = [p for p in pieces if "\n" not in p]
+        mapped = self._mapped("\n".join(lines)).split(chr(self.letters[10])) if lines else []
+        tokenize = self.tokenize
+        self.young.update([(p, array("H", [t.id for t in tokenize(m)]).tobytes()) for p, m in zip(lines, mapped, strict=True)])
+        rest = list(new.difference(lines))
+        self.young.update(zip(rest, self._whole(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed 16-bit ids of each text."""
-        chunks = [cut(t) if t else [] for t in texts]
+        special = [bool(t) and any([a in t for a in self.added]) for t in texts]
+        chunks = [cut(t) if t and not s else [] for t, s in zip(texts, special)]
         lack = set(chain.from_iterable(chunks)).difference(self.young)
         known = lack.intersection(self.old)
         self.young.update([(c, self.old[c]) for c in known])
-        self._learn(list(lack - known))
-        out = [b"".join(map(self.young.__getitem__, cs)) for cs in chunks]
+        self._learn(lack - known)
+        find = self.young.__getitem__
+        out = [self._whole([t])[0] if s else b"".join(map(find, cs)) for t, s, cs in zip(texts, special, chunks)]
         for c in lack:
             if len(c) > LONGEST_IN_MEMO:
                 del self.young[c]

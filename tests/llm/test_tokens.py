@@ -107,6 +107,21 @@ def test_memo_encoding_equals_library(texts):
         assert "".join(parts) == text and b"".join(WORDS.encode(parts)) == ids
 
 
+LATIN = st.text(st.characters(max_codepoint=0x24F, exclude_categories=["Cs"]), max_size=60)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(LATIN, st.sampled_from([" don't", "we'll ", " '", "''s", " x² ", "½½", "\x85 \xa0", "  a"])), max_size=6).map("".join))
+def test_latin_text_is_cut_as_the_library_does(text):
+    assert WORDS.encode([text]) == [np.array(HF.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()]
+
+
+def test_every_latin_character_is_cut_as_the_library_does():
+    for code in range(0x250):
+        text = "".join(a + chr(code) + b for a in ("a", "1", " ", ".", "'") for b in ("a", "1", " ", ".", "s"))
+        assert WORDS.encode([text]) == [np.array(HF.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()]
+
+
 def test_memo_turns_over(monkeypatch):
     monkeypatch.setattr(repair, "MEMO_ENTRIES", 3)
     for text in ("one two three four", "one two five six\nseven", "one " + "y" * 90, "two five"):

@@ -110,6 +110,15 @@ def expand(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
     return seq
 
 
+def expand_all(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The same for a whole shard: every rule is expanded once, and the ids are gathered from these expansions."""
+    flat = np.concatenate([np.arange(FIRST_RULE, dtype=np.uint32), expand(np.arange(len(rules), dtype=np.uint32) + np.uint32(FIRST_RULE), rules)])
+    size = np.concatenate([np.ones(FIRST_RULE, dtype=np.int64), lengths])
+    each = size[seq]
+    ends = np.cumsum(each)
+    return flat[np.repeat((np.cumsum(size) - size)[seq] - ends + each, each) + np.arange(each.sum())]
+
+
 def decode_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start: int, count: int) -> np.ndarray:
     """``count`` ids from ``start`` on, expanding only the symbols that cover them."""
     each = np.ones(len(seq), dtype=np.int64)
@@ -290,14 +299,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids = expand(np.frombuffer(row["sequence"], dtype="<u4"), np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2))
+            ids = expand_all(np.frombuffer(row["sequence"], dtype="<u4"), np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2),
+                             np.frombuffer(row["lengths"], dtype="<u4"))
             ends = np.cumsum(row["doc_tokens"])
             starts = ends - row["doc_tokens"]
-            raw = ids.astype("<u4").tobytes()
+            offsets = np.concatenate([[0], 4 * ends]).astype("<i4")
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([row["part"]] * len(ends), pa.int32()), "shard": pa.array([row["shard"]] * len(ends), pa.int32()),
                 "doc_id": pa.array(row["doc_ids"], pa.int64()), "within": pa.array(starts, pa.int64()),
-                "ids": pa.array([raw[4 * s:4 * e] for s, e in zip(starts, ends)], pa.binary())})
+                "ids": pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])})
 
 
 def read_shards(shards: DataFrame) -> DataFrame:

@@ -81,6 +81,7 @@ def test_grammar_round_trip_and_random_access(ids, start, count):
     ids = np.array(ids * 3, dtype="<u2")
     seq, rules, lengths = repair.compress(ids)
     assert repair.expand(seq, rules).tolist() == ids.tolist()
+    assert repair.expand_all(seq, rules, lengths).tolist() == ids.tolist()
     count = max(0, min(count, len(ids) - start))
     if count:
         assert repair.decode_range(seq, rules, lengths, start, count).tolist() == ids[start:start + count].tolist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from insight.plans import accounts, cleaning, customers, documents, operations, risk, sales  # noqa: F401
+from insight.plans import accounts, cleaning, customers, documents, operations, reports, risk, sales  # noqa: F401
 from insight.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "rfm_segment_summary"

@@ -1,4 +1,4 @@
-"""Model queries (rows-only in the oracle check): demand forecast and risk models.
+"""Model queries (rows-only in the oracle check): risk models.
 
 The risk pipeline follows the attrition analysis: stratified 80/20 split
 first, balanced class weights fitted on the training rows, standardised
@@ -18,32 +18,16 @@ from insight.operators import metrics as M
 from insight.operators import models as ML
 from insight.operators import sampling as D
 from insight.plans.documents import FEATURES, SEED, labelled_docs
-from insight.plans.operations import zone_hour_table
 from insight.plans.accounts import RISK_EDGES, RISK_LABELS
 from insight.plans.registry import query
 from insight.session import materialize
 
-FORECAST_FEATURES = ["hour_f", "weekend_f", "avg_value", "avg_del_time"]
 # Model settings of the reference's attrition models.
 TREE_DEPTH = 6
 FOREST_TREES, FOREST_DEPTH = 200, 8
 LOGISTIC_MAX_ITER = 1000
 
 
-@query("forecast_linear")
-def forecast_linear(spark: SparkSession, sf: str) -> DataFrame:
-    """OLS demand forecast per (zone, hour, weekend) on an 80/20 split."""
-    f = zone_hour_table(spark, sf).withColumn(
-        "cell", F.concat_ws("|", "zone", F.col("hour").cast("string"), F.col("is_weekend").cast("string")))
-    f = f.withColumn("hour_f", F.col("hour").cast("double")).withColumn(
-        "weekend_f", F.col("is_weekend").cast("double")).withColumn(
-        "order_count_f", F.col("order_count").cast("double"))
-    f = materialize(D.split(f, "cell", 0.2, SEED).where(F.col("avg_del_time").isNotNull()))
-    model = ML.fit_linear(f.where(~F.col("is_test")), FORECAST_FEATURES, "order_count_f")
-    return ML.score(model, f).select("zone", "hour", "is_weekend", "order_count", "is_test",
-                                     "prediction")
-
-
 def risk_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents with encoded categories, split flag, weights and z-scores."""
     # cut lineage once: every later pass reads the narrow features, not the texts

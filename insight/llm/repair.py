@@ -20,9 +20,8 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -137,20 +136,13 @@ _LATIN = re.compile(f" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^{SP
                     f"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
-def cut(text: str) -> list[str]:
-    """Cut ``text`` at places that no match of the tokenizer's split pattern reaches over.
-
-    A text of Latin letters is cut into the matches themselves.  Another is cut before a single white-space
-    character between two others, and after a single newline there.
-    """
-    return _LATIN.findall(text) if _BEYOND(text) is None else _SEAM.split(text)
-
-
+#: Places that no match of the split pattern reaches over: before a single white-space character between two others, and
+#: after a single newline there.
 _SEAM = regex.compile(r"(?<=\S)(?=\s\S)|(?<=\S\n)(?=\S)")
 
 
 def blocks(text: str, size: int) -> Iterator[str]:
-    """Cut a long text into blocks of ``size`` characters or a little more, at such places only."""
+    """Cut a long text into blocks of ``size`` characters or a little more, at ``_SEAM`` only."""
     at = 0
     while len(text) - at > size and (seam := _SEAM.search(text, at + size)):
         yield text[at:seam.start()]
@@ -165,11 +157,30 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
 
+class _Memo(dict):
+    """Packed ids by chunk; of two generations the elder goes when the younger is full, so what is met often stays."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.learn(chunk)
+        if len(chunk) <= LONGEST_IN_MEMO:
+            if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class _Words:
-    """The tokenizers library with a two-generation memo of chunks.
+    """The tokenizers library with memos of what it has encoded.
 
-    A chunk that is one match of the split pattern goes to the library's BPE model at once; any other, and a text with
-    an added token in it, passes the whole tokenizer.
+    A text of Latin letters is cut into the matches of the split pattern, which go to the library's BPE model at once.
+    Another is cut at ``_SEAM`` and its chunks pass the whole tokenizer, as does a text with an added token in it.
     """
 
     def __init__(self, tokenizer_json: bytes):
@@ -183,41 +194,29 @@ class _Words:
         self.tokenize = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.space = chr(self.letters[32])
+        self.young, self.chunks = _Memo(self._piece), _Memo(self._whole)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _mapped(self, text: str) -> str:
-        return text.encode().decode("latin-1").translate(self.letters)
+    def _piece(self, piece: str) -> bytes:
+        if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            mapped = self.space + piece[1:]
+        else:
+            mapped = piece.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.tokenize(mapped)]).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        """Put the ids of new chunks into the memo."""
-        pieces = list(filter(_LATIN.fullmatch, new))
-        lines = [p for p in pieces if "\n" not in p]
-        mapped = self._mapped("\n".join(lines)).split(chr(self.letters[10])) if lines else []
-        tokenize = self.tokenize
-        self.young.update([(p, array("H", [t.id for t in tokenize(m)]).tobytes()) for p, m in zip(lines, mapped, strict=True)])
-        rest = list(new.difference(lines))
-        self.young.update(zip(rest, self._whole(rest)))
+    def _text(self, text: str) -> bytes:
+        if any([a in text for a in self.added]):
+            return self._whole(text)
+        if _BEYOND(text) is None:
+            return b"".join(map(self.young.__getitem__, _LATIN.findall(text)))
+        return b"".join(map(self.chunks.__getitem__, _SEAM.split(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed 16-bit ids of each text."""
-        special = [bool(t) and any([a in t for a in self.added]) for t in texts]
-        chunks = [cut(t) if t and not s else [] for t, s in zip(texts, special)]
-        lack = set(chain.from_iterable(chunks)).difference(self.young)
-        known = lack.intersection(self.old)
-        self.young.update([(c, self.old[c]) for c in known])
-        self._learn(lack - known)
-        find = self.young.__getitem__
-        out = [self._whole([t])[0] if s else b"".join(map(find, cs)) for t, s, cs in zip(texts, special, chunks)]
-        for c in lack:
-            if len(c) > LONGEST_IN_MEMO:
-                del self.young[c]
-        if len(self.young) >= MEMO_ENTRIES:
-            self.old, self.young = self.young, {}
-        return out
+        return [self._text(t) if t else b"" for t in texts]
 
 
 _TOKENIZERS: dict[int, _Words] = {}

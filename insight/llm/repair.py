@@ -43,7 +43,7 @@ BLOCK = 1 << 20
 #: First symbol that is a rule; rounds; least uses of a pair; pairs replaced in one round.
 FIRST_RULE, ROUNDS, LEAST_USES, PAIRS = 1 << 16, 8, 8, 4096
 #: Buckets (as a power of two) in which pairs are counted first.
-BUCKET_BITS = 19
+BUCKET_BITS = 18
 
 SHARD = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()),
@@ -59,19 +59,27 @@ def frequent_pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """
     bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKET_BITS)
     at = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) >= LEAST_USES)[bucket])
-    pairs = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-    found, uses = np.unique(pairs, return_counts=True)
+    bucket, pairs = bucket[at], seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+    first = np.zeros(1 << BUCKET_BITS, dtype=np.uint64)
+    first[bucket] = pairs
+    plain = first[bucket] == pairs  # one pair of each bucket is counted by the bucket, any other by sorting
+    counts = np.bincount(bucket[plain], minlength=1 << BUCKET_BITS)
+    filled = np.flatnonzero(counts >= LEAST_USES)
+    others, other_uses = np.unique(pairs[~plain], return_counts=True)
+    found, uses = np.concatenate([first[filled], others]), np.concatenate([counts[filled], other_uses])
     most = int(uses.max(initial=0))
     least = max(LEAST_USES, most // 64, int(np.partition(uses, -PAIRS)[-PAIRS]) if len(uses) > PAIRS else 0)
-    frequent = found[uses >= least]
-    chosen = np.zeros(1 << BUCKET_BITS, dtype=bool)
-    chosen[((frequent >> np.uint64(32)).astype(np.uint32) * np.uint32(0x9E3779B1)
-            + frequent.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKET_BITS)] = True
-    maybe = chosen[bucket[at]]
-    at, pairs = at[maybe], pairs[maybe]
-    rank = np.minimum(np.searchsorted(frequent, pairs), max(0, len(frequent) - 1))
-    same = frequent[rank] == pairs
-    return frequent, at[same], rank[same]
+    chosen = np.flatnonzero(uses >= least)
+    order = np.argsort(found[chosen])
+    frequent = found[chosen[order]]
+    number = np.full(len(found), -1, dtype=np.int64)
+    number[chosen[order]] = np.arange(len(order))
+    by_bucket = np.full(1 << BUCKET_BITS, -1, dtype=np.int64)
+    by_bucket[filled] = number[:len(filled)]
+    rank = by_bucket[bucket]
+    rank[~plain] = number[len(filled):][np.searchsorted(others, pairs[~plain])]
+    kept = np.flatnonzero(rank >= 0)
+    return frequent, at[kept], rank[kept]
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

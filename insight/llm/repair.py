@@ -37,7 +37,7 @@ from insight.llm.storage import stage_folder
 #: Ids of a shard before it is closed, and bytes of text of one part.
 SHARD_TOKENS, PART_BYTES = 1 << 19, 32 << 20
 #: Entries of one generation of a worker's memo (about 250 bytes each), and the characters of its longest key.
-MEMO_ENTRIES, LONGEST_IN_MEMO = 150_000, 64
+MEMO_ENTRIES, LONGEST_IN_MEMO = 200_000, 64
 #: Bytes of text encoded at once.
 BLOCK = 1 << 20
 #: First symbol that is a rule; rounds; least uses of a pair; pairs replaced in one round.

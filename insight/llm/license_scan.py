@@ -1,20 +1,25 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment measures them.
 
-Templates are cut into grams of ``GRAM`` words; of every ``WINDOW`` neighbouring grams the one of least hash is
-kept, with its position, in an inverted index.  The grams of a document are looked up there (all of them, so
-that a copied stretch of ``GRAM + WINDOW - 1`` words cannot be missed); hits of a template on neighbouring
-diagonals are one candidate place, and a sequence alignment within a band around them counts the matched
-words and their span.  The index holds the templates alone, whose words are checked against
-``TEMPLATE_BYTES`` before they are sent to the tasks; documents are scanned row by row without a shuffle.
+Templates are cut into grams of up to ``GRAM`` words; of every few (up to ``WINDOW``) neighbouring grams the one of
+least hash is kept, with its position, in an inverted index.  The grams of a document are looked up there; a stretch
+of neighbouring diagonals (document minus template position) with enough hits of a template is a candidate, and a
+sequence alignment within it counts the matched words and their span.  Gram, window and the hits asked for follow
+from a template's length and the least coverage (``sizes``), so that no place of that coverage is missed whose words
+lie on as many neighbouring diagonals as the template's band has: a short notice is looked up word by word.
+The index holds the templates alone, whose words are checked against ``TEMPLATE_BYTES`` before they are sent to the
+tasks; documents are scanned row by row without a shuffle.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case.  Defined results: null and
-empty texts match nothing; templates with fewer than ``GRAM`` words (or null) are not searched; every row of
+empty texts match nothing; templates without words (or null) are not searched; every row of
 a repeated document reports its own matches; of overlapping places of a template the better one is reported.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GRAM, WINDOW, BAND = 3, 2, 4
+GRAM, WINDOW, BAND, WIDEST = 3, 2, 4, 33
 TEMPLATE_BYTES = 32 << 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: For ``bytes.translate``: A-Z to lower case, separators to spaces.
@@ -46,77 +51,132 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(TABLE).split()
 
 
+def sizes(n: int, min_coverage: float) -> tuple[int, int, int, int, int, int]:
+    """Words that a match of a template of ``n`` words has, gram, window, least hits, diagonals of a candidate (its
+    band: ``2 * BAND + 1``, and ``BAND`` more for every ``GRAM`` words, up to ``WIDEST`` or ``n // 32``) and
+    their step.
+
+    A match of ``least`` words lacks ``n - least``; where one is lacking or others stand between, a run of words in
+    both texts ends.  Of ``runs`` at most, a run of r words keeps ``(r - gram + 1) // window`` grams or more.
+    """
+    least = max(1, math.ceil(min_coverage * n - 1e-9))
+    width = min(2 * BAND + 1 + BAND * max(0, n // GRAM - 1), max(WIDEST, n // 32))
+    step = max(1, (width - WIDEST) // 4)
+    width += step - 1
+    runs = 2 * (n - least) + width
+    for gram, window in ((GRAM, WINDOW), (GRAM, 1), (2, 1)):
+        hits = -(-(least - (gram + window - 2) * runs) // window)
+        if hits >= max(1, least // 16):
+            return least, gram, window, hits, width, step
+    return least, 1, 1, least, width, step
+
+
 class TemplateIndex:
     """Inverted index of winnowed template grams."""
 
-    def __init__(self, templates: list[tuple[str, str]]):
+    def __init__(self, templates: list[tuple[str, str]], min_coverage: float):
         self.names = [name for name, _ in templates]
         split = [words_of(t or "") for _, t in templates]
         self.ids = {w: i for i, w in enumerate(sorted({w for ws in split for w in ws}), 1)}
         self.words = [np.array([self.ids[w] for w in ws], dtype=np.int64) for ws in split]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+        self.sizes = [sizes(len(ws), min_coverage) for ws in self.words]
+        posted: dict[int, list[tuple[int, int, int]]] = {}
         for t, ws in enumerate(self.words):
-            grams = self.grams(ws)
+            _, gram, window, *_ = self.sizes[t]
+            grams = self.grams(ws, gram)
             order = (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
-            spots = {at + int(order[at:at + WINDOW].argmin()) for at in range(max(1, len(grams) - WINDOW + 1))} if len(grams) else set()
-            for at in sorted(spots):
-                self.postings.setdefault(int(grams[at]), []).append((t, at))
-        self.keys = np.array(sorted(self.postings), dtype=np.int64)
+            spots = {at + int(order[at:at + window].argmin()) for at in range(max(1, len(grams) - window + 1))} if len(grams) else set()
+            posted.setdefault(gram, []).extend((int(grams[at]), t, at) for at in spots)
+        #: By gram size: distinct grams, where the postings of each begin, and the postings' templates and positions.
+        self.postings = {}
+        for gram, rows in posted.items():
+            table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 3)
+            keys, begins = np.unique(table[:, 0], return_index=True)
+            self.postings[gram] = keys, np.append(begins, len(table)), table[:, 1], table[:, 2]
 
     @staticmethod
-    def grams(ws: np.ndarray) -> np.ndarray:
-        """Exact codes of ``GRAM`` neighbouring word ids (below 2^20 each)."""
-        if len(ws) < GRAM:
+    def grams(ws: np.ndarray, gram: int) -> np.ndarray:
+        """Exact codes of ``gram`` neighbouring word ids (below 2^20 each)."""
+        if len(ws) < gram:
             return np.empty(0, dtype=np.int64)
-        return sum(ws[k:len(ws) - GRAM + 1 + k] << (20 * (GRAM - 1 - k)) for k in range(GRAM))
-
-    def candidates(self, ws: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, least and greatest diagonal) of groups of hits."""
-        grams = self.grams(ws)
-        if not len(grams) or not len(self.keys):
-            return []
-        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-        hits = sorted((t, p - spot) for p in np.flatnonzero(self.keys[at] == grams).tolist() for t, spot in self.postings[int(grams[p])])
-        groups: list[list[int]] = []
-        for t, diagonal in hits:
-            if groups and groups[-1][0] == t and diagonal - groups[-1][2] <= BAND:
-                groups[-1][2] = diagonal
-            else:
-                groups.append([t, diagonal, diagonal])
-        return [tuple(g) for g in groups]
-
-    def align(self, ws: np.ndarray, t: int, low: int, high: int) -> tuple[int, int, int]:
-        """Most template words matched in order near the diagonals; (matches, first, last document word)."""
-        template, rows = self.words[t], {}
-        best = (0, 0, 0)
+        return sum(ws[k:len(ws) - gram + 1 + k] << (20 * (gram - 1 - k)) for k in range(gram))
+
+    def candidates(self, ws: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(template, least and greatest diagonals of stretches with enough hits)."""
+        for gram, (keys, begins, templates, spots) in self.postings.items():
+            grams = self.grams(ws, gram)
+            if not len(grams) or not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            places = np.flatnonzero(keys[at] == grams)
+            # hits are of different template positions: few documents have as many at all
+            met = np.zeros(len(keys), dtype=bool)
+            met[at[places]] = True
+            distinct = np.bincount(templates[np.repeat(met, np.diff(begins))], minlength=len(self.words))
+            asked = [t for t, s in enumerate(self.sizes) if s[1] == gram and distinct[t] >= s[3]]
+            if not asked:
+                continue
+            first, each = begins[at[places]], np.diff(begins)[at[places]]
+            rows = np.repeat(first - np.cumsum(each) + each, each) + np.arange(each.sum())
+            hit, diagonals = templates[rows], np.repeat(places, each) - spots[rows]
+            for t in asked:
+                *_, hits, width, step = self.sizes[t]
+                mine = np.flatnonzero(hit == t)
+                mine = mine[np.argsort(diagonals[mine], kind="stable")]
+                edges = np.unique(diagonals[mine] // step * step)
+                low, high = (np.searchsorted(diagonals[mine], e) for e in (edges, edges + width))
+                # a stretch that ends at the same hit as the one before it lies inside that
+                kept = np.flatnonzero((high - low >= hits) & (np.diff(high, prepend=0) > 0))
+                yield t, [(int(edges[k]), int(edges[k]) + width - 1) for k in kept
+                          if len(np.unique(rows[mine[low[k]:high[k]]])) >= hits]
+
+    def align(self, ws: np.ndarray, t: int, low: int, high: int, begin: int, end: int) -> tuple[int, int, int]:
+        """Most template words matched in order on these diagonals by the document's words from ``begin`` to before
+        ``end``, in the shortest span that begins last; (matches, first, last document word)."""
+        template = self.words[t]
+        begin, end = max(begin, low), min(end, len(template) + high)
+        if begin >= end:
+            return 0, 0, 0
+        one, places = 1 << 40, np.arange(end - begin) + (1 << 40)
+        best, ws = np.zeros(end - begin + 1, dtype=np.int64), ws[begin:end]  # matches * one + first word, from 1 on
         for i, word in enumerate(template.tolist()):
-            row = {}
-            for j in range(max(0, i + low - BAND), min(len(ws), i + high + BAND + 1)):
-                up, left, corner = rows.get(j, (0, 0, 0)), row.get(j - 1, (0, 0, 0)), rows.get(j - 1, (0, 0, 0))
-                cell = max(up, left, key=lambda c: c[0])
-                if ws[j] == word and corner[0] + 1 > cell[0]:
-                    cell = (corner[0] + 1, corner[1] if corner[0] else j, j)
-                row[j] = cell
-                if cell[0] > best[0]:
-                    best = cell
-            rows = row
-        return best
-
-    def scan(self, text: str, min_coverage: float) -> list[dict]:
+            a, b = max(0, i + low - begin), min(len(ws), i + high + 1 - begin)
+            if a < b:
+                corner = best[a:b]
+                longer = np.where(corner > 0, corner + one, places[a:b])
+                best[a + 1:b + 1] = np.maximum.accumulate(np.maximum(best[a + 1:b + 1], np.where(ws[a:b] == word, longer, 0)))
+        last = int(best.argmax())
+        return int(best[last]) // one, begin + int(best[last]) % one, begin + last - 1
+
+    def matches(self, ws: np.ndarray, t: int, stretches: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """Places of a template that don't overlap, the best first: (template, first, last word, matches)."""
+        least, found, queue = self.sizes[t][0], [], []
+
+        def ask(low: int, high: int, begin: int, end: int) -> None:
+            if end - begin >= least:
+                matched, first, last = self.align(ws, t, low, high, begin, end)
+                if matched >= least:
+                    heapq.heappush(queue, (-matched, last - first, first, last, low, high, begin, end))
+
+        for low, high in stretches:
+            ask(low, high, 0, len(ws))
+        while queue:
+            less, _, first, last, low, high, begin, end = heapq.heappop(queue)
+            near = found[max(0, bisect_left(found, (first,)) - 1):bisect_left(found, (last + 1,))]
+            clash = next((f for f in near if f[1] >= first), None)
+            if clash is None:
+                insort(found, (first, last, -less))
+                clash = (first, last)
+            ask(low, high, begin, min(end, clash[0]))
+            ask(low, high, max(begin, clash[1] + 1), end)
+        return [(t, first, last, matched) for first, last, matched in found]
+
+    def scan(self, text: str) -> list[dict]:
         ids = self.ids
         ws = np.array([ids.get(w, 0) for w in words_of(text)], dtype=np.int64)
-        found = []
-        for t, low, high in self.candidates(ws):
-            matched, first, last = self.align(ws, t, low, high)
-            if matched >= min_coverage * len(self.words[t]):
-                found.append((t, first, last, matched))
-        if not found:
+        kept = [place for t, stretches in self.candidates(ws) for place in self.matches(ws, t, stretches)]
+        if not kept:
             return []
-        found.sort(key=lambda f: (f[0], -f[3], f[1]))
-        kept: list[tuple[int, int, int, int]] = []
-        for f in found:
-            if all(f[0] != k[0] or f[2] < k[1] or f[1] > k[2] for k in kept):
-                kept.append(f)
         raw = text.encode()
         spans = [m.span() for m in WORD.finditer(raw)]
         return [{"license": self.names[t], "template": t, "matched": matched, "coverage": matched / len(self.words[t]), "first_word": first,
@@ -135,9 +195,9 @@ def scan_licenses(df: DataFrame, templates: DataFrame, min_coverage: float = 0.7
     rows = [(r[0], r[1]) for r in templates.select("license", "text").orderBy("license", "text").collect()]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = TemplateIndex(rows)
+        index = TemplateIndex(rows, min_coverage)
         for texts in batches:
-            yield pd.Series([index.scan(t, min_coverage) if t else [] for t in texts], dtype=object)
+            yield pd.Series([index.scan(t) if t else [] for t in texts], dtype=object)
 
     return df.withColumn("licenses", F.pandas_udf(run, FOUND)(F.col(text)))
 

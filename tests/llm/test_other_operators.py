@@ -187,6 +187,41 @@ def test_license_table_against_plain_search(shared):
     assert got == +want and want
 
 
+def plain_alignment(words, template):
+    """Words of ``template`` found in order in ``words``."""
+    row = [0] * (len(words) + 1)
+    for t in template:
+        last = 0
+        for j, w in enumerate(words, 1):
+            last, row[j] = row[j], last + 1 if w == t else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_edited_notices_against_plain_alignment():
+    draw, missed, places = random.Random(8), [], 0
+    index = license_scan.TemplateIndex(license_scan.NOTICES, 0.75)
+    split = [license_scan.words_of(t) for _, t in license_scan.NOTICES]
+    for _ in range(150):
+        doc = [draw.choice([b"the", b"of", b"license", b"under", b"x"]) for _ in range(draw.randint(0, 30))]
+        for t in draw.choices(range(len(split)), k=2):
+            kept = [[w, draw.choice([w, w, b"x"]), b"y"][min(2, draw.randint(0, 14) // 6)] for w in split[t]]
+            doc += [x for w in kept for x in ([w, b"z"] if draw.random() < 0.05 else [w])] + [b"end"] * draw.randint(0, 9)
+        found = index.scan(b" ".join(doc).decode())
+        for r in found:
+            assert plain_alignment(doc[r["first_word"]:r["last_word"] + 1], split[r["template"]]) == r["matched"]
+        for t, template in enumerate(split):
+            for begin in range(len(doc)):
+                span = doc[begin:begin + len(template)]
+                if plain_alignment(span, template) >= 0.75 * len(template):
+                    places += 1
+                    if not any(r["template"] == t and r["first_word"] < begin + len(span) and r["last_word"] >= begin for r in found):
+                        missed.append((t, span))
+    assert places > 100 and not missed
+    for text in ("Released under MIT License", "Released under a MIT License", "licensed under an apache license release 2 0"):
+        assert [r["coverage"] >= 0.75 for r in index.scan(text)] == [True]
+    assert len(index.scan("Released under the MIT License. " * 3)) == 3
+
+
 def brute_scores(rows, order=2, least=2):
     words = [(i, (t or "").encode().lower().split()) for i, t in rows]
     counts = Counter(tuple(w[k:k + n]) for _, w in words for n in range(1, order + 1) for k in range(len(w) - n + 1))

@@ -21,6 +21,7 @@ import math
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: For ``bytes.translate``: A-Z to lower case, separators to spaces.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
-#: Short notices by which public licenses are stated (license, text).
+#: Short notices by which licenses are stated (license, text).
 NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
@@ -44,7 +45,10 @@ NOTICES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("proprietary", "All rights reserved."),
 ]
+#: Whole license texts, one file each, named by license.
+TEXTS = Path(__file__).parent / "licenses"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -203,7 +207,9 @@ def scan_licenses(df: DataFrame, templates: DataFrame, min_coverage: float = 0.7
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTICES, "license string, text string")
+    """The template table: short notices and whole license texts."""
+    texts = [(path.stem, path.read_text(encoding="utf-8")) for path in sorted(TEXTS.glob("*.txt"))]
+    return spark.createDataFrame(NOTICES + texts, "license string, text string")
 
 
 def license_spans(docs: DataFrame, templates: DataFrame) -> DataFrame:

@@ -187,6 +187,19 @@ def test_license_table_against_plain_search(shared):
     assert got == +want and want
 
 
+def test_license_lines_of_the_documents(shared):
+    docs = shared.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    stated = re.compile(r"(?i)licen[cs]e|rights reserved|copyright|permission is|public domain")
+    want = {(r.doc_id, line) for r in docs.collect() for line in (r.text or "").split("\n") if stated.search(line)}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = license_scan.license_spans(docs, license_scan.notices(shared)).collect()
+    spans = defaultdict(list)
+    for r in found:
+        spans[r.doc_id].append(texts[r.doc_id][r.start:r.end])
+    assert len({line for _, line in want}) == 5
+    assert not [(i, line) for i, line in want if not any(s in line and len(s) >= len(line) - 1 for s in spans[i])]
+
+
 def plain_alignment(words, template):
     """Words of ``template`` found in order in ``words``."""
     row = [0] * (len(words) + 1)
@@ -222,6 +235,13 @@ def test_edited_notices_against_plain_alignment():
     assert len(index.scan("Released under the MIT License. " * 3)) == 3
 
 
+def test_whole_license_texts(shared):
+    texts = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(license_scan.TEXTS.glob("*.txt"))]
+    docs = shared.createDataFrame([(i, f"Some file.\n\n{t.upper()}\nEnd of it.") for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = license_scan.license_spans(docs, license_scan.notices(shared)).where("coverage = 1 and matched > 150").collect()
+    assert len(texts) >= 9 and {(i, name) for i, (name, _) in enumerate(texts)} <= {(r.doc_id, r.license) for r in got}
+
+
 def brute_scores(rows, order=2, least=2):
     words = [(i, (t or "").encode().lower().split()) for i, t in rows]
     counts = Counter(tuple(w[k:k + n]) for _, w in words for n in range(1, order + 1) for k in range(len(w) - n + 1))

@@ -40,8 +40,8 @@ SHARD_TOKENS, PART_BYTES = 1 << 19, 32 << 20
 MEMO_ENTRIES, LONGEST_IN_MEMO = 150_000, 64
 #: Bytes of text encoded at once.
 BLOCK = 1 << 20
-#: First symbol that is a rule; rounds; least uses of a pair; pairs replaced in one round.
-FIRST_RULE, ROUNDS, LEAST_USES, PAIRS = 1 << 16, 8, 8, 4096
+#: First symbol that is a rule; least uses of a pair; pairs replaced in one round.
+FIRST_RULE, LEAST_USES, PAIRS = 1 << 16, 8, 4096
 #: Buckets (as a power of two) in which pairs are counted first.
 BUCKET_BITS = 18
 
@@ -83,11 +83,12 @@ def frequent_pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence, rules (two symbols each) and expansion lengths of the rules."""
+    """Sequence, rules (two symbols each) and expansion lengths of the rules.
+
+    Of the places of frequent pairs at least half are kept, four a pair on average, so every round shortens the sequence.
+    """
     seq, rules, lengths = ids.astype(np.uint32), np.empty((0, 2), dtype=np.uint32), np.ones(FIRST_RULE, dtype=np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         frequent, at, rank = frequent_pairs(seq)
         if not len(frequent):
             break

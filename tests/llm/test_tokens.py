@@ -93,6 +93,15 @@ def test_grammar_replaces_frequent_pairs():
     assert len(seq) < 40 and len(rules) >= 2 and lengths.max() >= 4
 
 
+@pytest.mark.parametrize("ids", [[7] * (1 << 19), list(range(3000)) * 100, [5] * 3000 + list(range(40)) * 2000 + [6] * 70000])
+def test_no_frequent_pair_is_left(ids):
+    ids = np.array(ids, dtype="<u2")
+    seq, rules, lengths = repair.compress(ids)
+    assert np.unique(np.stack([seq[:-1], seq[1:]]), axis=1, return_counts=True)[1].max() < repair.LEAST_USES
+    assert repair.expand_all(seq, rules, lengths).tolist() == ids.tolist()
+    assert repair.decode_range(seq, rules, lengths, 1000, 500).tolist() == ids[1000:1500].tolist()
+
+
 WORDS = repair._Words(open(P.path("byte_bpe_50k.json"), "rb").read())
 HF = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 

@@ -5,7 +5,8 @@ each benchmark word occurs; every window then names its rarest words.  A second
 positions (document, position, word) in a stored table.  The posting list of a window's rarest word, moved
 back by the word's offset, gives the places where the window may begin; they are intersected with the lists
 of the next rarest words, and what is left is compared word by word with the whole text.  With a ``slop``
-the lists may disagree by so many words and every word must lie that near to its place (proximity match).
+every start within so many words of these is tried, the lists may disagree by so many and every word, the rarest
+too, must lie that near to its place (proximity match).
 
 The index holds narrow rows for the words that windows need, so its size follows the documents; the word
 tables that are broadcast come from the benchmark and are broadcast only up to ``BROADCAST_BYTES``.  Beyond
@@ -85,13 +86,15 @@ def matches(docs: DataFrame, windows: DataFrame, slop: int = 0) -> tuple[DataFra
     rare = rarest_words(docs, windows)
     terms = rare.select("word").distinct()
     index = stored(word_positions(docs).join(_small(terms, "word"), "word", "left_semi"), "decontamination-index")
+    near = F.explode(F.sequence(F.lit(-slop), F.lit(slop))) if slop else F.lit(0)
     first = _small(rare.where("nth = 1"), "word")
-    found = index.join(first, "word").select("key", "wid", (F.col("pos") - F.col("offset")).alias("start")).where(
-        F.col("start") >= -slop)
+    found = index.join(first, "word").select("key", "wid", (F.col("pos") - F.col("offset")).alias("start"))
+    if slop:  # the rarest word may be shifted as any other
+        found = found.select("key", "wid", "start", near.alias("shift")).select("key", "wid", (F.col("start") + F.col("shift")).alias("start")).distinct()
+    found = found.where(F.col("start") >= -slop)
     for nth in range(2, LISTS + 1):
         wanted = rare.where(F.col("nth") == nth).select("wid", "word", "offset")
         asked = found.join(_small(wanted, "word"), "wid", "left")
-        near = F.explode(F.sequence(F.lit(-slop), F.lit(slop))) if slop else F.lit(0)
         asked = asked.select("key", "wid", "start", "word", "offset", near.alias("shift"))
         settled = asked.where("word is null")  # a window of fewer words
         agreed = asked.where("word is not null").withColumn("pos", F.col("start") + F.col("offset") + F.col("shift")).join(

@@ -129,3 +129,23 @@ def test_proximity(shared):
     bench = shared.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     near = {r.doc_id: [m.exact for m in r.matches] for r in decontamination.contamination(docs, bench, 10, 2).collect()}
     assert True in near[1] and near[2] and True not in near[2] and not near[3] and not near[4]
+
+
+def test_proximity_against_brute_force(shared):
+    draw, slop = random.Random(11), 1
+    texts = ["a x b x c d", *(" ".join(draw.choices("abcdex", k=draw.randint(0, 9))) for _ in range(150))]
+    items = ["a b c d", "b a d", "c e", "e d c b a"]
+    for more in (["a"] * 200, ["b"] * 200):  # whichever word is the rarest
+        rows = list(enumerate([*texts, " ".join(more)]))
+        want = set()
+        for i, text in rows:
+            words = text.split()
+            for k, item in enumerate(items):
+                for start in range(-slop, len(words)):
+                    if all(w in words[max(0, start + j - slop):max(0, start + j + slop + 1)] for j, w in enumerate(item.split())):
+                        want.add((i, k, start))
+        out = decontamination.contamination(shared.createDataFrame(rows, "doc_id long, text string"),
+                                            shared.createDataFrame(list(enumerate(items)), "item_id long, text string"), 10, slop).collect()
+        assert {(r.doc_id, int(item)) for r in out for item in r["items"]} == {(i, k) for i, k, _ in want}
+        assert {(r.doc_id, m.length, m.start) for r in out for m in r.matches} == {(i, len(items[k].split()), s) for i, k, s in want}
+        assert (0, 0) in {(i, k) for i, k, _ in want}

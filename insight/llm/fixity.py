@@ -1,6 +1,7 @@
 """WARC fixity audit with Merkle trees over ordered offset ranges.
 
-Records lie in files at byte offsets.  Every record is hashed; the records of each ``LEAF_BYTES`` of offsets
+Records lie in files at byte offsets; each replica is a table of record bytes by file and offset in the shared
+folder, hashed from what is read there.  Every record is hashed; the records of each ``LEAF_BYTES`` of offsets
 form a leaf whose hash covers their offsets and hashes in order; ``FANOUT`` neighbouring ranges form the
 next node, up to one root per file.  A node covers a bounded stretch, so no group grows with the data and
 each level is an aggregate of the one below, stored in the shared folder.  Two replicas are compared at the
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from insight.llm.storage import stored
+from insight.llm.storage import stage_folder, stored
 
 LEAF_BYTES, FANOUT = 1 << 16, 16
 #: Aim for the bytes of one WARC file.
@@ -32,21 +33,31 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def place_records(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """``page_id``, ``url``, ``html`` with the record's ``file``, ``offset``, ``n_bytes`` and hash ``sha``.
+    """``page_id`` and ``record`` with the record's ``file``, ``offset`` and ``n_bytes``.
 
     A page's file follows from a hash of its id and the number of files from the total size; inside a file
-    records lie in order of page id, url and hash.  Only lengths and hashes are moved, never the pages.
+    records lie in order of page id, size and hash.
     """
-    record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = stored(pages.select("page_id", F.octet_length(record).cast("long").alias("n_bytes"), F.sha2(record, 256).alias("sha"),
-                               F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 8), 16, 10)
-                               .cast("long").alias("_h"), F.sha2(F.concat(F.lit("w"), F.substr(record, F.lit(2))), 256).alias("sha_flipped")),
-                  "fixity-records")
+    rows = pages.select("page_id", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    rows = rows.withColumn("n_bytes", F.octet_length("record").cast("long"))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     files = max(1, -(-total // file_bytes))
+    number = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
     order = Window.partitionBy("file").orderBy("page_id", "n_bytes", "sha")
-    placed = rows.withColumn("file", F.col("_h") % files).drop("_h")
-    return placed.withColumn("offset", F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_bytes"))
+    placed = rows.withColumns({"file": number % files, "sha": F.sha2("record", 256)})
+    return placed.withColumn("offset", F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_bytes")).drop("sha")
+
+
+def written(records: DataFrame, name: str) -> DataFrame:
+    """A replica: its records' bytes with file and offset, written to the shared folder and read from there."""
+    path = stage_folder(records.sparkSession, f"fixity-{name}")
+    records.write.option("compression", "zstd").parquet(path)
+    return records.sparkSession.read.schema(records.schema).parquet(path)
+
+
+def hashed(replica: DataFrame) -> DataFrame:
+    """``file``, ``offset`` and hash ``sha`` of the bytes of every record of a replica."""
+    return replica.select("file", "offset", F.sha2("record", 256).alias("sha"))
 
 
 def merkle_levels(records: DataFrame, name: str) -> list[DataFrame]:
@@ -102,11 +113,11 @@ def fixity_audit(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     Page ids of remainder 7 by 101 have a flipped bit in their first byte, those of remainder 11 by 211 are lost,
     and behind records of remainder 19 by 307 lies a stray one inside the record's bytes.
     """
-    records = stored(place_records(pages, file_bytes), "fixity-placed")
-    flipped = F.when(F.expr("page_id % 101 = 7"), F.col("sha_flipped")).otherwise(F.col("sha"))
-    damaged = records.where(F.expr("not coalesce(page_id % 211 = 11, false)")).select("file", "offset", flipped.alias("sha"))
-    stray = records.where("page_id % 307 = 19").select("file", (F.col("offset") + 1).alias("offset"), F.sha2(F.lit("stray"), 256).alias("sha"))
-    found = audit(records, damaged.unionByName(stray))
+    records = written(place_records(pages, file_bytes).select("page_id", "file", "offset", "n_bytes", "record"), "records")
+    flipped = F.when(F.expr("page_id % 101 = 7"), F.concat(F.lit("w"), F.substr("record", F.lit(2)))).otherwise(F.col("record"))
+    damaged = records.where(F.expr("not coalesce(page_id % 211 = 11, false)")).select("file", "offset", flipped.alias("record"))
+    stray = records.where("page_id % 307 = 19").select("file", (F.col("offset") + 1).alias("offset"), F.lit("stray").alias("record"))
+    found = audit(hashed(records), hashed(written(damaged.unionByName(stray), "replica")))
     owner = records.select("file", "offset", "page_id", "n_bytes")
     at = F.when(F.col("status") == "extra", F.col("offset") - 1).otherwise(F.col("offset"))
     return found.withColumn("_at", at).join(owner.withColumnRenamed("offset", "_at"), ["file", "_at"]).select(

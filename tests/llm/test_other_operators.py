@@ -162,6 +162,28 @@ def test_pages_with_nulls(shared):
     assert {r.status for r in fixity.fixity_audit(pages).collect()} == {"corrupt", "missing", "extra"}
 
 
+def test_replicas_are_hashed_from_their_bytes(shared, monkeypatch):
+    rows = [(i, f"u{i}", f"page {i} " * (i % 50)) for i in range(400)]
+    pages = shared.createDataFrame(rows, "page_id long, url string, html string")
+    replicas, write = {}, fixity.written
+
+    def broken(records, name):
+        """As a disk that flips a bit of page 250 in the second replica."""
+        if name == "replica":
+            bad = F.regexp_replace("record", "(?s)(page:250>.*)g", "$1f")
+            records = records.withColumn("record", bad)
+        replicas[name] = write(records, name)
+        return replicas[name]
+
+    monkeypatch.setattr(fixity, "written", broken)
+    got = {(r.page_id, r.status) for r in fixity.fixity_audit(pages, 4096).collect()}
+    assert got == ({(i, "missing" if i % 211 == 11 else "corrupt") for i in range(400) if i % 211 == 11 or i % 101 == 7 or i == 250}
+                   | {(i, "extra") for i in range(400) if i % 307 == 19})
+    for r in replicas["records"].collect():
+        assert len(r.record.encode()) == r.n_bytes and r.record.startswith("WARC/1.0\r\n")
+    assert replicas["replica"].where("record like 'wARC%'").count() == 4
+
+
 def test_license_spans(shared):
     notice = "Licensed under the Apache License, Version 2.0."
     rows = [(1, f"Été hello.\n{notice} and more"), (2, None), (3, ""), (4, "licensed UNDER the apache license version 2 0"),

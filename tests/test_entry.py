@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF001
+from tablepaths import SF001
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()

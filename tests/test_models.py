@@ -81,7 +81,7 @@ def test_forest_scores_and_importances(spark):
 
 @pytest.mark.parametrize("balance_first", [False, True])
 def test_oversampled_pipeline_runs_both_orders(spark, balance_first):
-    from conftest import SF001
+    from tablepaths import SF001
     from insight.plans.risk import oversampled_comparison
 
     rows = oversampled_comparison(spark, SF001, balance_first=balance_first).collect()

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF001
+from tablepaths import SF001
 
 QUERIES = ["rfm_segment_summary", "split_stratified", "auc_exact", "describe_orders", "dedupe_lineitem",
            "entity_scorecard"]

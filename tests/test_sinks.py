@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from insight.sources import kpi_table, load, write_projection, write_table
 from insight.sources.tables import TABLE_SCHEMAS, read_table
 
-from conftest import SF001
+from tablepaths import SF001
 
 
 def test_read_table_uses_declared_schema(spark):

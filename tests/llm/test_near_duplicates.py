@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from insight.llm import decontamination, simhash
+from llm_fixtures import documents, shared  # noqa: F401
 
 
 def brute_fingerprint(text):

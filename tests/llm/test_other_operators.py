@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from insight.llm import chat_trees, fixity, license_scan, lm_scoring, quality_rules, sharding
+from llm_fixtures import documents, shared  # noqa: F401
 
 MESSAGES = "tree string, node long, parent long, role string, text string, score double"
 

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from insight.llm import byte_bpe, repair
+from llm_fixtures import documents, shared  # noqa: F401
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 BPE = byte_bpe.PrefixBpe(byte_bpe.read_ranks(RANKS), P.PATTERN)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insight.llm import byte_bpe, chat_trees, decontamination, fixity, license_scan, lm_scoring, quality_rules, repair, sharding, simhash
+from insight.llm import byte_bpe, chat_trees, collocations, decontamination, fixity, license_scan, lm_scoring, quality_rules, repair, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,6 +147,38 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM doc d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN own o ON d.doc_id = o.doc_id
 """
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two or three words of each language, by counts over all documents."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"), top=2000, least=10, share=50)
+
+
+OP12_SQL = r"""
+WITH piece AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+gram AS (
+  SELECT lang, k, g, count(*) AS a FROM (
+    SELECT lang, k, w[i:i + k - 1] AS g FROM (
+      SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k))
+  GROUP BY lang, k, g),
+size AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM gram WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, g, a FROM gram WHERE k > 1 AND a >= 10),
+cut AS (
+  SELECT c.lang, c.k, c.g, c.a, l.k AS j, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score
+  FROM cand c JOIN gram l ON l.lang = c.lang AND l.k < c.k AND l.g = c.g[1:l.k]
+              JOIN gram r ON r.lang = c.lang AND r.k = c.k - l.k AND r.g = c.g[l.k + 1:c.k]),
+scored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS q FROM cut) WHERE q = 1),
+longer AS (
+  SELECT lang, g, max(a) AS a FROM (SELECT lang, g[1:2] AS g, a FROM cand WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM cand WHERE k = 3)
+  GROUP BY lang, g),
+alive AS (
+  SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM scored s LEFT JOIN longer x ON s.k = 2 AND x.lang = s.lang AND x.g = s.g
+  WHERE x.a IS NULL OR 100 * x.a < 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alive)
+SELECT r.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked r JOIN size z ON z.lang = r.lang WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_chat_trees": op1_chat_trees,
     "op2_sharding": op2_sharding,
@@ -158,6 +190,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,4 +198,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_fixity": OP4_SQL,
     "op8_lm_scoring": OP8_SQL,
     "op10_decontamination": OP10_SQL,
+    "op12_collocations": OP12_SQL,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insight.llm import byte_bpe, chat_trees, collocations, decontamination, fixity, license_scan, lm_scoring, quality_rules, repair, sharding, simhash
+from insight.llm import byte_bpe, chat_trees, collocations, decontamination, divergence, fixity, license_scan, lm_scoring, quality_rules, repair, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +179,41 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT r.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked r JOIN size z ON z.lang = r.lang WHERE rank <= 2000
 """
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every pair of sources of a language, and each source's ten most typical terms."""
+    return divergence.audit(_table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+OP13_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+occ AS (SELECT lang, source, d, term, count(*) AS n FROM (SELECT lang, source, d, unnest(w) AS term FROM doc) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM occ GROUP BY lang, term HAVING count(*) >= 10),
+cell AS (SELECT lang, source, term, CAST(sum(o.n) AS BIGINT) AS n FROM occ o SEMI JOIN kept k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS t FROM kept GROUP BY lang),
+grp AS (SELECT g.lang, g.source, coalesce(t, 0)::HUGEINT AS t
+        FROM (SELECT DISTINCT lang, source FROM doc) g LEFT JOIN (SELECT lang, source, sum(n) AS t FROM cell GROUP BY lang, source) c
+          ON c.lang = g.lang AND c.source = g.source),
+share AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.t + 2 * v.v) AS BIGINT) AS p,
+         CAST(1 + 1000000000::HUGEINT * (k.n + 2) // (v.t + 2 * v.v) AS BIGINT) AS q
+  FROM grp g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+    LEFT JOIN cell c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+total AS (
+  SELECT x.lang, x.source, y.source AS item, CAST(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS BIGINT) AS value
+  FROM share x JOIN share y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(t.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN total t ON t.lang = a.lang AND t.source = a.source AND t.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM share WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+           FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {
     "op1_chat_trees": op1_chat_trees,
     "op2_sharding": op2_sharding,
@@ -191,6 +226,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
     "op12_collocations": op12_collocations,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -199,4 +235,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_lm_scoring": OP8_SQL,
     "op10_decontamination": OP10_SQL,
     "op12_collocations": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }

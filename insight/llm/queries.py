@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insight.llm import byte_bpe, chat_trees, collocations, decontamination, divergence, fixity, license_scan, lm_scoring, quality_rules, repair, sharding, simhash
+from insight.llm import byte_bpe, chat_trees, collocations, decontamination, divergence, fixity, license_scan, lm_scoring, quality_rules, repair, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,6 +147,11 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM doc d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN own o ON d.doc_id = o.doc_id
 """
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by weak supervision."""
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best phrases of two or three words of each language, by counts over all documents."""
     return collocations.collocations(_table(spark, sf_dir, "documents"), top=2000, least=10, share=50)
@@ -225,6 +230,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
+    "op11_toxicity": op11_toxicity,
     "op12_collocations": op12_collocations,
     "op13_source_divergence": op13_source_divergence,
 }

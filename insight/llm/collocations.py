@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from insight.llm import bitfilter
 from insight.llm.storage import stored
 
-#: Words that a task counts at once.
-BLOCK_WORDS = 3_000_000
+#: Words that a task counts at once; rows that it takes from a batch, and that it sends, at once.
+BLOCK_WORDS, ROWS_IN, ROWS_OUT = 1_500_000, 256, 100_000
 #: Digest seeds that are tried before giving up; at 64 bits a second try is already rare.
 SEEDS = 8
 
@@ -52,7 +52,8 @@ class _Block:
     """Words of some texts as numbers; number 0 stands between pieces."""
 
     def __init__(self):
-        self.numbers: dict[tuple[str, bytes] | None, int] = {None: 0}
+        self.langs: list[str] = []
+        self.words: list[bytes] = []
         self.runs: list[np.ndarray] = []
         self.size = 0
         self.by_lang: dict[str, dict[bytes, int]] = {}
@@ -61,20 +62,26 @@ class _Block:
         known = self.by_lang.setdefault(lang, {_BOUNDARY: 0})
         words = text.encode().translate(_FOLD).replace(_BOUNDARY, b" \xff ").split()
         for w in set(words).difference(known):
-            known[w] = self.numbers[lang, w] = len(self.numbers)
-        run = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        self.runs += [run, np.zeros(1, dtype=np.int64)]
+            self.langs.append(lang)
+            self.words.append(w)
+            known[w] = len(self.words)
+        self.runs.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
         self.size += len(words) + 1
 
     def stream(self) -> np.ndarray:
-        return np.concatenate(self.runs) if self.runs else np.zeros(1, dtype=np.int64)
-
-    def words(self) -> list[tuple[str, bytes]]:
-        return list(self.numbers)[1:]
+        """All numbers with a 0 between texts; the block takes no more texts afterwards."""
+        self.by_lang.clear()
+        out = np.zeros(self.size + 1, dtype=np.int32)
+        at = 0
+        for run in self.runs:
+            out[at:at + len(run)] = run
+            at += len(run) + 1
+        self.runs.clear()
+        return out
 
     def digests(self, seed: int) -> np.ndarray:
         """By number; the language is part of what is hashed."""
-        return np.array([0, *[_digest(g, w, seed) for g, w in self.words()]], dtype=np.uint64).view(np.int64)
+        return np.array([0, *[_digest(g, w, seed) for g, w in zip(self.langs, self.words)]], dtype=np.uint64).view(np.int64)
 
 
 def _digest(lang: str, word: bytes, seed: int) -> int:
@@ -84,11 +91,13 @@ def _digest(lang: str, word: bytes, seed: int) -> int:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     block = _Block()
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            block.add(lang, text)
-            if block.size >= BLOCK_WORDS:
-                yield block
-                block = _Block()
+        for at in range(0, batch.num_rows, ROWS_IN):
+            rows = batch.slice(at, ROWS_IN)
+            for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist()):
+                block.add(lang, text)
+                if block.size >= BLOCK_WORDS:
+                    yield block
+                    block = _Block()
     if block.size:
         yield block
 
@@ -102,12 +111,13 @@ def _word_counts(df: DataFrame, seed: int) -> DataFrame:
 
     def run(batches):
         for block in _blocks(batches):
-            counts = np.bincount(block.stream(), minlength=len(block.numbers))[1:]
-            words = block.words()
-            if words:
+            counts = np.bincount(block.stream(), minlength=len(block.words) + 1)[1:]
+            digests = block.digests(seed)[1:]
+            for at in range(0, len(block.words), ROWS_OUT):
+                to = at + ROWS_OUT
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([g for g, _ in words]), pa.array([w for _, w in words], pa.binary()).cast(pa.string()),
-                     pa.array(block.digests(seed)[1:]), pa.array(counts)], names=["lang", "word", "h", "f"])
+                    [pa.array(block.langs[at:to]), pa.array(block.words[at:to], pa.binary()).cast(pa.string()),
+                     pa.array(digests[at:to]), pa.array(counts[at:to])], names=["lang", "word", "h", "f"])
 
     part = _read(df).mapInArrow(run, "lang string, word string, h long, f long")
     return part.groupBy("lang", "word", "h").agg(F.sum("f").alias("f"))
@@ -127,11 +137,10 @@ def _grams(df: DataFrame, width: int, seed: int, wanted) -> DataFrame:
             n = len(stream) - width + 1
             if n < 1:
                 continue
-            places = [stream[k:n + k] for k in range(width)]
-            inside = np.logical_and.reduce([p > 0 for p in places])
-            places = [p[inside] for p in places]
+            inside = np.logical_and.reduce([stream[k:n + k] > 0 for k in range(width)])
+            places = [stream[k:n + k][inside] for k in range(width)]
             keep = wanted(*[digests[p] for p in places])
-            places = [p[keep] for p in places]
+            places = [p[keep].astype(np.int64) for p in places]
             bits = max(1, int(len(digests) - 1).bit_length())
             if width == 3 and 3 * bits > 63:  # too many words for one packed number: pairs get numbers first
                 pairs, places[1] = np.unique(places[0] << bits | places[1], return_inverse=True)
@@ -142,10 +151,12 @@ def _grams(df: DataFrame, width: int, seed: int, wanted) -> DataFrame:
                 packed = places[0]
                 for p in places[1:]:
                     packed = packed << bits | p
+                del places, inside, keep
                 keys, counts = np.unique(packed, return_counts=True)
                 parts = [keys >> bits * (width - 1 - k) & (1 << bits) - 1 for k in range(width)]
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([*[pa.array(digests[p]) for p in parts], pa.array(counts.astype(np.int64))], names=[*names, "a"])
+            for at in range(0, len(keys), ROWS_OUT):
+                to = at + ROWS_OUT
+                yield pa.RecordBatch.from_arrays([*[pa.array(digests[p[at:to]]) for p in parts], pa.array(counts[at:to].astype(np.int64))], names=[*names, "a"])
 
     part = _read(df).mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", a long")
     return part.groupBy(*names).agg(F.sum("a").alias("a"))

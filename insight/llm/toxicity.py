@@ -36,13 +36,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from insight.llm.storage import stored
 
 #: Labelled training rows that terms are mined from and the classifier is fitted on, at most.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 15_000
+#: Tasks that the training rows are dealt to.
+PARTS = 24
 #: Mined terms: words and beginnings of words.
 MOST_WORDS, MOST_PREFIXES = 256, 64
 #: Lists that mined words and beginnings are dealt into; each is one voter.
@@ -87,9 +89,11 @@ def beginnings(word: bytes) -> list[str]:
 
 def training_rows(df: DataFrame, labels: DataFrame, id_col: str, text: str, label: str) -> DataFrame:
     """``text``, ``toxic`` of the labelled rows outside the hold-out, one per text, the smallest id hashes first."""
-    given = labels.select(F.col(id_col).alias("_i"), F.col(label).cast("int").alias("toxic")).where("toxic is not null").groupBy("_i").agg(F.max("toxic").alias("toxic"))
-    rows = df.select(F.col(id_col).alias("_i"), F.col(text).alias("text")).where(~held_out("_i")).join(given, "_i")
-    return rows.where("text is not null").orderBy(F.xxhash64(F.col("_i").cast("string")), "_i").limit(MAX_LABELLED).dropDuplicates(["text"]).select("text", "toxic")
+    given = (labels.select(F.col(id_col).alias("_i"), F.col(label).cast("int").alias("toxic")).where("toxic is not null").groupBy("_i")
+             .agg(F.max("toxic").alias("toxic")).where(~held_out("_i")).orderBy(F.xxhash64(F.col("_i").cast("string")), "_i").limit(MAX_LABELLED))
+    rows = df.select(F.col(id_col).alias("_i"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(given), "_i")
+    one = rows.groupBy(F.sha2("text", 256).alias("_t")).agg(F.min("_i").alias("_i")).orderBy("_i").limit(MAX_LABELLED)
+    return rows.join(F.broadcast(one.select("_i")), "_i", "left_semi").dropDuplicates(["_i"]).select("text", "toxic").repartition(PARTS)
 
 
 def held_out(id_col: str):
@@ -127,8 +131,9 @@ def mined_terms(rows: DataFrame) -> tuple[list[str], list[str]]:
     z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") + 0.5))
     good = seen.where((F.col("kind") == 0) | (F.col("variety") >= LEAST_VARIETY)).where((F.col("t") >= LEAST_TEXTS)
                       & (F.col("t") >= LEAST_PRECISION * (F.col("t") + F.col("n")))).withColumn("z", F.round(z, 9)).where(F.col("z") >= LEAST_Z)
-    return tuple([r["term"] for r in good.where(F.col("kind") == k).orderBy(F.desc("z"), "term").limit(most).collect()]
-                 for k, most in ((0, MOST_WORDS), (1, MOST_PREFIXES)))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("z"), "term"))
+    best = good.select("kind", "term", place.alias("k")).where(F.col("k") <= F.when(F.col("kind") == 0, MOST_WORDS).otherwise(MOST_PREFIXES)).orderBy("kind", "k").collect()
+    return [r["term"] for r in best if r["kind"] == 0], [r["term"] for r in best if r["kind"] == 1]
 
 
 # --- votes --------------------------------------------------------------------------------------------------

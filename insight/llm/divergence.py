@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from insight.llm import bitfilter
 from insight.llm.storage import stage_folder, stored
 
-#: Words that a task counts at once.
-BLOCK_WORDS = 3_000_000
+#: Words that a task counts at once; rows that it takes from a batch, and that it sends, at once.
+BLOCK_WORDS, ROWS_IN, ROWS_OUT = 3_000_000, 256, 100_000
 #: Numbers (terms x sources) of one block of the pair sums.
-BLOCK_CELLS = 1 << 20
+BLOCK_CELLS = 1 << 17
 SEED = 7
 SCALE = 1_000_000_000
 
@@ -59,7 +59,7 @@ class _Block:
         for w in set(words).difference(number):
             number[w] = len(number)
         self.group_of.append(self.groups.setdefault((lang, source), len(self.groups)))
-        self.runs.append(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)))
+        self.runs.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
         self.size += len(words) + 1
 
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,11 +76,13 @@ class _Block:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     block = _Block()
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            block.add(*row)
-            if block.size >= BLOCK_WORDS:
-                yield block
-                block = _Block()
+        for at in range(0, batch.num_rows, ROWS_IN):
+            rows = batch.slice(at, ROWS_IN)
+            for row in zip(*(rows.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                block.add(*row)
+                if block.size >= BLOCK_WORDS:
+                    yield block
+                    block = _Block()
     if block.terms:
         yield block
 
@@ -103,10 +105,12 @@ def _scan(df: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
             terms, groups = list(block.terms), list(block.groups)
             digests = np.array([_digest(t, bits) for t in terms], dtype=np.int64)
             group, term, n, docs = block.counts()
-            none = pa.nulls(len(group), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["counts"] * len(group)), pa.array([groups[g][0] for g in group.tolist()]), pa.array([groups[g][1] for g in group.tolist()]),
-                 pa.array(digests[term]), pa.array(n.astype(np.int64)), pa.array(docs.astype(np.int64)), none, none], names=names)
+            for at in range(0, len(group), ROWS_OUT):
+                own, to = group[at:at + ROWS_OUT].tolist(), at + ROWS_OUT
+                none = pa.nulls(len(own), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["counts"] * len(own)), pa.array([groups[g][0] for g in own]), pa.array([groups[g][1] for g in own]), pa.array(digests[term[at:to]]),
+                     pa.array(n[at:to].astype(np.int64)), pa.array(docs[at:to].astype(np.int64)), none, none], names=names)
             low, high = {}, {}
             for d, t in zip(digests.tolist(), terms):
                 low[d], high[d] = min(low.get(d, t), t), max(high.get(d, t), t)

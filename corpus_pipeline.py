@@ -1,4 +1,9 @@
-"""Corpus pipeline: the stages run in order over ``documents``, each written as Parquet and read again."""
+"""Corpus pipeline: the stages run in order over ``documents``, each written as Parquet and read again.
+
+Defined results: a null text counts as empty (the quality rules drop texts of under 50 words); of rows with one
+id, or of equal rows, one is left by the near-dedup; a null id is kept as any other; an empty table gives no
+rows; extra columns of any name pass through all stages but the last, which returns ids and digests.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from insight.llm.storage import stage_folder
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the base rule or the learned list rejects go."""
     rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+    return quality_rules.only_kept(docs, rules)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

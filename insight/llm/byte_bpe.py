@@ -12,7 +12,8 @@ independent, so there is no shuffle and a lost executor only repeats its own tas
 keeps a bounded memo of chunks it has met; the memo never changes a result.
 
 Defined results: a null text encodes as the empty text (no ids, decoded to the empty text); repeated rows
-give repeated results; other columns pass through unchanged.
+give repeated results; an empty table gives no rows; other columns pass through unchanged, and a column of an
+output's name is replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from insight.llm.columns import boxed, unboxed
+
 #: Entries of one generation of a worker's memo (about 250 bytes each), and the characters of its longest key.
 MEMO_ENTRIES, LONGEST_IN_MEMO = 150_000, 64
 #: Rows that a worker encodes at once.
@@ -260,19 +263,21 @@ def _with_column(df: DataFrame, column: str, rank_path: str, pattern: str, new:
     One Python stage for all of them, so that a task has one worker; rows pass in small batches.
     """
     rank_file = read_ranks(rank_path)
+    wide, place = boxed(df), df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(rank_file, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(at, ROWS)
-                values = {column: rows.column(column).to_pylist()}
+                values = {column: rows.column(place).to_pylist()}
                 for name, make in new.items():
                     values[name] = make(bpe, values)
                 yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(values[n], pa.binary()) for n in new]],
                                                  names=[*rows.schema.names, *new])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, T.BinaryType()) for n in new]]))
+    out = wide.mapInArrow(run, T.StructType([*wide.schema.fields, *[T.StructField(n, T.BinaryType()) for n in new]]))
+    return unboxed(out, df.columns, *new)
 
 
 def encode_documents(df: DataFrame, rank_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from insight.llm.columns import boxed, unboxed
 from insight.llm.storage import stored
 
 #: Bytes of benchmark words up to which their table is broadcast.
@@ -62,6 +63,11 @@ def benchmark_windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, Data
     return ids, owners
 
 
+def identity() -> tuple[Column, Column]:
+    """``key`` and ``check``: 128 bits that tell rows of another id or text apart."""
+    return F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit("check"), "text", "doc_id").alias("check")
+
+
 def word_positions(docs: DataFrame) -> DataFrame:
     """Every word of every document: ``key`` (of id and text), ``pos`` from 0, ``word``."""
     told = docs.select(F.xxhash64("doc_id", "text").alias("key"), raw_words(F.col("text")).alias("words"))
@@ -106,16 +112,16 @@ def matches(docs: DataFrame, windows: DataFrame, slop: int = 0) -> tuple[DataFra
 
 
 def verified(docs: DataFrame, benchmark: DataFrame, width: int, slop: int) -> tuple[DataFrame, DataFrame]:
-    """Texts with a match: ``key`` (hash of id and text), ``matches`` (start, wid, length, exact) and ``n_hit``, the
+    """Texts with a match: ``key``, ``check`` (hashes of id and text), ``matches`` (start, wid, length, exact) and ``n_hit``, the
     words inside any match; and the items of the windows."""
     windows, owners = benchmark_windows(benchmark, width)
     found, _ = matches(docs, windows, slop)
     found = stored(found, "decontamination-candidates")
     spots = (found.join(windows, "wid").groupBy("key")
              .agg(F.collect_set(F.struct("start", "wid", "window")).alias("spots")))
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    asked = keyed.join(_small(found.select("key").distinct()), "key", "left_semi").select("key", "text").join(spots, "key")
-    asked = asked.select("key", "spots", F.transform(raw_words(F.col("text")), ascii_lower).alias("words"))
+    keyed = docs.select("text", *identity())
+    asked = keyed.join(_small(found.select("key").distinct()), "key", "left_semi").join(spots, "key")
+    asked = asked.select("key", "check", "spots", F.transform(raw_words(F.col("text")), ascii_lower).alias("words"))
 
     def exact(s: Column) -> Column:
         return (s["start"] >= 0) & (F.slice("words", F.greatest(s["start"], F.lit(0)) + 1, F.size(s["window"])) == s["window"])
@@ -126,7 +132,7 @@ def verified(docs: DataFrame, benchmark: DataFrame, width: int, slop: int) -> tu
             F.greatest(F.lit(0), F.least(F.lit(2 * slop + 1), s["start"] + i + slop + 1))), w)), lambda x: x)
 
     kept = F.filter("spots", (lambda s: exact(s) | close(s)) if slop else exact)
-    asked = asked.select("key", F.size("words").alias("n"), F.array_sort(F.transform(kept, lambda s: F.struct(
+    asked = asked.select("key", "check", F.size("words").alias("n"), F.array_sort(F.transform(kept, lambda s: F.struct(
         s["start"].alias("start"), s["wid"].alias("wid"), F.size(s["window"]).alias("length"), exact(s).alias("exact")))).alias("matches"))
     covered = F.aggregate(
         "matches", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -134,29 +140,30 @@ def verified(docs: DataFrame, benchmark: DataFrame, width: int, slop: int) -> tu
             (acc["n"] + F.greatest(F.lit(0), F.least(m["start"] + m["length"], F.col("n")) - F.greatest(acc["end"], m["start"]))).alias("n"),
             F.greatest(acc["end"], m["start"] + m["length"]).alias("end")),
         lambda acc: acc["n"])
-    told = stored(asked.select("key", "matches", covered.cast("long").alias("n_hit")), "decontamination-hits")
-    return told.where("n_hit > 0").dropDuplicates(["key"]), owners
+    told = stored(asked.select("key", "check", "matches", covered.cast("long").alias("n_hit")), "decontamination-hits")
+    return told.where("n_hit > 0").dropDuplicates(["key", "check"]), owners
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
     """Every row of ``docs`` (``doc_id``, ``key``) with its words, hits, verified ``matches`` and matched ``items``,
     sorted as strings."""
     hits, owners = verified(docs, benchmark, width, slop)
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    owned = (hits.select("key", F.explode("matches.wid").alias("wid")).distinct()
-             .join(owners, "wid").groupBy("key")
+    keyed = docs.select("doc_id", "text", *identity())
+    owned = (hits.select("key", "check", F.explode("matches.wid").alias("wid")).distinct()
+             .join(owners, "wid").groupBy("key", "check")
              .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
-    told = keyed.select("doc_id", "key", F.size(raw_words(F.col("text"))).cast("long").alias("n_words"))
-    out = told.join(hits.join(owned, "key"), "key", "left")
+    told = keyed.select("doc_id", "key", "check", F.size(raw_words(F.col("text"))).cast("long").alias("n_words"))
+    out = told.join(hits.join(owned, ["key", "check"]), ["key", "check"], "left")
     return out.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce("matches", F.array().cast(hits.schema["matches"].dataType)).alias("matches"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text has no match."""
-    bad = verified(docs, benchmark, width, slop)[0].select(F.col("key").alias("_bad"))
-    return docs.join(_small(bad), F.xxhash64("doc_id", "text") == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` (all columns, whatever their names) whose text has no match."""
+    bad = verified(docs.select("doc_id", "text"), benchmark, width, slop)[0].select("key", "check")
+    rows = boxed(docs, doc_id="doc_id", text="text").select("*", *identity())
+    return unboxed(rows.join(_small(bad), ["key", "check"], "left_anti"), docs.columns)
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:

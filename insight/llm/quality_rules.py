@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from insight.llm.columns import boxed, unboxed
 from insight.llm.storage import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,11 +30,16 @@ MAX_LABELLED = 20_000
 MAX_RULES, MAX_CONDITIONS, MIN_SUPPORT, MIN_PRECISION = 6, 3, 5, 0.9
 
 
+#: Columns that ``text_statistics`` adds.
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with all its columns, plus n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
-    own = df.columns
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = df.select("*", F.array_remove(F.split(body, SPACE), "").alias("_words"),
+    """``df`` with all its columns, plus n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (which
+    replace columns of these names)."""
+    own = [f"in{k}_" for k in range(len(df.columns))]
+    body = F.coalesce(F.col("_body"), F.lit(""))
+    out = boxed(df, _body=text).select(*own, F.array_remove(F.split(body, SPACE), "").alias("_words"),
                     F.filter(F.split(body, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
                     F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
     at = F.col("_words")
@@ -57,8 +63,8 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     steps = F.transform(spots, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(spots, i + 1) - p, F.lit(3))))
     repeats = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words")
     # a generated row: filters on the statistics stay above it instead of evaluating them once more below
-    return out.select(*own, F.inline(F.array(F.struct(
-        "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeats))))
+    out = out.select(*own, F.inline(F.array(F.struct("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeats))))
+    return unboxed(out, df.columns, *STATISTICS)
 
 
 def base_failed() -> Column:
@@ -175,11 +181,16 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``docs`` with statistics, ``base_failed`` and ``kept``."""
+    """``docs`` with statistics, ``base_failed`` and ``kept``, which replace columns of these names."""
     told = text_statistics(docs).withColumn("base_failed", base_failed())
     return told.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def only_kept(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the base rule and the list keep, with all their columns as they are."""
+    return unboxed(judge(boxed(docs, text=text), rules).where("kept"), docs.columns)
+
+
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics and decision of every document by the list learned from ``labels``."""
     return judge(docs.select("doc_id", "text"), fit(docs, labels)).select(

@@ -10,7 +10,8 @@ bucket give each bucket's offset, and only the rows of one bucket are sorted tog
 function of the row alone, so every recomputation agrees.
 
 Defined results: a null source is a source of its own; rows with a null id take part; repeated rows get
-places next to each other; an empty table gives no rows; other columns pass through.
+places next to each other; an empty table gives no rows; other columns pass through whatever their names, and
+columns called ``shard`` or ``slot`` are replaced.  Equal ids spread by the hash of all their columns.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from insight.llm.columns import boxed, unboxed
 from insight.llm.storage import stage_folder
 
 #: Buckets of each order (and rows, times sources, of the table of offsets).
@@ -39,18 +41,18 @@ def _numbered(df: DataFrame, group: list[str], bucket: Column, order: list[str],
 def interleave(df: DataFrame, shards: int, seed: int = 42, id_col: str = "doc_id", source: str = "source",
                buckets: int = BUCKETS) -> DataFrame:
     """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (its place there, from 0)."""
-    rows = df.withColumn("_s", F.concat(F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.lit("s")),
-                                        F.coalesce(F.col(source).cast("string"), F.lit(""))))
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
-    ranked = _numbered(rows, ["_s"], F.pmod(F.shiftright("_h", 40), F.lit(buckets)).cast("int"), ["_h", id_col], "_r", "_n")
+    rows = boxed(df, _id=id_col, _src=source)
+    rows = rows.withColumn("_s", F.concat(F.when(F.col("_src").isNull(), F.lit("n")).otherwise(F.lit("s")),
+                                          F.coalesce(F.col("_src").cast("string"), F.lit(""))))
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_e", F.xxhash64(*[F.col(f"in{k}_") for k in range(len(df.columns))]))
+    ranked = _numbered(rows, ["_s"], F.pmod(F.shiftright(F.xxhash64("_h", "_e"), 40), F.lit(buckets)).cast("int"), ["_h", "_id", "_e"], "_r", "_n")
     ranked = ranked.withColumn("_f", (2 * F.col("_r") - 1).cast("double") / (2 * F.col("_n")).cast("double")).drop("_n", "_r")
     cell = F.least(F.floor(F.col("_f") * buckets), F.lit(buckets - 1)).cast("int")
-    placed = _numbered(ranked.withColumn("_all", F.lit(0)), ["_all"], cell, ["_f", "_s", "_h", id_col], "_p", "_n")
+    placed = _numbered(ranked.withColumn("_all", F.lit(0)), ["_all"], cell, ["_f", "_s", "_h", "_id", "_e"], "_p", "_n")
     at = F.col("_p") - 1
     shard = F.expr(f"(_p - 1) * {shards} div _n")
     first = F.expr(f"(shard * _n + {shards - 1}) div {shards}")
-    return (placed.withColumn("shard", shard.cast("int")).withColumn("slot", (at - first).cast("long"))
-            .drop("_s", "_h", "_f", "_all", "_p", "_n"))
+    return unboxed(placed.withColumn("shard", shard.cast("int")).withColumn("slot", (at - first).cast("long")), df.columns, "shard", "slot")
 
 
 def write_shards(df: DataFrame, shards: int, path: str | None = None, **how) -> str:

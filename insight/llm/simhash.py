@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from insight.llm.columns import boxed, unboxed
 from insight.llm.storage import stored
 
 #: Longest posting list that is joined with itself.
@@ -153,11 +154,14 @@ def one_of_each(df: DataFrame, shingle: int, max_bits: int = 2, seed: int = 42,
                 text: str = "text") -> DataFrame:
     """The rows of ``df`` (all columns) with one left of each component: that of the smallest id.
 
-    A null id counts as the largest; of rows with the same id and of fully equal rows one is left as well.
+    A null id counts as the largest; of rows with the same id and of fully equal rows one is left as well.  Rows are
+    told apart by id and 128 bits of all columns, whose names may be any.
     """
-    key = F.xxhash64(*[F.col(c) for c in df.columns])
-    who = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), key.alias("k"))
-    classes = near_duplicates(df.select(who.alias("id"), text), shingle, max_bits, seed, "id", text)
-    first = classes.where("id = component_id").select(F.col("id.k").alias("_key")).distinct()
-    left = df.withColumn("_key", key).join(first, "_key", "left_semi")
-    return left.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_n = 1").drop("_key", "_n")
+    own = [f"in{k}_" for k in range(len(df.columns))]
+    rows = boxed(df, i=id_col, body=text)
+    rows = rows.select(*own, "body", F.struct(F.col("i").isNull().alias("n"), "i", F.xxhash64(*own).alias("k"), F.xxhash64(F.lit("check"), *own).alias("c")).alias("id"))
+    classes = near_duplicates(rows.select("id", F.col("body").alias("text")), shingle, max_bits, seed, "id", "text")
+    first = classes.where("id = component_id").select("id").distinct()
+    left = rows.drop("body").join(first, "id", "left_semi")
+    one = left.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.lit(1)))).where("at = 1")
+    return unboxed(one, df.columns)

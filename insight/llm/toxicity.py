@@ -22,7 +22,7 @@ Labels are read only of rows whose crc32(doc_id as text) is not divisible by fiv
 
 Defined results: null and empty texts fire no voter and score low; a null id counts as empty text for the
 hold-out rule, hence is held out; repeated rows are scored each; without labels the fixed voters and a prior
-of ``PRIOR`` remain; an empty table gives no row; only ``doc_id`` and ``text`` are read, whatever else the
+of ``PRIOR`` (which weighs as 20 rows) remain; an empty table gives no row; only ``doc_id`` and ``text`` are read, whatever else the
 table holds; texts of any length are read whole.
 """
 
@@ -72,6 +72,8 @@ INSULT_VOTER = WORD_VOTERS + PREFIX_VOTERS
 PATTERN_VOTER = INSULT_VOTER + 1
 CLEAN_VOTER = PATTERN_VOTER + len(_PATTERNS)
 VOTERS = CLEAN_VOTER + 1
+#: Rates of fixed voters that fire on under five texts of the corpus (the others then say nothing).
+RATES = {INSULT_VOTER: (0.5, 0.01), PATTERN_VOTER: (0.2, 0.01)}
 #: Classifier features behind voters and terms: two hits and more, three and more, share of hits among the words.
 EXTRA = 3
 
@@ -251,6 +253,9 @@ def fit_label_model(n: int, together: np.ndarray, prior: float, sign: np.ndarray
     off = np.where(sign > 0, np.clip(off, on / MOST_RATIO, on), off)
     on = np.where(sign < 0, np.clip(on, off / MOST_RATIO, off), on)
     on, off = np.where(live, on, mean), np.where(live, off, mean)
+    for j, rates in RATES.items():
+        if j < m and not live[j]:
+            on[j], off[j] = rates
     residual = (corr - np.outer(u, u)) * np.outer(spread, spread)
     tied = np.where(np.outer(live, live), corr - np.outer(u, u), 0)
     partner = np.full(m, -1)
@@ -325,7 +330,7 @@ def score_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     voted = stored(votes(df, words, prefixes, id_col, text), "toxicity-votes")
     n, together = firing_table(voted)
     sizes = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    prior = min(0.5, max(0.01, (sizes[1] + 1) / (sizes[0] + 2))) if sizes[0] else PRIOR
+    prior = min(0.5, ((sizes[1] or 0) + 20 * PRIOR) / (sizes[0] + 20))
     sign = np.where(np.arange(VOTERS) == CLEAN_VOTER, -1, 1)
     model = fit_label_model(n, together, prior, sign)
 

@@ -33,16 +33,16 @@ HIGHLIGHT_RATE = 20.0
 LOW_BALANCE = 1000.0
 
 
-def solve_sql(source: str, n: int) -> str:
-    """CTEs that solve the symmetric n x n system in ``source`` (columns ``a{i}_{j}``, right side ``a{i}_{n}``): ``ols``
+def solve_sql(source: str, n: int, out: str = "ols") -> str:
+    """CTEs that solve the symmetric n x n system in ``source`` (columns ``a{i}_{j}``, right side ``a{i}_{n}``): ``out``
     has the solution as ``b{i}``."""
     steps, before = [], source
     for k in range(n):
         cells = [f"a{k}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS a{i}_{j}"
                  for i in range(n) for j in range(n + 1)]
-        steps.append(f"step{k} AS (SELECT {', '.join(cells)} FROM {before})")
-        before = f"step{k}"
-    steps.append(f"ols AS (SELECT {', '.join(f'a{i}_{n} / a{i}_{i} AS b{i}' for i in range(n))} FROM {before})")
+        steps.append(f"{out}_step{k} AS MATERIALIZED (SELECT {', '.join(cells)} FROM {before})")
+        before = f"{out}_step{k}"
+    steps.append(f"{out} AS (SELECT {', '.join(f'a{i}_{n} / a{i}_{i} AS b{i}' for i in range(n))} FROM {before})")
     return ",\n".join(steps)
 
 

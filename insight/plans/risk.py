@@ -1,4 +1,5 @@
-"""Model queries (rows-only in the oracle check): risk models.
+"""Model queries: risk models.  The logistic model and the tree have SQL oracles that fit them anew; the forest is
+checked rows-only.
 
 The risk pipeline follows the attrition analysis: stratified 80/20 split
 first, balanced class weights fitted on the training rows, standardised
@@ -16,16 +17,18 @@ from pyspark.sql import functions as F
 from insight.functions.expr import round_half_even
 from insight.operators import metrics as M
 from insight.operators import models as ML
+from insight.operators import newton, trees
 from insight.operators import sampling as D
-from insight.plans.documents import FEATURES, SEED, labelled_docs
+from insight.operators.trees import impurity
+from insight.plans.documents import DOCS_SQL, FEATURES, SEED, labelled_docs
 from insight.plans.accounts import RISK_EDGES, RISK_LABELS
 from insight.plans.registry import query
+from insight.plans.reports import solve_sql
 from insight.session import materialize
 
 # Model settings of the reference's attrition models.
 TREE_DEPTH = 6
 FOREST_TREES, FOREST_DEPTH = 200, 8
-LOGISTIC_MAX_ITER = 1000
 
 
 def risk_frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,32 +48,134 @@ Z_FEATURES = ["z_" + c for c in FEATURES]
 
 def _fit(kind: str, train: DataFrame):
     if kind == "logistic":
-        return ML.fit_logistic(train, Z_FEATURES, "label", weight="weight", max_iter=LOGISTIC_MAX_ITER)
+        return newton.fit_logistic(train, Z_FEATURES, "label", weight="weight")
     if kind == "tree":
-        return ML.fit_tree(train, FEATURES, "label", weight="weight", max_depth=TREE_DEPTH, seed=SEED)
+        return trees.fit_tree(train, FEATURES, "label", balanced=True, max_depth=TREE_DEPTH)
     return ML.fit_forest(train, FEATURES, "label", weight="weight", num_trees=FOREST_TREES,
                          max_depth=FOREST_DEPTH, seed=SEED)
 
 
+def _score(model, df: DataFrame) -> DataFrame:
+    """``probability_1`` and ``prediction``; compiled models are a projection."""
+    if isinstance(model, (newton.LinearScore, trees.Tree)):
+        return df.withColumn("probability_1", model.probability()).withColumn("prediction", (F.col("probability_1") > 0.5).cast("int"))
+    return ML.score(model, df)
+
+
 def _test_scores(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     d = risk_frame(spark, sf)
     model = _fit(kind, d.where(~F.col("is_test")))
-    return ML.score(model, d.where(F.col("is_test"))).select(
-        "doc_id", F.col("quality").alias("label"), "probability_1", "prediction")
-
-
-@query("risk_logistic")
+    return _score(model, d.where(F.col("is_test"))).select(
+        "doc_id", F.col("quality").alias("label"), round_half_even("probability_1", 6).alias("probability_1"), "prediction")
+
+
+# Oracles: the frame, the logistic model by the same Newton steps, the tree level by level.
+FRAME_SQL = f"""{DOCS_SQL},
+enc AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang) - 1 AS lang_code, dense_rank() OVER (ORDER BY source) - 1 AS source_code,
+         row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{SEED}'), doc_id)
+           <= ceil(count(*) OVER (PARTITION BY quality) * 0.2) AS is_test FROM ld),
+wt AS MATERIALIZED (SELECT count(*) / (2.0::DOUBLE * count_if(quality = 0)) AS w0, count(*) / (2.0::DOUBLE * count_if(quality = 1)) AS w1 FROM enc WHERE NOT is_test)"""
+
+
+def newton_sql(steps: int) -> str:
+    """CTEs up to ``logistic`` (one row of coefficients ``b0`` .. and the frame ``zs``)."""
+    m = len(FEATURES) + 1
+    xs = [f"x{i}" for i in range(m)]
+    stats = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(FEATURES, 1))
+    scaled = ", ".join(f"CASE WHEN s{i} > 0 THEN ({c} - m{i}) / s{i} ELSE {c} - m{i} END AS x{i}" for i, c in enumerate(FEATURES, 1))
+    out = [f"st AS MATERIALIZED (SELECT {stats} FROM enc WHERE NOT is_test)",
+           f"zs AS MATERIALIZED (SELECT doc_id, quality, is_test, CASE WHEN quality = 1 THEN w1 ELSE w0 END AS s, 1.0::DOUBLE AS x0, {scaled} FROM enc, st, wt)",
+           f"at0 AS (SELECT {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(m))})"]
+    for k in range(steps):
+        margin = " + ".join(f"b{i} * {x}" for i, x in enumerate(xs))
+        out.append(f"e{k} AS MATERIALIZED (SELECT zs.*, a.*, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({margin}))) AS p FROM zs, at{k} a WHERE NOT is_test)")
+        cells = [f"sum(s * p * (1 - p) * x{i} * x{j}) + {int(i == j and i > 0)} AS a{i}_{j}" for i in range(m) for j in range(m)]
+        cells += [f"sum(s * (p - quality) * x{i}) + {f'any_value(b{i})' if i else 0} AS a{i}_{m}" for i in range(m)]
+        out += [f"sys{k} AS MATERIALIZED (SELECT {', '.join(cells)} FROM e{k})", solve_sql(f"sys{k}", m, f"move{k}"),
+                f"at{k + 1} AS MATERIALIZED (SELECT {', '.join(f'a.b{i} - d.b{i} AS b{i}' for i in range(m))} FROM at{k} a, move{k} d)"]
+    margin = " + ".join(f"b{i} * {x}" for i, x in enumerate(xs))
+    out.append(f"scored AS (SELECT doc_id, quality AS label, is_test, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({margin}))) AS p FROM zs, at{steps})")
+    return ",\n".join(out)
+
+
+def tree_sql(depth: int) -> str:
+    """CTEs up to ``scored``: rows with the weighted share of the positive class in their leaf."""
+    out = [f"rows0 AS MATERIALIZED (SELECT doc_id, quality AS y, is_test, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURES)}, 1 AS node FROM enc)"]
+    pairs = ", ".join(f"{{'f': {k}, 'v': {c}}}" for k, c in enumerate(FEATURES))
+    value = "CASE b.f " + " ".join(f"WHEN {k} THEN r.{c}" for k, c in enumerate(FEATURES)) + " END"
+    for d in range(depth):
+        out += [
+            f"tot{d} AS (SELECT node, count_if(y = 0) AS t0, count_if(y = 1) AS t1 FROM rows{d} WHERE NOT is_test GROUP BY node)",
+            f"cell{d} AS (SELECT node, p.f AS f, p.v AS v, count_if(y = 0) AS n0, count_if(y = 1) AS n1 FROM (SELECT node, y, unnest([{pairs}]) AS p FROM rows{d} WHERE NOT is_test) GROUP BY ALL)",
+            f"run{d} AS (SELECT node, f, v, sum(n0) OVER w AS l0, sum(n1) OVER w AS l1, lead(v) OVER w AS nx FROM cell{d} WINDOW w AS (PARTITION BY node, f ORDER BY v))",
+            f"cut{d} AS (SELECT r.node, f, (v + nx) / 2.0::DOUBLE AS edge, t0 * w0 AS a, t1 * w1 AS b, {impurity('l0', 'l1', 't0', 't1', 'w0', 'w1')} AS loss"
+            f" FROM run{d} r JOIN tot{d} t ON t.node = r.node, wt WHERE nx IS NOT NULL AND t0 > 0 AND t1 > 0)",
+            f"best{d} AS MATERIALIZED (SELECT node, f, edge FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY loss, f, edge) AS q FROM cut{d})"
+            f" WHERE q = 1 AND loss < a + b - (a * a + b * b) / (a + b) - {trees.LEAST_GAIN!r}::DOUBLE * (a + b))",
+            f"rows{d + 1} AS MATERIALIZED (SELECT r.* REPLACE (CASE WHEN b.node IS NULL THEN r.node WHEN {value} <= b.edge THEN 2 * r.node ELSE 2 * r.node + 1 END AS node)"
+            f" FROM rows{d} r LEFT JOIN best{d} b ON b.node = r.node)"]
+    out.append(f"leaf AS (SELECT node, (count_if(y = 1) * any_value(w1)) / ((count_if(y = 0) * any_value(w0)) + (count_if(y = 1) * any_value(w1))) AS p"
+               f" FROM rows{depth}, wt WHERE NOT is_test GROUP BY node)")
+    out.append(f"scored AS (SELECT doc_id, y AS label, is_test, p FROM rows{depth} r JOIN leaf l ON l.node = r.node)")
+    return ",\n".join(out)
+
+
+LOGISTIC_SQL = f"WITH {FRAME_SQL},\n{newton_sql(newton.STEPS)}"
+TREE_SQL = f"WITH {FRAME_SQL},\n{tree_sql(TREE_DEPTH)}"
+SCORES_SQL = "\nSELECT doc_id, label, round_even(p * 1e6, 0) / 1e6 AS probability_1, CAST(p > 0.5 AS INTEGER) AS prediction FROM scored WHERE is_test"
+
+
+@query("risk_logistic", LOGISTIC_SQL + SCORES_SQL)
 def risk_logistic(spark: SparkSession, sf: str) -> DataFrame:
-    """Balanced L2 logistic regression on standardised features; test-row scores."""
+    """Balanced L2 logistic regression on standardised features by Newton steps; test-row scores."""
     return _test_scores(spark, sf, "logistic")
 
 
-@query("risk_tree")
+@query("risk_tree", TREE_SQL + SCORES_SQL)
 def risk_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """Balanced depth-6 decision tree; test-row scores."""
+    """Balanced depth-6 decision tree over all midpoints; test-row scores."""
     return _test_scores(spark, sf, "tree")
 
 
+@query("tree_risk_tiers", TREE_SQL + f"""
+SELECT doc_id, label, round_even(p * 1e6, 0) / 1e6 AS risk_score, CASE {' '.join(
+    f"WHEN p > {lo} AND p <= {hi} THEN '{lab}'" for lo, hi, lab in zip(RISK_EDGES[:-1], RISK_EDGES[1:], RISK_LABELS))} END AS risk_tier, NOT is_test AS is_train FROM scored
+""")
+def tree_risk_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree's score and right-closed tier of every row, with ``is_train``."""
+    d = risk_frame(spark, sf)
+    s = ML.risk_tiers(_score(_fit("tree", d.where(~F.col("is_test"))), d), "probability_1", RISK_EDGES, RISK_LABELS)
+    return s.select("doc_id", F.col("quality").alias("label"), round_half_even("probability_1", 6).alias("risk_score"), "risk_tier", (~F.col("is_test")).alias("is_train"))
+
+
+METRICS_SQL = """,
+t AS (SELECT label, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS ar FROM scored WHERE is_test),
+s AS (SELECT sum(CASE WHEN label = 1 THEN ar END) AS rp, CAST(count_if(label = 1) AS BIGINT) AS p1, CAST(count_if(label <> 1) AS BIGINT) AS n0,
+             avg(CAST(label = CAST(p > 0.5 AS INTEGER) AS INTEGER)) AS acc FROM t)
+SELECT round_even(acc * 1e6, 0) / 1e6 AS accuracy, round_even((2 * rp - p1 * (p1 + 1)) / (2.0 * p1 * n0) * 1e6, 0) / 1e6 AS auc FROM s
+"""
+
+
+def _metrics(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    d = risk_frame(spark, sf)
+    s = _score(_fit(kind, d.where(~F.col("is_test"))), d.where(F.col("is_test")))
+    auc = M.auc_exact(s, "quality", "probability_1").select("auc").scalar()
+    return s.agg(round_half_even(M.accuracy(F.col("quality").cast("int"), F.col("prediction")), 6).alias("accuracy")).withColumn("auc", round_half_even(auc, 6))
+
+
+@query("tree_metrics", TREE_SQL + METRICS_SQL)
+def tree_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy and exact AUC of the tree on the test rows."""
+    return _metrics(spark, sf, "tree")
+
+
+@query("logistic_metrics", LOGISTIC_SQL + METRICS_SQL)
+def logistic_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy and exact AUC of the logistic model on the test rows."""
+    return _metrics(spark, sf, "logistic")
+
+
 @query("risk_forest")
 def risk_forest(spark: SparkSession, sf: str) -> DataFrame:
     """Balanced 200-tree forest of depth 8; test-row scores."""
@@ -95,7 +200,7 @@ def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     rows = []
     for kind, name in (("logistic", "Logistic Regression"), ("tree", "Decision Tree"),
                        ("forest", "Random Forest")):
-        s = ML.score(_fit(kind, train), test)
+        s = _score(_fit(kind, train), test)
         auc = M.auc_exact(s, "quality", "probability_1").select("auc").scalar()
         rows.append(s.agg(F.lit(name).alias("model"), round_half_even(
             M.accuracy(F.col("quality").cast("int"), F.col("prediction")), 6).alias("accuracy"))
@@ -162,7 +267,7 @@ def risk_models_oversampled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored_test(d: DataFrame, kind: str) -> DataFrame:
-    return ML.score(_fit(kind, d.where(~F.col("is_test"))), d.where(F.col("is_test")))
+    return _score(_fit(kind, d.where(~F.col("is_test"))), d.where(F.col("is_test")))
 
 
 @query("model_roc")

@@ -51,6 +51,25 @@ NOTICES = [
 TEXTS = Path(__file__).parent / "licenses"
 
 
+def chain(spots: list[int]) -> list[int]:
+    """Which of the hits, sorted by document place, make a longest run of increasing template spots (one hit a place:
+    hits of one place come with falling spots)."""
+    tails, ends, before = [], [], []
+    for k, spot in enumerate(spots):
+        at = bisect_left(tails, spot)
+        if at == len(tails):
+            tails.append(spot)
+            ends.append(k)
+        else:
+            tails[at], ends[at] = spot, k
+        before.append(ends[at - 1] if at else -1)
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
 def words_of(text: str) -> list[bytes]:
     return text.encode().translate(TABLE).split()
 
@@ -105,8 +124,8 @@ class TemplateIndex:
             return np.empty(0, dtype=np.int64)
         return sum(ws[k:len(ws) - gram + 1 + k] << (20 * (gram - 1 - k)) for k in range(gram))
 
-    def candidates(self, ws: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        """(template, least and greatest diagonals of stretches with enough hits)."""
+    def candidates(self, ws: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], np.ndarray, np.ndarray]]:
+        """(template, least and greatest diagonals of stretches with enough hits, places and spots of all its hits)."""
         for gram, (keys, begins, templates, spots) in self.postings.items():
             grams = self.grams(ws, gram)
             if not len(grams) or not len(keys):
@@ -122,7 +141,8 @@ class TemplateIndex:
                 continue
             first, each = begins[at[places]], np.diff(begins)[at[places]]
             rows = np.repeat(first - np.cumsum(each) + each, each) + np.arange(each.sum())
-            hit, diagonals = templates[rows], np.repeat(places, each) - spots[rows]
+            hit, where, spot = templates[rows], np.repeat(places, each), spots[rows]
+            diagonals = where - spot
             for t in asked:
                 *_, hits, width, step = self.sizes[t]
                 mine = np.flatnonzero(hit == t)
@@ -131,8 +151,9 @@ class TemplateIndex:
                 low, high = (np.searchsorted(diagonals[mine], e) for e in (edges, edges + width))
                 # a stretch that ends at the same hit as the one before it lies inside that
                 kept = np.flatnonzero((high - low >= hits) & (np.diff(high, prepend=0) > 0))
+                mine_by_place = np.lexsort((-spot[mine], where[mine]))
                 yield t, [(int(edges[k]), int(edges[k]) + width - 1) for k in kept
-                          if len(np.unique(rows[mine[low[k]:high[k]]])) >= hits]
+                          if len(np.unique(rows[mine[low[k]:high[k]]])) >= hits], where[mine][mine_by_place], spot[mine][mine_by_place]
 
     def align(self, ws: np.ndarray, t: int, low: int, high: int, begin: int, end: int) -> tuple[int, int, int]:
         """Most template words matched in order on these diagonals by the document's words from ``begin`` to before
@@ -152,8 +173,12 @@ class TemplateIndex:
         last = int(best.argmax())
         return int(best[last]) // one, begin + int(best[last]) % one, begin + last - 1
 
-    def matches(self, ws: np.ndarray, t: int, stretches: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-        """Places of a template that don't overlap, the best first: (template, first, last word, matches)."""
+    def matches(self, ws: np.ndarray, t: int, stretches: list[tuple[int, int]], where: np.ndarray, spot: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Places of a template that don't overlap, the best first: (template, first, last word, matches).
+
+        First the stretches; then, in what lies between the places found, the longest chain of hits in the order of
+        both texts, however far its diagonals lie apart: words of any number may stand inside a match.
+        """
         least, found, queue = self.sizes[t][0], [], []
 
         def ask(low: int, high: int, begin: int, end: int) -> None:
@@ -162,9 +187,11 @@ class TemplateIndex:
                 if matched >= least:
                     heapq.heappush(queue, (-matched, last - first, first, last, low, high, begin, end))
 
-        for low, high in stretches:
-            ask(low, high, 0, len(ws))
-        while queue:
+        def drain() -> None:
+            while queue:
+                settle()
+
+        def settle() -> None:
             less, _, first, last, low, high, begin, end = heapq.heappop(queue)
             near = found[max(0, bisect_left(found, (first,)) - 1):bisect_left(found, (last + 1,))]
             clash = next((f for f in near if f[1] >= first), None)
@@ -173,12 +200,42 @@ class TemplateIndex:
                 clash = (first, last)
             ask(low, high, begin, min(end, clash[0]))
             ask(low, high, max(begin, clash[1] + 1), end)
+        for low, high in stretches:
+            ask(low, high, 0, len(ws))
+        drain()
+        spans = [(0, len(ws))]
+        while spans:  # every place found cuts the free span that it lies in, so this ends
+            begin, end = spans.pop()
+            inside = [f for f in found if begin <= f[0] < end]
+            if inside:
+                edges = [begin, *[x for first, last, _ in inside for x in (first, last + 1)], end]
+                spans += list(zip(edges[::2], edges[1::2]))
+                continue
+            lo, hi = np.searchsorted(where, (begin, end))
+            hits = chain(spot[lo:hi].tolist())
+            if end - begin < least or len(hits) < self.sizes[t][3]:
+                continue
+            diagonals = (where[lo:hi] - spot[lo:hi])[hits]
+            ask(int(diagonals.min()) - BAND, int(diagonals.max()) + BAND, begin, end)
+            if queue:
+                drain()
+                spans.append((begin, end))
+        whole = len(self.words[t])
+        for k, (first, last, matched) in enumerate(found):  # a match may go on behind words that stand inside it
+            begin, end = found[k - 1][1] + 1 if k else 0, found[k + 1][0] if k + 1 < len(found) else len(ws)
+            lo, hi = np.searchsorted(where, (begin, end))
+            hits = chain(spot[lo:hi].tolist())
+            places, diagonals = where[lo:hi][hits], (where[lo:hi] - spot[lo:hi])[hits]
+            if matched < whole and len(hits) and (places[0] < first or places[-1] > last):
+                more, a, b = self.align(ws, t, int(diagonals.min()) - BAND, int(diagonals.max()) + BAND, begin, end)
+                if more >= matched + max(GRAM, (whole - matched) / 2):
+                    found[k] = a, b, more
         return [(t, first, last, matched) for first, last, matched in found]
 
     def scan(self, text: str) -> list[dict]:
         ids = self.ids
         ws = np.array([ids.get(w, 0) for w in words_of(text)], dtype=np.int64)
-        kept = [place for t, stretches in self.candidates(ws) for place in self.matches(ws, t, stretches)]
+        kept = [place for t, *hits in self.candidates(ws) for place in self.matches(ws, t, *hits)]
         if not kept:
             return []
         raw = text.encode()

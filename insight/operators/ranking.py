@@ -19,8 +19,8 @@ order is computed the distributed way (the one piece of real design):
 Rank bins and split points rank a *narrow* projection; the handful of
 boundary rows goes back to the main table as a scalar subquery, and the wide
 table is binned by comparison, never reshuffled.  Quantile values need no
-ties: the rows collapse to counts per distinct value map-side, and a prefix
-sum over the distinct values finds them.
+ties and no order of the rows: rounds of counts by cells of values narrow
+each wanted rank down to one value (``_selected``).
 
 Inputs whose values are recomputed (e.g. a double aggregated after a shuffle)
 must be deterministic; money sums go through decimals (``money_sum``).
@@ -29,15 +29,18 @@ must be deterministic; money sums go through decimals (``money_sum``).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insight.functions.expr import comes_after
+from insight.operators.joins import hint_if_small
 from insight.session import materialize
 
 _POS_MASK = (1 << 33) - 1
+CELLS = 4096  # cells an interval of values is cut into by a round of quantile selection
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
 
@@ -224,32 +227,65 @@ def rank_bins(df: DataFrame, value: str, q: int, tie: str, ascending: bool = Tru
     return df.withColumn("_bounds", lookup).withColumn(out, binc).drop("_bounds")
 
 
-def _count_quantiles(narrow: DataFrame, probs: Sequence[float], num_partitions: int | None) -> DataFrame:
+def _cell(v: Column, lo: Column, hi: Column) -> Column:
+    """Number of the equal-width cell of ``[lo, hi]`` that holds ``v``.
+
+    Never falls as ``v`` grows.  Both ends have a cell of their own, so every
+    cut splits the interval, whatever lies between (also infinite ends).
+    """
+    half = F.lit(0.5)
+    share = F.nanvl((v * half - lo * half) / (hi * half - lo * half), F.lit(0.0))
+    inner = F.least(F.floor(share * F.lit(float(CELLS - 1))), F.lit(CELLS - 2)) + F.lit(1)
+    return F.when(v == lo, F.lit(0)).when(v == hi, F.lit(CELLS)).otherwise(inner).cast("int")
+
+
+def _selected(narrow: DataFrame, probs: Sequence[float]) -> DataFrame:
     """Interpolated quantiles of ``_v`` per ``_g``: ``_g``, ``_q`` (array in ``probs`` order).
 
-    Rows collapse to one per distinct value before the shuffle; running
-    counts over the distinct values find the two order statistics around each
-    position ``p * (n - 1)``.
+    Selection by cells: an interval of values per group and its wanted ranks
+    start at the group's smallest and largest value.  A round counts the rows
+    of each open interval by cell, with each cell's smallest and largest
+    value; running counts over the cells (at most ``CELLS + 1`` an interval)
+    give the cells that hold the ranks, and these are the next intervals.  An
+    interval of one value is settled.  Only counts travel: no row
+    is shuffled, sorted or stored, and a hot group or value is counted where
+    it lies.  Money and counts settle after two or three rounds; values over
+    many orders of magnitude take one more per factor of ``CELLS``.
     """
-    counts = narrow.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cum = prefix_sums(counts, [("_g", True), ("_v", True)], ["_c"], num_partitions=num_partitions)
-    ends = cum.groupBy("_g").agg(F.max("_c_cum").alias("_end"), F.sum("_c").alias("_n"))
-    placed = cum.join(ends, "_g").withColumn("_upto", F.col("_c_cum") - F.col("_end") + F.col("_n"))
+    pos = [(F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p)) for p in probs]
+    wanted = F.array_distinct(F.array(*[r for x in pos for r in (F.floor(x) + F.lit(1), F.ceil(x) + F.lit(1))]))
+    spans = narrow.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    state = materialize(spans.select("*", F.lit(0).cast("long").alias("_base"), wanted.alias("_ranks")))
+    settled = []
+    while True:
+        settled.append(state.where("_lo = _hi"))
+        opened, still_open = hint_if_small(state.where("_lo < _hi").select(F.col("_g").alias("_og"), "_n", "_lo", "_hi", "_base"))
+        if not still_open:
+            break
+        inside = narrow.join(opened, (F.col("_g") == F.col("_og")) & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        cells = inside.groupBy("_g", "_n", "_lo", "_base", _cell(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_cell")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        so_far = Window.partitionBy("_g", "_lo").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        run = cells.withColumn("_upto", F.col("_base") + F.sum("_c").over(so_far)).select(
+            "_g", "_n", "_from", "_to", "_upto", (F.col("_upto") - F.col("_c")).alias("_before"))
+        here = F.filter(wanted, lambda r: (r > F.col("_before")) & (r <= F.col("_upto")))
+        state = materialize(run.select("_g", "_n", F.col("_from").alias("_lo"), F.col("_to").alias("_hi"),
+                                       F.col("_before").alias("_base"), here.alias("_ranks"))
+                            .where(F.size("_ranks") > 0))
+    found = reduce(DataFrame.unionByName, settled).select("_g", "_n", F.col("_lo").alias("_x"), F.explode("_ranks").alias("_r"))
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto")), F.col("_v")))
+        return F.max(F.when(F.col("_r") == rank, F.col("_x")))
 
-    pos = [(F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p)) for p in probs]
-    found = placed.groupBy("_g", "_n").agg(
+    ends = found.groupBy("_g", "_n").agg(
         *[at(F.floor(x) + F.lit(1)).alias(f"_lo{k}") for k, x in enumerate(pos)],
         *[at(F.ceil(x) + F.lit(1)).alias(f"_hi{k}") for k, x in enumerate(pos)])
     vals = [F.when(F.floor(x) == F.ceil(x), F.col(f"_lo{k}")).otherwise(
         F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (x - F.floor(x))) for k, x in enumerate(pos)]
-    return found.select("_g", F.array(*vals).alias("_q"))
+    return ends.select("_g", F.array(*vals).alias("_q"))
 
 
-def quantile_values_multi(df: DataFrame, cols: Sequence[str | Column], probs: Sequence[float],
-                          num_partitions: int | None = None) -> Column:
+def quantile_values_multi(df: DataFrame, cols: Sequence[str | Column], probs: Sequence[float]) -> Column:
     """Exact linear-interpolated quantiles of several columns in one pass.
 
     Returns a scalar-subquery ``map<int, array<double>>``: column index ->
@@ -260,17 +296,16 @@ def quantile_values_multi(df: DataFrame, cols: Sequence[str | Column], probs: Se
     entries = [F.struct(F.lit(i).alias("_g"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("_v"))
                for i, c in enumerate(cols)]
     narrow = df.select(F.inline(F.array(*entries))).where(_present(F.col("_v"), "double"))
-    per = _count_quantiles(narrow, probs, num_partitions)
+    per = _selected(narrow, probs)
     return per.select(F.map_from_entries(F.collect_list(F.struct("_g", "_q")))).scalar()
 
 
 def grouped_quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequence[float],
-                      out: str = "_q", num_partitions: int | None = None) -> DataFrame:
+                      out: str = "_q") -> DataFrame:
     """Exact quantiles of ``col`` per group: one row per group with ``out`` = array.
 
-    Any number of groups; a hot group collapses to its distinct values
-    before the shuffle, and these are split over ranges.  Null keys and
-    values are skipped.
+    Any number of groups; a hot group collapses to counts per cell before the
+    shuffle.  Null keys and values are skipped.
     """
     by = list(by)
     x = F.col(col).cast("double")
@@ -278,19 +313,18 @@ def grouped_quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequenc
     for b in by:
         valid = valid & F.col(b).isNotNull()
     key = F.struct(*[F.col(b).alias(f"g{i}") for i, b in enumerate(by)])
-    per = _count_quantiles(df.where(valid).select(key.alias("_g"), x.alias("_v")), probs, num_partitions)
+    per = _selected(df.where(valid).select(key.alias("_g"), x.alias("_v")), probs)
     return per.select(*[F.col("_g")[f"g{i}"].alias(b) for i, b in enumerate(by)], F.col("_q").alias(out))
 
 
-def quantile_values(df: DataFrame, col: str | Column, probs: Sequence[float],
-                    num_partitions: int | None = None) -> Column:
+def quantile_values(df: DataFrame, col: str | Column, probs: Sequence[float]) -> Column:
     """Exact quantiles of one column as an ``array<double>`` (see ``quantile_values_multi``)."""
-    return F.try_element_at(quantile_values_multi(df, [col], probs, num_partitions), F.lit(0))
+    return F.try_element_at(quantile_values_multi(df, [col], probs), F.lit(0))
 
 
 def quantile_tiers(df: DataFrame, col: str, q: int | None = None,
                    probs: Sequence[float] | None = None, labels: Sequence[str] | None = None,
-                   out: str = "tier", num_partitions: int | None = None) -> DataFrame:
+                   out: str = "tier") -> DataFrame:
     """``pandas.qcut(x, q, labels)`` on raw values.
 
     Bins are right-closed on the exact interpolated percentiles; the lowest
@@ -308,14 +342,13 @@ def quantile_tiers(df: DataFrame, col: str, q: int | None = None,
     tier = F.when(x.isNotNull() & ~F.isnan(x), idx)
     if labels is not None:
         tier = F.element_at(F.array(*[F.lit(v) for v in labels]), tier)
-    return (df.withColumn("_edges", quantile_values(df, col, probs, num_partitions=num_partitions))
+    return (df.withColumn("_edges", quantile_values(df, col, probs))
             .withColumn(out, tier).drop("_edges"))
 
 
-def label_top_share(df: DataFrame, col: str, pct: float, out: str = "label",
-                    num_partitions: int | None = None) -> DataFrame:
+def label_top_share(df: DataFrame, col: str, pct: float, out: str = "label") -> DataFrame:
     """``(x >= np.percentile(x, pct)).astype(int)``."""
-    thr = F.element_at(quantile_values(df, col, [pct / 100.0], num_partitions=num_partitions), 1)
+    thr = F.element_at(quantile_values(df, col, [pct / 100.0]), 1)
     return df.withColumn(out, F.when(F.col(col) >= thr, 1).otherwise(0))
 
 

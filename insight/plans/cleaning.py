@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insight.operators import clean as C
-from insight.plans.operations import delivery_events
+from insight.plans.operations import delivery_events, unzoned_events
 from insight.plans.registry import query
 from insight.sources.tables import read_table
 
@@ -70,7 +70,7 @@ FROM dl
 """)
 def impute_global(spark: SparkSession, sf: str) -> DataFrame:
     """Fill missing delivery minutes with the global median."""
-    d = delivery_events(spark, sf).select("event_id", F.col("delivery_min").cast("double"))
+    d = unzoned_events(spark, sf).select("event_id", F.col("delivery_min").cast("double"))
     return C.impute_median(d, "delivery_min", out="delivery_min_filled")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from insight.functions.expr import round_half_even
-from insight.operators.summarise import pivot_agg, rates_long, top_k
+from insight.operators.summarise import rates_long, top_k
 from insight.plans.registry import query
 from insight.sources.tables import read_table
 
@@ -40,10 +40,16 @@ WITH g AS (SELECT p_type AS category, CAST(sum({REV_SQL}) AS DOUBLE) AS revenue,
 SELECT *, row_number() OVER (ORDER BY revenue DESC, category) <= 3 AS top3 FROM g ORDER BY revenue
 """)
 def category_revenue(spark: SparkSession, sf: str) -> DataFrame:
-    """Net revenue per category, ascending, with the top-3 flag."""
-    lt = _lines_with_type(spark, sf)
-    g = lt.groupBy(F.col("p_type").alias("category")).agg(
-        F.sum(net_revenue()).cast("double").alias("revenue"), F.count(F.lit(1)).alias("lines"))
+    """Net revenue per category, ascending, with the top-3 flag.
+
+    Lines are summed per part before they meet ``part``: the partial sums
+    collapse a hot part map-side, and one row per part is joined.
+    """
+    per_part = read_table(spark, sf, "lineitem").groupBy("l_partkey").agg(
+        F.sum(net_revenue()).alias("rev"), F.count(F.lit(1)).alias("n"))
+    p = read_table(spark, sf, "part").select("p_partkey", "p_type")
+    g = per_part.join(p, per_part.l_partkey == p.p_partkey, "inner").groupBy(F.col("p_type").alias("category")).agg(
+        F.sum("rev").cast("double").alias("revenue"), F.sum("n").alias("lines"))
     # one row per category (the part-type domain): rank the grouped frame
     rank = F.row_number().over(Window.orderBy(F.col("revenue").desc(), "category"))
     return g.withColumn("top3", rank <= 3).orderBy("revenue")
@@ -60,21 +66,23 @@ GROUP BY n_name
 def nation_category_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Nation x category net revenue, missing cells 0.
 
-    Lines are first reduced to (order, category) revenue before joining
-    orders and customers.  The lines are hash-partitioned by order key once:
-    that layout satisfies both the (order, category) aggregate and the join
-    with ``orders`` on order key, so line-item data is shuffled one time.
+    Lines collapse to one row of category sums per order, partly before
+    their only shuffle; the layout by order key also serves the join with
+    ``orders``.  The sums of orders then collapse per customer before
+    ``customer`` is joined, so a hot customer is no single task's.
     """
     lt = _lines_with_type(spark, sf)
-    per_order = lt.repartition("l_orderkey").groupBy("l_orderkey", "p_type").agg(
-        F.sum(net_revenue()).alias("rev"))
+    per_order = lt.groupBy("l_orderkey").agg(
+        *[F.sum(F.when(F.col("p_type") == c, net_revenue())).alias(c) for c in CATEGORIES])
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    per_customer = per_order.join(o, per_order.l_orderkey == o.o_orderkey, "inner").groupBy("o_custkey").agg(
+        *[F.sum(c).alias(c) for c in CATEGORIES])
     c = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     n = read_table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
-    j = (per_order.join(o, per_order.l_orderkey == o.o_orderkey, "inner")
-         .join(c, F.col("o_custkey") == F.col("c_custkey"), "inner")
-         .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "inner"))
-    return pivot_agg(j, ["nation"], "p_type", CATEGORIES, F.sum("rev").cast("double"), fill=0.0)
+    homes = c.join(n, c.c_nationkey == n.n_nationkey, "inner").select("c_custkey", "nation")
+    j = per_customer.join(homes, per_customer.o_custkey == homes.c_custkey, "inner")
+    return j.groupBy("nation").agg(
+        *[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)).alias(c) for c in CATEGORIES])
 
 
 @query("top_categories", f"""

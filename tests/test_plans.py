@@ -65,3 +65,42 @@ def test_broadcast_only_under_the_limit(spark):
         assert a == b
     finally:
         joins.BROADCAST_MAX_BYTES = old
+
+
+def _parquet_scans(plan):
+    return plan.count("FileScan parquet")
+
+
+def test_aggregates_come_before_joins(spark):
+    """Line items are scanned once and summed per part or order before the join; the scorecard reads events alone."""
+    import __spark_entry__ as E
+
+    from tablepaths import SF001
+
+    plan = _executed(E.queries()["category_revenue"](spark, SF001))
+    assert _parquet_scans(plan) == 2 and plan.index("Join") < plan.index("partial_sum((cast(l_extendedprice")
+    per_order = _executed(E.queries()["nation_category_matrix"](spark, SF001))
+    assert _parquet_scans(per_order) == 5
+    from insight.plans.operations import unzoned_events
+    assert unzoned_events(spark, SF001).inputFiles()[0].endswith("events.parquet")
+
+
+def test_quantile_rounds_shuffle_counts_only(spark):
+    """What a round exchanges is one row per cell and task, never the values."""
+    from insight.operators import ranking
+
+    df = spark.range(0, 200_000, 1, 2).select(F.xxhash64("id").cast("double").alias("_v"), F.lit(0).alias("_g"))
+    seen = []
+    kept = ranking.materialize
+
+    def spy(frame):
+        out = kept(frame)
+        seen.append((out.count(), out.select(F.sum(F.size("_ranks"))).first()[0]))
+        return out
+
+    ranking.materialize = spy
+    try:
+        ranking._selected(df, [0.25, 0.5, 0.75]).collect()
+    finally:
+        ranking.materialize = kept
+    assert 2 <= len(seen) <= 6 and all(rows <= 6 and ranks <= 6 for rows, ranks in seen)

@@ -5,9 +5,10 @@ rank ``(2r - 1) / 2n``.  Sorted by that, the sources lie evenly mixed, and cutti
 gives shards whose row counts differ by one at most and which match the mixture to within one row per source.
 
 Neither of the two orders is made in one task, however large a source is: the seeded hash (and then the
-fractional rank) is uniform, so its leading part cuts the rows into ``BUCKETS`` even buckets.  Counts per
-bucket give each bucket's offset, and only the rows of one bucket are sorted together.  A row's bucket is a
-function of the row alone, so every recomputation agrees.
+fractional rank) is uniform, so its leading part cuts the rows into even buckets, as many as the square root
+of the number of rows: a bucket that is sorted and the list of bucket offsets both grow with that root only.
+Counts per bucket give each bucket's offset.  A row's bucket is a function of the row and the number of
+buckets, so every recomputation agrees.
 
 Defined results: a null source is a source of its own; rows with a null id take part; repeated rows get
 places next to each other; an empty table gives no rows; other columns pass through whatever their names, and
@@ -16,15 +17,14 @@ columns called ``shard`` or ``slot`` are replaced.  Equal ids spread by the hash
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from insight.llm.columns import boxed, unboxed
 from insight.llm.storage import stage_folder
 
-#: Buckets of each order (and rows, times sources, of the table of offsets).
-BUCKETS = 1024
-
 
 def _numbered(df: DataFrame, group: list[str], bucket: Column, order: list[str], rank: str, total: str) -> DataFrame:
     """``df`` with the 1-based place of each row in ``group`` by (bucket, order) and the group's size."""
@@ -39,8 +39,14 @@ def _numbered(df: DataFrame, group: list[str], bucket: Column, order: list[str],
 
 
 def interleave(df: DataFrame, shards: int, seed: int = 42, id_col: str = "doc_id", source: str = "source",
-               buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (its place there, from 0)."""
+               buckets: int | None = None) -> DataFrame:
+    """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (its place there, from 0).
+
+    Counts the rows first (from the file footers where ``df`` is a table) unless ``buckets`` is given, the
+    number of buckets that each order is cut into; up to 2^24 of them fill evenly.
+    """
+    if buckets is None:
+        buckets = max(1, isqrt(df.count()))
     rows = boxed(df, _id=id_col, _src=source)
     rows = rows.withColumn("_s", F.concat(F.when(F.col("_src").isNull(), F.lit("n")).otherwise(F.lit("s")),
                                           F.coalesce(F.col("_src").cast("string"), F.lit(""))))

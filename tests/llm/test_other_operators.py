@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from insight.llm import chat_trees, fixity, license_scan, lm_scoring, quality_rules, sharding
@@ -79,6 +80,22 @@ def test_shards_match_the_mixture(shared, documents):
     assert sharding.shard_digest(documents.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("buckets", [None, 1, 7])
+def test_shards_by_their_definition(shared, buckets):
+    """Seeded order in each source, fractional ranks, one order of all, equal runs."""
+    df = shared.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.concat(F.lit("s"), (F.col("id") % 11).cast("string"))).alias("source"))
+    own = df.select("*", F.xxhash64(F.lit(42), "doc_id").alias("h"), F.xxhash64("doc_id", "source").alias("e"))
+    rows = own.withColumn("b", F.pmod(F.shiftright(F.xxhash64("h", "e"), 40), F.lit(buckets or 30))).collect()
+    order = []
+    for source in {r.source for r in rows}:
+        mine = sorted((r for r in rows if r.source == source), key=lambda r: (r.b, r.h, r.doc_id, r.e))
+        order += [((2 * k + 1) / (2 * len(mine)), "s" + source, r.h, r.doc_id) for k, r in enumerate(mine)]
+    shard_of = [p * 7 // len(order) for p in range(len(order))]
+    want = {o[3]: (s, p - shard_of.index(s)) for p, (o, s) in enumerate(zip(sorted(order), shard_of))}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(df, 7, buckets=buckets).collect()} == want
+
+
 def test_shard_files_are_in_slot_order(shared, documents):
     path = sharding.write_shards(documents, 3)
     back = shared.read.parquet(path)

@@ -3,14 +3,14 @@
 A fingerprint of 64 bits is eight positional bytes.  Two fingerprints that differ in at most two bits share
 at least six of them at the same place, hence at least two of the four neighbouring byte pairs.  The index
 posts every distinct fingerprint under each of the six ways to take two byte pairs; documents that share a
-posting are candidates.  Per candidate pair the shared positional bytes are tallied, pairs below the
-guaranteed minimum are dropped, and the bit distance verifies the rest.
+posting are candidates.  Per candidate pair, from whichever list, the shared positional bytes are tallied,
+pairs below the guaranteed minimum are dropped, and the bit distance verifies the rest.
 
-Exact copies share one fingerprint and never meet as pairs.  A posting list longer than ``PAIR_LIST`` is not
-paired: its members (equal in four bytes) are grouped by their one-bit neighbours in the other four, and two
-of them differ in at most two bits exactly if they have a neighbour in common.  Such a group holds at most
-33 fingerprints and is linked to its smallest, so no list, however hot, produces pairs by the square of its
-length and no link is lost.
+Exact copies share one fingerprint and never meet as pairs.  A posting list longer than ``PAIR_LIST`` is
+split before it is paired: its members (equal in four bytes) are posted again under their one-bit neighbours
+in the other four bytes, and two of them differ in at most two bits exactly if they share such a posting.
+A split list holds at most 33 fingerprints and pairs each with its smallest, so no list, however hot, produces
+pairs by the square of its length and no link is lost.
 
 Defined results: a text without words (null, empty or blank) has fingerprint zero and is linked like any
 other; repeated rows each get a row; a null id gets the component of its fingerprint, and a component whose
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from insight.llm.columns import boxed, unboxed
 from insight.llm.storage import stored
 
-#: Longest posting list that is joined with itself.
+#: Longest posting list that is joined with itself; longer ones are split first.  It chooses the plan, not the result.
 PAIR_LIST = 32
 #: Shingles hashed at once, which bounds a task's memory on very long texts.
 BLOCK = 1 << 16
@@ -89,10 +89,7 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
 
     short = members.where(F.col("n") <= PAIR_LIST)
     a, b = short.select("g", "key", F.col("fp").alias("a")), short.select("g", "key", F.col("fp").alias("b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8))
-    paired = (a.join(b, ["g", "key"]).where(F.col("a") < F.col("b"))
-              .where(shared >= 8 - max_bits).where(F.bit_count(differ) <= max_bits).select("a", "b"))
+    paired = a.join(b, ["g", "key"]).where(F.col("a") < F.col("b")).select("a", "b")
     if max_bits < 2:  # a common neighbour may mean two bits; lists under an exact mask are paired as they are
         wide = members.where(F.col("n") > PAIR_LIST)
         flips = [0, *[_one_bit(i) for i in range(64)]] if max_bits == 1 else [0]
@@ -105,7 +102,10 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
         balls = (near.groupBy("g", "key", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
                  .agg(F.collect_set("fp").alias("ball")).where(F.size("ball") > 1))
         hubs = (balls.select(F.array_min("ball").alias("a"), F.explode("ball").alias("b")).where("a <> b"))
-    return paired.unionByName(hubs).distinct()
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    shared = sum((F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8))
+    counted = paired.unionByName(hubs).where(shared >= 8 - max_bits)
+    return counted.where(F.bit_count(differ) <= max_bits).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from insight.llm import decontamination, simhash
 from llm_fixtures import documents, shared  # noqa: F401
@@ -81,6 +82,36 @@ def test_links_connect_all_close_fingerprints(shared, bits, longest, monkeypatch
         sorted(i for i in want if want[i] == c) for c in set(want.values()))
 
 
+def test_a_hot_list_of_ten_thousand_fingerprints(shared):
+    """All in one posting list: every link is kept, pairs stay linear, and each passes the tally and the distance."""
+    nodes = shared.range(10_000).select((F.col("id") * 7 + (F.col("id") % 13) * 65_536).alias("fp")).distinct()
+    close = simhash.links(nodes, 2).select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"))
+    found = close.agg(F.count(F.lit(1)), F.max("bits"), F.min("bits")).first()
+    assert found[0] < 33 * 6 * 10_000 and 1 <= found[2] <= found[1] <= 2
+    fps = [r.fp for r in nodes.collect()]
+    known, root = set(fps), {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            root[f] = root[root[f]]
+            f = root[f]
+        return f
+
+    flips = [1 << i for i in range(22)]
+    for f in fps:
+        for x in [*flips, *(x | y for x in flips for y in flips if x < y)]:
+            if f ^ x in known:
+                root[find(f)] = find(f ^ x)
+    least = {}
+    for f in fps:
+        least[find(f)] = min(least.get(find(f), f), f)
+    got = {r.fp: r.root for r in simhash.connected(close.select("a", "b")).collect()}
+    group = {}
+    for f in fps:
+        group.setdefault(got.get(f, f), set()).add(least[find(f)])
+    assert all(len(g) == 1 for g in group.values()) and len(group) == len(set(least.values()))
+
+
 def test_one_of_each(documents):
     left = simhash.one_of_each(documents, 3)
     assert left.columns == documents.columns

@@ -247,9 +247,10 @@ def _selected(narrow: DataFrame, probs: Sequence[float]) -> DataFrame:
     of each open interval by cell, with each cell's smallest and largest
     value; running counts over the cells (at most ``CELLS + 1`` an interval)
     give the cells that hold the ranks, and these are the next intervals.  An
-    interval of one value is settled.  Only counts travel: no row
-    is shuffled, sorted or stored, and a hot group or value is counted where
-    it lies.  Money and counts settle after two or three rounds; values over
+    interval of one value is settled.  Only counts travel while the stored
+    intervals are measured small: no row is shuffled, sorted or stored, and a
+    hot group or value is counted where it lies.  With more groups than that
+    the rows of open intervals are shuffled to them, hot ones split by AQE.  Money and counts settle after two or three rounds; values over
     many orders of magnitude take one more per factor of ``CELLS``.
     """
     pos = [(F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p)) for p in probs]

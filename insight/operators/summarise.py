@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from insight.functions.beta import correlation_p
 from insight.functions.expr import comes_after, guarded_ratio, pct_true, round_half_even
 from insight.sources.sinks import kpi_table
 
@@ -136,15 +137,18 @@ def top_k_flag(df: DataFrame, value: str, key: str, k: int, out: str, descending
 
 
 def label_correlation(df: DataFrame, cols: Sequence[str], label: str, digits: int = 6) -> DataFrame:
-    """``|pointbiserialr(x, label)|`` per column, sorted.
+    """``|pointbiserialr(x, label)|`` and its two-sided p-value per column, sorted.
 
-    Point-biserial equals Pearson with a 0/1 label: one ``agg`` of ``corr``,
-    unpivoted with ``stack``.
+    Point-biserial equals Pearson with a 0/1 label: one ``agg`` of ``corr``
+    and counts, unpivoted with ``stack``; the p-value is a Column on the result.
     """
-    one = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in cols])
+    y = F.col(label).cast("double")
+    one = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(f"_r{i}") for i, c in enumerate(cols)],
+                 *[F.count(F.when(F.col(c).isNotNull(), y)).alias(f"_n{i}") for i, c in enumerate(cols)])
     longf = one.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in cols])))
-    return longf.select("feature", round_half_even(F.abs("r"), digits).alias("abs_corr")).orderBy(
+        F.struct(F.lit(c).alias("feature"), F.col(f"_r{i}").alias("r"), F.col(f"_n{i}").alias("n")) for i, c in enumerate(cols)])))
+    return longf.select("feature", round_half_even(F.abs("r"), digits).alias("abs_corr"),
+                        round_half_even(correlation_p(F.col("r"), F.col("n")), digits).alias("p_value")).orderBy(
         F.col("abs_corr").desc(), "feature")
 
 

@@ -17,6 +17,7 @@ from insight.operators import metrics as M
 from insight.operators import models as ML
 from insight.operators import sampling as D
 from insight.operators.rfm import align_to
+from insight.functions.beta import STEPS
 from insight.operators.summarise import label_correlation, pivot_agg
 from insight.plans.registry import query
 from insight.sources.tables import read_table
@@ -105,15 +106,26 @@ def length_band_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("label_correlation", f"""
-WITH {DOCS_SQL}
-SELECT feature, round_even(abs(r) * 1e6, 0) / 1e6 AS abs_corr FROM (
-  SELECT 'n_chars' AS feature, corr(CAST(n_chars AS DOUBLE), CAST(quality AS DOUBLE)) AS r FROM ld
-  UNION ALL SELECT 'n_lines', corr(CAST(n_lines AS DOUBLE), CAST(quality AS DOUBLE)) FROM ld
-  UNION ALL SELECT 'toxic', corr(CAST(toxic AS DOUBLE), CAST(quality AS DOUBLE)) FROM ld)
-ORDER BY abs_corr DESC, feature
+WITH RECURSIVE {DOCS_SQL},
+cr AS MATERIALIZED (
+  SELECT 'n_chars' AS feature, corr(CAST(n_chars AS DOUBLE), CAST(quality AS DOUBLE)) AS r, count(*) AS n FROM ld
+  UNION ALL SELECT 'n_lines', corr(CAST(n_lines AS DOUBLE), CAST(quality AS DOUBLE)), count(*) FROM ld
+  UNION ALL SELECT 'toxic', corr(CAST(toxic AS DOUBLE), CAST(quality AS DOUBLE)), count(*) FROM ld),
+ab AS (SELECT feature, r, (n - 2) / 2.0::DOUBLE AS a, 0.5::DOUBLE AS b, 1 - r * r < ((n - 2) / 2.0::DOUBLE + 1) / ((n - 2) / 2.0::DOUBLE + 2.5) AS near FROM cr),
+arg AS (SELECT feature, near, CASE WHEN near THEN 1 - r * r ELSE r * r END AS x, CASE WHEN near THEN a ELSE b END AS a, CASE WHEN near THEN b ELSE a END AS b,
+        exp(a * ln(1 - r * r) + b * ln(r * r) + lgamma(a + b) - lgamma(a) - lgamma(b)) AS front FROM ab),
+cf AS (
+  SELECT feature, near, x, a, b, front, 0 AS k, 1.0::DOUBLE AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h FROM arg
+  UNION ALL
+  SELECT feature, near, x, a, b, front, k, 1 + t / c, 1 / (1 + t * d), h * (1 + t / c) / (1 + t * d) FROM (
+    SELECT *, CASE WHEN k % 2 = 1 THEN m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m)) ELSE -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m)) END AS t
+    FROM (SELECT * REPLACE (k + 1 AS k), ((k + 2) // 2)::DOUBLE AS m FROM cf WHERE k < {STEPS}))),
+pv AS (SELECT feature, CASE WHEN near THEN front * h / a ELSE 1 - front * h / a END AS p FROM cf WHERE k = {STEPS})
+SELECT feature, round_even(abs(r) * 1e6, 0) / 1e6 AS abs_corr, round_even(least(1, greatest(0, p)) * 1e6, 0) / 1e6 AS p_value
+FROM cr JOIN pv USING (feature) ORDER BY abs_corr DESC, feature
 """)
 def label_correlation_query(spark: SparkSession, sf: str) -> DataFrame:
-    """|point-biserial r| of numeric features with the label, sorted."""
+    """|point-biserial r| of numeric features with the label and its p-value, sorted."""
     return label_correlation(labelled_docs(spark, sf), ["n_chars", "n_lines", "toxic"], "quality")
 
 

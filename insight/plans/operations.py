@@ -9,6 +9,8 @@ errors); the rating is ``1 + event_id % 5``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ from insight.functions.expr import clip, guarded_ratio, money_sum
 from insight.functions.timeparts import hour_of_day, in_hour_window, is_weekend
 from insight.operators import scorecard as S
 from insight.operators.summarise import arg_max, pivot_agg, rate_by
+from insight.operators.sketches import distinct_cells, estimated, union_cells
 from insight.plans.registry import query
+from insight.session import materialize
 from insight.sources.tables import read_table
 
 HOURS = list(range(24))
@@ -121,6 +125,33 @@ def zone_hour_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return pivot_agg(d, ["zone"], "hour", HOURS, F.count(F.lit(1)), names=HOUR_NAMES, fill=0)
 
 
+# an estimate may differ from the exact count by three standard errors of the sketch
+SKETCH_BOUND = 0.05
+
+
+@query("distinct_users_rollup", f"""
+WITH {ZONE_SQL}
+SELECT CAST(grouping(zone, hour) AS BIGINT) AS level, zone, hour, count(*) AS events, count(DISTINCT user_id) AS users, TRUE AS estimate_within_bound
+FROM dl GROUP BY ROLLUP (zone, hour)
+""")
+def distinct_users_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct users by zone and hour, zone, and in all: exact, and from sketches stored per cell.
+
+    ``level`` is 0 for cells, 1 for zones, 3 for the total; ``estimate_within_bound`` says that the estimate lies
+    within 5 % of the exact count."""
+    d = delivery_events(spark, sf).select("zone", "hour", "user_id")
+    cells = materialize(distinct_cells(d, ["zone", "hour"], "user_id"))
+    levels = [(0, ["zone", "hour"]), (1, ["zone"]), (3, [])]
+    parts = [estimated(union_cells(cells, keys)).select(
+        F.lit(level).cast("long").alias("level"), *[F.col(c) if c in keys else F.lit(None).cast(t).alias(c) for c, t in (("zone", "string"), ("hour", "int"))],
+        F.col("rows").alias("events"), "distinct_estimate") for level, keys in levels]
+    estimates = reduce(DataFrame.unionByName, parts)
+    exact = d.distinct().rollup("zone", "hour").agg(F.grouping_id().alias("level"), F.count_distinct("user_id").alias("users"))
+    off = F.abs(F.col("distinct_estimate") - F.col("users")) <= F.lit(SKETCH_BOUND) * F.col("users")
+    same = (exact.level == estimates.level) & exact.zone.eqNullSafe(estimates.zone) & exact.hour.eqNullSafe(estimates.hour)
+    return estimates.join(exact, same).select(estimates.level, estimates.zone, estimates.hour, "events", "users", off.alias("estimate_within_bound"))
+
+
 ERROR_SQL = f"""
 WITH {ZONE_SQL}
 SELECT zone, count(*) AS events, CAST(count_if(event_type = 'error') AS BIGINT) AS errors,

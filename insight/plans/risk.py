@@ -19,6 +19,7 @@ from insight.operators import metrics as M
 from insight.operators import models as ML
 from insight.operators import newton, trees
 from insight.operators import sampling as D
+from insight.operators.importance import permutation_importance
 from insight.operators.trees import impurity
 from insight.plans.documents import DOCS_SQL, FEATURES, SEED, labelled_docs
 from insight.plans.accounts import RISK_EDGES, RISK_LABELS
@@ -170,6 +171,37 @@ def tree_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _metrics(spark, sf, "tree")
 
 
+def permuted_sql(depth: int) -> str:
+    """Test rows once as they are (``f`` -1) and once per feature with its values dealt anew, walked down the tree."""
+    m = len(FEATURES)
+    cols = ", ".join(FEATURES)
+    out = [f"tr AS MATERIALIZED (SELECT doc_id, y, {cols}, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{SEED}'), doc_id) - 1 AS k, count(*) OVER () AS n FROM rows0 WHERE is_test)"]
+    parts = [f"SELECT -1 AS f, 1 AS node, y, {cols} FROM tr"]
+    for j, c in enumerate(FEATURES):
+        own = ", ".join(f"b.{x} AS {x}" if x == c else f"a.{x}" for x in FEATURES)
+        parts.append(f"SELECT {j}, 1, a.y, {own} FROM tr a JOIN tr b ON b.k = (a.k + CAST(floor(a.n * {2 * j + 1} / {2.0 * m}) AS BIGINT) + 1) % a.n")
+    out.append(f"px0 AS ({' UNION ALL '.join(parts)})")
+    value = "CASE b.f " + " ".join(f"WHEN {k} THEN r.{c}" for k, c in enumerate(FEATURES)) + " END"
+    for d in range(depth):
+        out.append(f"px{d + 1} AS (SELECT r.* REPLACE (CASE WHEN b.node IS NULL THEN r.node WHEN {value} <= b.edge THEN 2 * r.node ELSE 2 * r.node + 1 END AS node)"
+                   f" FROM px{d} r LEFT JOIN best{d} b ON b.node = r.node)")
+    out.append(f"hit AS (SELECT f, count_if((p > 0.5) = (y = 1)) AS hits, count(*) AS n FROM px{depth} r JOIN leaf l ON l.node = r.node GROUP BY f)")
+    return ",\n".join(out)
+
+
+@query("tree_permutation_importance", TREE_SQL + ",\n" + permuted_sql(TREE_DEPTH) + f"""
+SELECT CASE a.f {' '.join(f"WHEN {j} THEN '{c}'" for j, c in enumerate(FEATURES))} END AS feature, CAST(b.hits AS BIGINT) AS hits, CAST(a.hits AS BIGINT) AS hits_permuted,
+       round_even(CAST(b.hits - a.hits AS DOUBLE) / b.n * 1e6, 0) / 1e6 AS importance
+FROM hit a, hit b WHERE a.f >= 0 AND b.f = -1
+""")
+def tree_permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss of right predictions of the tree on the test rows when a feature's values are dealt anew."""
+    d = risk_frame(spark, sf)
+    tree = _fit("tree", d.where(~F.col("is_test")))
+    found = permutation_importance(d.where(F.col("is_test")), tree.probability, FEATURES, "quality", "doc_id", SEED)
+    return found.withColumn("importance", round_half_even("importance", 6))
+
+
 @query("logistic_metrics", LOGISTIC_SQL + METRICS_SQL)
 def logistic_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Accuracy and exact AUC of the logistic model on the test rows."""

@@ -11,7 +11,6 @@ functions  Column -> Column expressions (clipping, bands, time parts, rounding)
 operators  DataFrame -> DataFrame analyses (cleaning, ranking, RFM, rates,
            scorecards, sampling, models, metrics)
 plans      the query catalogue bound to the driver tables, plus oracle SQL
-streaming  notes on streaming use (the analyses are batch-only)
 """
 
 from insight.session import get_session, checkpoint_dir  # noqa: F401

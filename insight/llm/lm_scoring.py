@@ -1,41 +1,43 @@
-"""Stupid-backoff language-model scores from n-gram count tables partitioned by hash.
+"""Stupid-backoff language-model scores, computed relationally from n-gram count tables partitioned by hash.
 
-The n-grams of all documents are counted, and every document is scored by the counts.  Documents are dealt
-into blocks by a hash of id and text; a block sends each of its distinct n-grams once, in a row per hash
-bucket of n-grams.  A bucket adds the blocks' counts up (the count table's partition) and joins the sums back
-to the blocks' rows; a block gathers its sums and adds the scores up per document.  However frequent an
-n-gram is, it travels once per block, and rows hold packed columns, so the traffic is that of the distinct
-n-grams of blocks.  The number of blocks and buckets follows the size of the texts.
+Per order there is a count table of the n-grams of all documents, aggregated map-side and partitioned by the
+n-gram's hash.  A score belongs to an n-gram, not to its places: the table of one order is joined to that of the
+order below, by the n-gram's context where it occurs often enough and else by its suffix, so one join an order
+makes counts into scores.  Texts are exploded to their n-grams (the longest that ends at each word, once per
+text with its number of places), joined to the scores by hash, and summed per text.  Every table grows in
+proportion to the texts.  Equal texts collapse per task before anything moves, and what is left of a frequent
+n-gram or text is split by the adaptive planner, the other side of each join being unique.
 
 Score of a word after ``order - 1`` others: count(n-gram) / count(context) if the n-gram occurs at least
 ``min_count`` times, else ``BACKOFF`` times the score in the shorter context, down to count(word) / all words.
-N-grams are told apart by 64-bit hashes.  Logarithms are added up as whole millionths, so that the sum does not
-depend on the order.
+N-grams are told apart by 64-bit hashes, texts by 128 bits.  Logarithms are added up as whole millionths, so that
+the sum does not depend on the order.
 
 Words are runs without ASCII white space, A-Z in lower case.  Defined results: a text without words (null, empty)
-has zero words, score zero and a null mean; repeated rows are counted and scored each; rows with a null id too.
+has zero words, score zero and a null mean; repeated rows are counted and scored each; rows with a null id too; an
+empty table gives no rows.  ``doc_id`` may have any type, other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from insight.llm.storage import stored
 
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 BACKOFF, MICRO = 0.4, 1_000_000
+#: Text that a task explodes at a time, and rows that it sends at a time.
+SLICE_BYTES, ROWS_OUT = 4 << 20, 50_000
 #: Entries of a worker's memo of word hashes.
 MEMO_ENTRIES = 300_000
 _MEMO: dict[bytes, int] = {}
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.int64())])
-_SUMS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("sums", pa.binary()), ("words", pa.int64())])
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_micro", pa.int64())])
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -55,104 +57,120 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def _ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Words per text; per n: keys of all n-grams and the index of the text's word each ends at."""
-    words = [t.encode().lower().split() if t else [] for t in texts]
+def _ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Words per text; per n, for every word: the key of the n-gram that ends there, or of the shorter one that the
+    text has up to there."""
+    words = [t.encode().lower().split() for t in texts]
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     hashed = _hashes([w for ws in words for w in ws])
     place = np.arange(len(hashed)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    keys, ends = [hashed], [np.arange(len(hashed))]
+    keys = [hashed]
     for n in range(2, order + 1):
         last = np.flatnonzero(place >= n - 1)
         key = np.zeros(len(last), dtype=np.uint64)
         for k in range(n):
             key = (key ^ hashed[last - (n - 1) + k]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-        keys.append(key)
-        ends.append(last)
-    return lengths, keys, ends
-
-
-def _dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-
-
-def score(docs: DataFrame, order: int = 2, min_count: int = 2) -> DataFrame:
+        longest = keys[-1].copy()
+        longest[last] = key
+        keys.append(longest)
+    return lengths, keys
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most ``most`` bytes of text, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _sent(names: list[str], columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), ROWS_OUT):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at:at + ROWS_OUT].view(np.int64)) for c in columns], names=names)
+
+
+def _counts(texts: DataFrame, n: int) -> DataFrame:
+    """The count table of order ``n``: ``h``, its ``context`` and ``suffix`` of one word less, and ``n`` places.  What a
+    text has before its ``n``-th word is in it too, as its own suffix."""
+    most = SLICE_BYTES
+
+    def run(batches):
+        for part in _slices(batches, most):
+            copies = Counter(part.column("text").to_pylist())
+            lengths, keys = _ngrams(list(copies), n)
+            if not len(keys[0]):
+                continue
+            times = np.repeat(np.fromiter(copies.values(), dtype=np.int64, count=len(copies)), lengths)
+            found, first, which = np.unique(keys[-1], return_index=True, return_inverse=True)
+            total = np.bincount(which, weights=times).astype(np.int64)
+            shorter = keys[max(n - 2, 0)]
+            context = np.where(shorter[first] == found, shorter[first], shorter[first - 1])
+            yield from _sent(["h", "context", "suffix", "n"], [found, context, shorter[first], total])
+
+    exploded = texts.select("text").mapInArrow(run, "h long, context long, suffix long, n long")
+    return exploded.groupBy("h").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("suffix").alias("suffix"))
+
+
+def _scores(texts: DataFrame, order: int, min_count: int) -> DataFrame:
+    """``h`` and ``s``: the score in millionths of a word at the end of each n-gram of ``order`` words, or of fewer at the start of a text."""
+    def micro(part, whole):
+        return F.rint(F.log(part / whole) * F.lit(float(MICRO))).cast("long")
+
+    words = stored(_counts(texts, 1).select("h", "n"), "lm-words")
+    everything = words.agg(F.sum("n").alias("n")).scalar()
+    scores = words.select("h", "n", micro(F.col("n"), everything).alias("s"))
+    back = F.lit(int(round(np.log(BACKOFF) * MICRO)))
+    for n in range(2, order + 1):
+        short = F.col("h") == F.col("suffix")
+        seen = ~short & (F.col("n") >= min_count)
+        own = _counts(texts, n).select("h", "n", short.alias("short"), seen.alias("seen"), F.when(seen, F.col("context")).otherwise(F.col("suffix")).alias("via"))
+        below = scores.select(F.col("h").alias("via"), F.col("n").alias("via_n"), F.col("s").alias("via_s"))
+        scores = own.join(below, "via").select("h", "n", F.when(F.col("seen"), micro(F.col("n"), F.col("via_n"))).when(F.col("short"), F.col("via_s"))
+                                               .otherwise(back + F.col("via_s")).alias("s"))
+    return scores.select("h", "s")
+
+
+def _exploded(texts: DataFrame, order: int) -> DataFrame:
+    """Per text of a slice and n-gram: the text's key ``k1, k2``, ``h``, its places ``n``, and ``sent`` (1 on one row of the text)."""
+    most = SLICE_BYTES
+
+    def run(batches):
+        for part in _slices(batches, most):
+            keyed = dict(zip(part.column("text").to_pylist(), zip(part.column("k1").to_pylist(), part.column("k2").to_pylist())))
+            lengths, keys = _ngrams(list(keyed), order)
+            if not len(keys[0]):
+                continue
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            by = np.lexsort((keys[-1], owner))
+            h, owner = keys[-1][by], owner[by]
+            head = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
+            n = np.diff(np.r_[head, len(h)])
+            h, owner = h[head], owner[head]
+            key = np.array(list(keyed.values()), dtype=np.int64)[owner]
+            yield from _sent(["k1", "k2", "h", "n", "sent"], [np.ascontiguousarray(key[:, 0]), np.ascontiguousarray(key[:, 1]), h, n,
+                                                              np.r_[True, owner[1:] != owner[:-1]].astype(np.int64)])
+
+    return texts.select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 long, h long, n long, sent long")
+
+
+def score(docs: DataFrame, order: int = 3, min_count: int = 2) -> DataFrame:
     """``doc_id``, ``n_words`` and ``log_micro`` (sum of log scores in millionths) of every row of ``docs``."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-
-    def send(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        lengths, keys, _ = _ngrams(table.column("text").to_pylist(), order)
-        rows = []
-        for n, own in enumerate(keys, 1):
-            found, counts = np.unique(own, return_counts=True)
-            to = _dealt(found, buckets)
-            by = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[by], np.arange(buckets + 1))
-            for b in range(buckets):
-                at = by[cuts[b]:cuts[b + 1]]
-                if len(at):
-                    rows.append({"bucket": b, "block": block, "n": n, "keys": found[at].tobytes(), "counts": counts[at].astype("<u4").tobytes(),
-                                 "words": int(counts[at].sum()) if n == 1 else 0})
-        return pa.Table.from_pylist(rows, schema=_SENT)
-
-    def add_up(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        for n in range(1, order + 1):
-            mine = [r for r in rows if r["n"] == n]
-            if mine:
-                keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in mine])
-                counts = np.concatenate([np.frombuffer(r["counts"], dtype="<u4") for r in mine])
-                _, index = np.unique(keys, return_inverse=True)
-                sums = np.bincount(index, weights=counts).astype("<u8")[index]
-                at = 0
-                for r in mine:
-                    m = len(r["keys"]) // 8
-                    r["sums"] = sums[at:at + m].astype("<u8").tobytes()
-                    at += m
-        return pa.Table.from_pylist([{k: r[k] for k in _SUMS.names} for r in rows], schema=_SUMS)
-
-    sent = dealt.groupBy("block").applyInArrow(send, "bucket int, block long, n int, keys binary, counts binary, words long")
-    sums = stored(sent.groupBy("bucket").applyInArrow(add_up, "block long, bucket int, n int, sums binary, words long"), "lm-sums")
-    everything = sums.agg(F.sum("words")).first()[0] or 0
-
-    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("doc_id").to_pylist()
-        lengths, keys, ends = _ngrams(left.column("text").to_pylist(), order)
-        got = {(r["n"], r["bucket"]): r["sums"] for r in right.to_pylist()}
-        counts = []
-        for n, own in enumerate(keys, 1):
-            found, index = np.unique(own, return_inverse=True)
-            to, total = _dealt(found, buckets), np.zeros(len(found), dtype=np.int64)
-            by = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[by], np.arange(buckets + 1))
-            for b in range(buckets):
-                at = by[cuts[b]:cuts[b + 1]]
-                if len(at):
-                    total[at] = np.frombuffer(got[n, b], dtype="<u8")
-            counts.append(total[index])
-        logs = np.rint(np.log(counts[0] / max(everything, 1)) * MICRO).astype(np.int64) if len(keys[0]) else np.zeros(0, dtype=np.int64)
-        back = int(round(np.log(BACKOFF) * MICRO))
-        for n in range(2, order + 1):
-            last = ends[n - 1]
-            # the context is the (n-1)-gram that ends one word earlier
-            spot = np.full(len(keys[0]), 0, dtype=np.int64)
-            spot[ends[n - 2]] = counts[n - 2]
-            seen = counts[n - 1] >= min_count
-            longer = np.rint(np.log(counts[n - 1] / np.maximum(spot[last - 1], 1)) * MICRO).astype(np.int64)
-            logs[last] = np.where(seen, longer, logs[last] + back)
-        owner = np.repeat(np.arange(len(ids)), lengths)
-        per = np.zeros(len(ids), dtype=np.int64)
-        np.add.at(per, owner, logs)
-        return pa.Table.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(lengths), "log_micro": pa.array(per)}, schema=_SCORES)
-
-    return dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(gather, "doc_id long, n_words long, log_micro long")
-
-
-def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
+    joined = _exploded(rows, order).join(_scores(rows, order, min_count), "h")
+    # a text that several slices sent has all its rows as often
+    per_text = joined.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("s")).alias("s"), F.sum("sent").alias("sent"))
+    per_text = per_text.select("k1", "k2", F.expr("n div sent").alias("n_words"), F.expr("s div sent").alias("log_micro"))
+    none = F.lit(0).cast("long")
+    return rows.select("doc_id", "k1", "k2").join(per_text, ["k1", "k2"], "left").select(
+        "doc_id", F.coalesce("n_words", none).alias("n_words"), F.coalesce("log_micro", none).alias("log_micro"))
+
+
+def score_documents(docs: DataFrame, order: int = 3, min_count: int = 2) -> DataFrame:
     """Sum and mean of the words' log scores of every document."""
     mean = F.when(F.col("n_words") > 0, F.col("log_micro") / F.col("n_words") / F.lit(float(MICRO)))
     return score(docs, order, min_count).select("doc_id", "n_words", "log_micro", mean.alias("mean_log_score"))

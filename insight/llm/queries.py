@@ -89,7 +89,7 @@ def op7_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff bigram scores of every document by counts over all documents."""
+    """Stupid-backoff trigram scores of every document by counts over all documents."""
     return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
 
 
@@ -97,15 +97,18 @@ OP8_SQL = r"""
 WITH doc AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-tok AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc)),
-uni AS (SELECT b, count(*) AS n FROM tok GROUP BY b),
-bi AS (SELECT a, b, count(*) AS n FROM tok WHERE a IS NOT NULL GROUP BY a, b),
-term AS (
-  SELECT t.doc_id, CASE
-    WHEN bi.n >= 2 THEN CAST(round_even(ln(bi.n / ctx.n) * 1000000, 0) AS BIGINT)
-    ELSE CAST(round_even(ln(uni.n / (SELECT count(*) FROM tok)) * 1000000, 0) AS BIGINT)
-         + CASE WHEN t.a IS NULL THEN 0 ELSE CAST(round_even(ln(0.4) * 1000000, 0) AS BIGINT) END END AS m
-  FROM tok t JOIN uni ON t.b = uni.b LEFT JOIN bi ON t.a = bi.a AND t.b = bi.b LEFT JOIN uni ctx ON t.a = ctx.b),
+tok AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc)),
+uni AS (SELECT c, count(*) AS n FROM tok GROUP BY c),
+bi AS (SELECT b, c, count(*) AS n FROM tok WHERE i > 1 GROUP BY b, c),
+tri AS (SELECT a, b, c, count(*) AS n FROM tok WHERE i > 2 GROUP BY a, b, c),
+back AS (SELECT CAST(round_even(ln(0.4) * 1000000, 0) AS BIGINT) AS m),
+one AS (SELECT c, CAST(round_even(ln(n / (SELECT count(*) FROM tok)) * 1000000, 0) AS BIGINT) AS m FROM uni),
+two AS (SELECT b, c, bi.n, CASE WHEN bi.n >= 2 THEN CAST(round_even(ln(bi.n / uni.n) * 1000000, 0) AS BIGINT) ELSE back.m + one.m END AS m
+        FROM bi JOIN uni ON uni.c = bi.b JOIN one USING (c), back),
+three AS (SELECT tri.a, tri.b, tri.c, CASE WHEN tri.n >= 2 THEN CAST(round_even(ln(tri.n / ctx.n) * 1000000, 0) AS BIGINT) ELSE back.m + two.m END AS m
+          FROM tri JOIN bi ctx ON ctx.b = tri.a AND ctx.c = tri.b JOIN two ON two.b = tri.b AND two.c = tri.c, back),
+term AS (SELECT t.doc_id, CASE i WHEN 1 THEN one.m WHEN 2 THEN two.m ELSE three.m END AS m
+         FROM tok t JOIN one ON one.c = t.c LEFT JOIN two ON two.b = t.b AND two.c = t.c LEFT JOIN three ON three.a = t.a AND three.b = t.b AND three.c = t.c),
 per AS (SELECT doc_id, CAST(sum(m) AS BIGINT) AS log_micro FROM term GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(log_micro, 0) AS log_micro,
        CASE WHEN len(w) > 0 THEN log_micro / len(w) / 1000000.0::DOUBLE END AS mean_log_score

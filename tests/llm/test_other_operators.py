@@ -297,11 +297,24 @@ def brute_scores(rows, order=2, least=2):
     return sorted((i or -1, len(w), sum(micro(tuple(w[max(0, k - order + 1):k + 1])) for k in range(len(w)))) for i, w in words)
 
 
-def test_scores(shared, documents, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 1500)
-    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 3000)
+@pytest.mark.parametrize("slice_bytes", [300, 4 << 20])
+def test_scores(shared, documents, monkeypatch, slice_bytes):
+    monkeypatch.setattr(lm_scoring, "SLICE_BYTES", slice_bytes)
     rows = [(r.doc_id, r.text) for r in documents.collect()]
-    for order in (1, 2, 3):
+    for order in (1, 2, 3) if slice_bytes == 300 else (4,):
         got = sorted((r.doc_id or -1, r.n_words, r.log_micro) for r in lm_scoring.score(documents, order).collect())
         assert got == brute_scores(rows, order)
     assert lm_scoring.score_documents(documents.limit(0)).collect() == []
+
+
+def test_scores_of_copies_and_any_ids(shared):
+    texts = ["a b c a b c a b d"] * 300 + ["a b c", "a", "", None, "x y", "ha " * 5000] + ["ok"] * 200
+    rows = [(f"id{i}" if i % 9 else None, t, 1, 2) for i, t in enumerate(texts)]
+    docs = shared.createDataFrame(rows, "doc_id string, text string, h int, k1 int").repartition(5)
+    got = Counter((r.doc_id, r.n_words, r.log_micro) for r in lm_scoring.score(docs).collect())
+    want = brute_scores([(k, t) for k, t in enumerate(texts)], 3)
+    by = {max(k, 0): (n, m) for k, n, m in want}
+    assert got == Counter((rows[k][0], *by[k]) for k in range(len(texts)))
+    # copies leave a task once: the rows that are exploded grow with the different texts of a task only
+    one = shared.createDataFrame(rows[:300], "doc_id string, text string, h int, k1 int").coalesce(1).selectExpr("doc_id", "text", "1L AS k1", "2L AS k2")
+    assert lm_scoring._exploded(one, 3).agg({"n": "sum"}).first()[0] == 9

@@ -103,8 +103,8 @@ bi AS (SELECT b, c, count(*) AS n FROM tok WHERE i > 1 GROUP BY b, c),
 tri AS (SELECT a, b, c, count(*) AS n FROM tok WHERE i > 2 GROUP BY a, b, c),
 back AS (SELECT CAST(round_even(ln(0.4) * 1000000, 0) AS BIGINT) AS m),
 one AS (SELECT c, CAST(round_even(ln(n / (SELECT count(*) FROM tok)) * 1000000, 0) AS BIGINT) AS m FROM uni),
-two AS (SELECT b, c, bi.n, CASE WHEN bi.n >= 2 THEN CAST(round_even(ln(bi.n / uni.n) * 1000000, 0) AS BIGINT) ELSE back.m + one.m END AS m
-        FROM bi JOIN uni ON uni.c = bi.b JOIN one USING (c), back),
+two AS (SELECT bi.b, bi.c, CASE WHEN bi.n >= 2 THEN CAST(round_even(ln(bi.n / uni.n) * 1000000, 0) AS BIGINT) ELSE back.m + one.m END AS m
+        FROM bi JOIN uni ON uni.c = bi.b JOIN one ON one.c = bi.c, back),
 three AS (SELECT tri.a, tri.b, tri.c, CASE WHEN tri.n >= 2 THEN CAST(round_even(ln(tri.n / ctx.n) * 1000000, 0) AS BIGINT) ELSE back.m + two.m END AS m
           FROM tri JOIN bi ctx ON ctx.b = tri.a AND ctx.c = tri.b JOIN two ON two.b = tri.b AND two.c = tri.c, back),
 term AS (SELECT t.doc_id, CASE i WHEN 1 THEN one.m WHEN 2 THEN two.m ELSE three.m END AS m

@@ -20,6 +20,7 @@ from insight.operators import models as ML
 from insight.operators import newton, trees
 from insight.operators import sampling as D
 from insight.operators.importance import permutation_importance
+from insight.operators.summarise import pivot_agg
 from insight.operators.trees import impurity
 from insight.plans.documents import DOCS_SQL, FEATURES, SEED, labelled_docs
 from insight.plans.accounts import RISK_EDGES, RISK_LABELS
@@ -171,6 +172,49 @@ def tree_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _metrics(spark, sf, "tree")
 
 
+@query("tree_confusion", TREE_SQL + """
+SELECT y.label, CAST(count_if(s.label = y.label AND p <= 0.5) AS BIGINT) AS pred_0, CAST(count_if(s.label = y.label AND p > 0.5) AS BIGINT) AS pred_1
+FROM (VALUES (0), (1)) y(label), scored s WHERE is_test GROUP BY y.label
+""")
+def tree_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Confusion matrix of the tree's predictions on the test rows."""
+    return M.confusion(_scored_test(risk_frame(spark, sf), "tree"), "quality", "prediction")
+
+
+TIER_COLUMNS = [t.lower().replace(" ", "_") for t in RISK_LABELS]
+
+
+@query("tree_tiers_by_lang", TREE_SQL + "\nSELECT lang, " + ", ".join(
+    f"CAST(count_if(p > {lo} AND p <= {hi}) AS BIGINT) AS {c}" for lo, hi, c in zip(RISK_EDGES[:-1], RISK_EDGES[1:], TIER_COLUMNS))
+    + " FROM scored JOIN enc USING (doc_id) WHERE p > 0 AND lang IS NOT NULL GROUP BY lang")
+def tree_tiers_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each language by tier of the tree's score; untiered rows dropped, unseen tiers 0."""
+    d = risk_frame(spark, sf)
+    s = ML.risk_tiers(_score(_fit("tree", d.where(~F.col("is_test"))), d), "probability_1", RISK_EDGES, RISK_LABELS)
+    return pivot_agg(s, ["lang"], "risk_tier", RISK_LABELS, F.count(F.lit(1)), names=TIER_COLUMNS, fill=0)
+
+
+def gains_sql(depth: int) -> str:
+    """Loss of weighted Gini impurity by each split of the tree."""
+    return "gains AS (" + " UNION ALL ".join(
+        f"SELECT b.f, (c.a + c.b - (c.a * c.a + c.b * c.b) / (c.a + c.b)) - c.loss AS gain FROM best{d} b JOIN cut{d} c ON c.node = b.node AND c.f = b.f AND c.edge = b.edge"
+        for d in range(depth)) + ")"
+
+
+@query("tree_importance", TREE_SQL + ",\n" + gains_sql(TREE_DEPTH) + f""",
+i AS (SELECT feature, round_even(coalesce(sum(gain), 0) / (SELECT sum(gain) FROM gains) * 1e6, 0) / 1e6 AS importance
+      FROM (VALUES {', '.join(f"({j}, '{c}')" for j, c in enumerate(FEATURES))}) v(f, feature) LEFT JOIN gains USING (f) GROUP BY feature)
+SELECT feature, importance, CAST(row_number() OVER w AS INTEGER) AS rank, row_number() OVER w <= 3 AS highlight FROM i WINDOW w AS (ORDER BY importance DESC, feature)
+""")
+def tree_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree's feature importances, sorted, with the top-3 highlight."""
+    d = risk_frame(spark, sf)
+    tree = _fit("tree", d.where(~F.col("is_test")))
+    shares = spark.createDataFrame(list(zip(FEATURES, tree.importances())), "feature string, importance double")  # a row per feature
+    ranked = F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature"))
+    return shares.withColumn("importance", round_half_even("importance", 6)).withColumn("rank", ranked).withColumn("highlight", F.col("rank") <= 3)
+
+
 def permuted_sql(depth: int) -> str:
     """Test rows once as they are (``f`` -1) and once per feature with its values dealt anew, walked down the tree."""
     m = len(FEATURES)

@@ -259,10 +259,11 @@ def confusion(spark: SparkSession, sf: str) -> DataFrame:
     return M.confusion(s, "quality", "pred")
 
 
-@query("classification_report", f"""
-WITH {DOCS_SQL},
-c AS (SELECT count_if(quality = 0 AND {PRED_SQL} = 0) AS c00, count_if(quality = 0 AND {PRED_SQL} = 1) AS c01,
-             count_if(quality = 1 AND {PRED_SQL} = 0) AS c10, count_if(quality = 1 AND {PRED_SQL} = 1) AS c11 FROM ld),
+def report_sql(table: str, label: str, pred: str) -> str:
+    """CTEs and final SELECT of a classification report over 0/1 columns of ``table``."""
+    return f"""
+c AS (SELECT count_if({label} = 0 AND {pred} = 0) AS c00, count_if({label} = 0 AND {pred} = 1) AS c01,
+             count_if({label} = 1 AND {pred} = 0) AS c10, count_if({label} = 1 AND {pred} = 1) AS c11 FROM {table}),
 k AS (
   SELECT '0' AS class, CASE WHEN c00 + c10 > 0 THEN c00 / (c00 + c10) ELSE 0.0 END AS precision,
          CASE WHEN c00 + c01 > 0 THEN c00 / (c00 + c01) ELSE 0.0 END AS recall, c00 + c01 AS support FROM c
@@ -277,7 +278,10 @@ a AS (
                    sum(f1 * support) / sum(support), sum(support) FROM f)
 SELECT class, round_even(precision * 1e6, 0) / 1e6 AS precision, round_even(recall * 1e6, 0) / 1e6 AS recall,
        round_even(f1 * 1e6, 0) / 1e6 AS f1, CAST(support AS BIGINT) AS support FROM a
-""")
+"""
+
+
+@query("classification_report", f"WITH {DOCS_SQL}," + report_sql("ld", "quality", PRED_SQL))
 def classification_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per-class precision/recall/F1/support with macro and weighted averages."""
     s = _scored(spark, sf).withColumn("pred", F.when(F.col("score") >= 0.5, 1).otherwise(0))

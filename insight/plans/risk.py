@@ -22,7 +22,7 @@ from insight.operators import sampling as D
 from insight.operators.importance import permutation_importance
 from insight.operators.summarise import pivot_agg
 from insight.operators.trees import impurity
-from insight.plans.documents import DOCS_SQL, FEATURES, SEED, labelled_docs
+from insight.plans.documents import DOCS_SQL, FEATURES, SEED, labelled_docs, report_sql
 from insight.plans.accounts import RISK_EDGES, RISK_LABELS
 from insight.plans.registry import query
 from insight.plans.reports import solve_sql
@@ -181,6 +181,26 @@ def tree_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return M.confusion(_scored_test(risk_frame(spark, sf), "tree"), "quality", "prediction")
 
 
+@query("tree_report", TREE_SQL + ",\nhs AS (SELECT label, CAST(p > 0.5 AS INTEGER) AS pred FROM scored WHERE is_test)," + report_sql("hs", "label", "pred"))
+def tree_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Classification report of the tree's predictions on the test rows."""
+    s = _scored_test(risk_frame(spark, sf), "tree").withColumn("quality", F.col("quality").cast("int"))
+    return M.classification_report(s, "quality", "prediction")
+
+
+@query("tree_roc", TREE_SQL + """,
+c AS (SELECT p AS threshold, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM scored WHERE is_test GROUP BY p),
+pts AS (SELECT threshold, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp FROM c WINDOW w AS (ORDER BY threshold DESC)
+        UNION ALL SELECT NULL, 0, 0),
+t AS (SELECT sum(pos) AS pos, sum(neg) AS neg FROM c)
+SELECT round_even(threshold * 1e6, 0) / 1e6 AS threshold, tp, fp, CASE WHEN pos > 0 THEN tp / pos END AS tpr, CASE WHEN neg > 0 THEN fp / neg END AS fpr FROM pts, t
+""")
+def tree_roc(spark: SparkSession, sf: str) -> DataFrame:
+    """ROC points of the tree's probabilities on the test rows."""
+    points = M.roc_points(_scored_test(risk_frame(spark, sf), "tree"), "quality", "probability_1")
+    return points.withColumn("threshold", round_half_even("threshold", 6))
+
+
 TIER_COLUMNS = [t.lower().replace(" ", "_") for t in RISK_LABELS]
 
 

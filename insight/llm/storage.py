@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from insight.session import checkpoint_dir
 
+#: Spark removes the shuffle files of a query that has ended.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, the folder that ``checkpoint_dir`` sets or refuses."""
@@ -20,9 +23,18 @@ def stage_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: its lineage is cut, and a lost
-    executor costs only the tasks that ran there."""
-    path = stage_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor costs only the tasks that ran there.  ``free``: shuffle files of the writing go when it is done,
+    not when the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    path = stage_folder(spark, name)
+    before = spark.conf.get(FREE, None)
+    if free:
+        spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
+    return spark.read.schema(df.schema).parquet(path)

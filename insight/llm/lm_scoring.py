@@ -43,9 +43,9 @@ from insight.llm.storage import stored
 BACKOFF, MICRO = 0.4, 1_000_000
 BACK = int(round(np.log(BACKOFF) * MICRO))
 #: Text (a longer one is a slice of its own) and rows of a slice, and rows that a task sends at a time.
-SLICE_BYTES, SLICE_ROWS, ROWS_OUT = 32 << 20, 1 << 24, 50_000
+SLICE_BYTES, SLICE_ROWS, ROWS_OUT = 16 << 20, 1 << 24, 50_000
 #: Passes over the places at most, and words that are not worth another pass.
-PASSES, PASS_WORDS = 12, 2_000_000
+PASSES, PASS_WORDS = 10, 2_000_000
 #: A text's number: the slice's (its task's, and its own in the task's), and its own in the slice.
 IN_TASK, IN_SLICE = 14, 24
 #: A word's ``v``: its count, above this many bits of its score in millionths with the sign off (2 ** 38 words make 26,400,000).
@@ -78,14 +78,17 @@ def _slice(number: int, texts: dict[str, list[int]]) -> Iterator[pa.RecordBatch]
     lengths = np.diff(words.offsets.to_numpy()).astype(np.int64)
     coded = words.flatten().dictionary_encode()
     k1, k2, copies = np.array(list(texts.values()), dtype=np.int64)[some.to_numpy(zero_copy_only=False)].T
+    del lower, words
     own = coded.indices.to_numpy()
-    times = np.bincount(own, weights=np.repeat(copies, lengths)).astype(np.int64)
+    times = np.bincount(own, weights=np.repeat(copies, lengths) if copies.max() > 1 else None).astype(np.int64)
     # frequent words first, for smaller numbers; number 0 is a text's end
     by = np.argsort(-times, kind="stable")
     rank = np.empty(len(by), dtype=np.int32)
     rank[by] = np.arange(1, len(by) + 1)
-    numbers = np.zeros(len(own) + len(lengths), dtype=np.int32)
-    numbers[np.arange(len(own)) + np.repeat(np.arange(len(lengths)), lengths)] = rank[own]
+    inside = np.ones(len(own) + len(lengths), dtype=bool)
+    inside[np.cumsum(lengths + 1) - 1] = False
+    numbers = np.zeros(len(inside), dtype=np.int32)
+    numbers[inside] = rank[own]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(by))
     row = [number, k1, k2, copies, lengths, _packed(numbers), hashes[by].tobytes(), _packed(times[by])]
     yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, _SLICE)], schema=_SLICE)
@@ -108,6 +111,7 @@ def _encoded(texts: DataFrame) -> DataFrame:
                 if size >= most or seen >= rows:
                     yield from _slice(number, own)
                     own, size, seen, number = {}, 0, 0, number + 1
+                    pa.default_memory_pool().release_unused()
         yield from _slice(number, own)
 
     return texts.select("text", "k1", "k2").mapInArrow(
@@ -142,15 +146,20 @@ def _words(slices: DataFrame) -> int:
 
 def _numbered(texts: DataFrame) -> DataFrame:
     """The slices with ``v`` of every word: its count over all texts and its score."""
-    def gathered(table: pa.Table) -> pa.Table:
-        v = np.empty(len(table), dtype=np.int64)
-        v[table.column("at").to_numpy()] = table.column("v").to_numpy()
-        return pa.table({"slice": table.column("slice")[:1], "v": pa.array([_packed(v)], pa.binary())})
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[batch.column(c).to_numpy() for c in ("slice", "at", "v")] for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        number, at, v = (np.concatenate(x) for x in zip(*parts))
+        by = np.lexsort((at, number))
+        head = np.flatnonzero(np.diff(number[by], prepend=number[by[0]] - 1))
+        for own in np.split(by, head[1:]):
+            yield pa.RecordBatch.from_arrays([pa.array(number[own[:1]]), pa.array([_packed(v[own])], pa.binary())], names=["slice", "v"])
 
     slices = stored(_encoded(texts), "lm-slices", free=True)
     lists = _listed(slices).withColumn("n", F.sum("n").over(Window.partitionBy("h")))
     v = F.shiftleft("n", SCORE_BITS).bitwiseOR(-_micro(F.col("n"), F.lit(max(1, _words(slices)))))
-    lists = lists.select("slice", "at", v.alias("v")).groupBy("slice").applyInArrow(gathered, "slice long, v binary")
+    lists = lists.select("slice", "at", v.alias("v")).repartition("slice").mapInArrow(gathered, "slice long, v binary")
     return stored(slices.drop("times").join(stored(lists, "lm-lists", free=True), "slice"), "lm-numbered", free=True)
 
 
@@ -189,17 +198,22 @@ def _exploded(texts: DataFrame, order: int, part: int = 0, parts: int = 1) -> Da
             return
         last, before = numbers[spot], numbers[np.maximum(spot - 1, 0)]
         h, context = hashes[last], hashes[before]
-        pair = np.where(place > 0, _mixed(context, h), _mixed(h, h ^ salt))
+        first = np.flatnonzero(place == 0)
+        pair = _mixed(context, h)
+        pair[first] = _mixed(h[first], h[first] ^ salt)
         keys = [pair]
         for k in range(3, order + 1):
             # short n-grams have no context of this length; they get a key that no other row has for it
             context = _mixed(hashes[numbers[np.maximum(spot - (k - 1), 0)]], context)
-            keys.append(np.where(place >= k - 1, context, _mixed(pair, ~pair)))
-        both = np.where(place > 0, v[before] & high, 1 << SCORE_BITS) | (v[last] & LOW)
-        # the same n-gram of a text once; should two n-grams meet in the hash that sorts them, some rows are left apart, with the same sums
+            short = np.flatnonzero(place < k - 1)
+            keys.append(context.copy())
+            keys[-1][short] = _mixed(pair[short], ~pair[short])
+        both = (v[before] & high) | (v[last] & LOW)
+        both[first] = 1 << SCORE_BITS | (v[last[first]] & LOW)
+        # the same n-gram of a text once; should two n-grams meet in the number that sorts them, some rows are left apart, with the same sums
         sorted_by = owner.astype(np.uint64)
         for x in keys:
-            sorted_by = _mixed(sorted_by, x)
+            sorted_by = (sorted_by ^ x) * np.uint64(0x9E3779B97F4A7C15)
         by = np.argsort(sorted_by)
         new = np.ones(len(by), dtype=bool)
         new[1:] = owner[by[1:]] != owner[by[:-1]]
@@ -231,7 +245,7 @@ def _places():
 
 
 def _summed(places: DataFrame, order: int, min_count: int) -> DataFrame:
-    """``n_words`` and ``log_micro`` per text ``t`` of the places given.  ``v`` turns from counts (above 0) to the score."""
+    """``log_micro`` per text ``t`` of the places given.  ``v`` turns from counts (above 0) to the score."""
     v, size = F.col("v"), F.col("w").bitwiseAND(F.lit((1 << ORDER_BITS) - 1).cast("long"))
     counted = F.sum(_places() * F.shiftright("w", ORDER_BITS + PLACE_BITS))
     all_copies = F.sum(F.greatest(_places(), F.lit(1).cast("long")) * F.shiftright("w", ORDER_BITS + PLACE_BITS))
@@ -248,7 +262,7 @@ def _summed(places: DataFrame, order: int, min_count: int) -> DataFrame:
     if order > 1:
         places = places.withColumn("gram", counted.over(Window.partitionBy("x2"))).withColumn("v", decided(2, F.col("gram"), F.shiftright(v, SCORE_BITS)))
     score = F.when(v > 0, BACK * (size - 1) - v.bitwiseAND(F.lit(LOW).cast("long"))).otherwise(v)
-    return places.groupBy("t").agg(F.sum(_places()).alias("n_words"), F.sum(_places() * score).alias("log_micro"))
+    return places.groupBy("t").agg(F.sum(_places() * score).alias("log_micro"))
 
 
 def score(docs: DataFrame, order: int = 3, min_count: int = 2) -> DataFrame:
@@ -258,9 +272,9 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2) -> DataFrame:
     slices = _numbered(rows)
     parts = min(PASSES, max(1, -(-_words(slices) // PASS_WORDS)))
     sums = reduce(DataFrame.unionByName, [stored(_summed(_exploded(slices, order, part, parts), order, min_count), "lm-sums", free=True) for part in range(parts)])
-    sums = sums.groupBy("t").agg(F.sum("n_words").alias("n_words"), F.sum("log_micro").alias("log_micro"))
-    keyed = slices.select("slice", F.posexplode(F.arrays_zip("k1", "k2")).alias("at", "k")).select(
-        (F.shiftleft("slice", IN_SLICE) + F.col("at")).alias("t"), "k.k1", "k.k2")
+    sums = sums.groupBy("t").agg(F.sum("log_micro").alias("log_micro"))
+    keyed = slices.select("slice", F.posexplode(F.arrays_zip("k1", "k2", "lengths")).alias("at", "k")).select(
+        (F.shiftleft("slice", IN_SLICE) + F.col("at")).alias("t"), "k.k1", "k.k2", F.col("k.lengths").alias("n_words"))
     # a text that several slices have got the same sums in each
     per_text = keyed.join(sums, "t").groupBy("k1", "k2").agg(F.first("n_words").alias("n_words"), F.first("log_micro").alias("log_micro"))
     none = F.lit(0).cast("long")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -318,3 +319,36 @@ def test_scores_of_copies_and_any_ids(shared):
     # copies leave a task once: the rows that are exploded grow with the different texts of a task only
     one = shared.createDataFrame(rows[:300], "doc_id string, text string, h int, k1 int").coalesce(1).selectExpr("doc_id", "text", "1L AS k1", "2L AS k2")
     assert lm_scoring._exploded(one, 3).agg({"n": "sum"}).first()[0] == 9
+
+
+def test_scores_by_passes(shared, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PASS_WORDS", 100)
+    texts = ["a b c a b c a b d a a a", "b c a b c", "a", "", None, "x y", "the a the b the c", "the a the b the c"] * 20
+    docs = shared.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").repartition(3)
+    for order in (1, 2, 3, 4):
+        got = sorted((r.doc_id, r.n_words, r.log_micro) for r in lm_scoring.score(docs, order).collect())
+        assert got == brute_scores(list(enumerate(texts, 1)), order)
+    # every place is in one pass, with all that its context and its last two words occur in
+    slices = lm_scoring._numbered(docs.selectExpr("text", "xxhash64(text) AS k1", "xxhash64(1, text) AS k2").where("text <> ''")).cache()
+    rows = [Counter(map(tuple, lm_scoring._exploded(slices, 3, part, 4).collect())) for part in range(4)]
+    assert sum(rows, Counter()) == Counter(map(tuple, lm_scoring._exploded(slices, 3).collect())) and sum(map(bool, rows)) > 1
+    for at in (3, 4):
+        assert sum(len({row[at] for row in own}) for own in rows) == len({row[at] for own in rows for row in own})
+
+
+def test_scoring_leaves_no_rows_in_shuffle_files(shared):
+    def left():
+        files = shared._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        files = [files.apply(k) for k in range(files.size())]
+        return {f.getName(): f.length() for f in files if re.fullmatch(r"shuffle_.*\.data", f.getName())}
+
+    docs = shared.range(5000).selectExpr("id AS doc_id", "concat_ws(' ', id % 7, id % 5, id, 'a b c', id % 3) AS text")
+    before = left()
+    scores = lm_scoring.score(docs)
+    for _ in range(40):
+        grown = sum(size for name, size in left().items() if name not in before)
+        if grown < 4000:
+            break
+        time.sleep(0.25)
+    # the sums of the words, no row of a word or an n-gram
+    assert grown < 4000 and scores.count() == 5000
